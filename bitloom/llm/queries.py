@@ -18,7 +18,7 @@ OP1_SQL = r"""
 WITH words AS (
   SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9_\x{80}-\x{10FFFF}]+') AS w FROM documents WHERE doc_id IS NOT NULL),
 sets AS (
-  SELECT DISTINCT doc_id, list_sort(list_distinct(CASE WHEN len(w) < 2 THEN [w[1]] ELSE list_transform(range(1, len(w)), i -> w[i] || ' ' || w[i + 1]) END)) AS s
+  SELECT DISTINCT doc_id, list_sort(list_distinct(CASE WHEN len(w) < 2 THEN [w[1]] ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END)) AS s
   FROM words WHERE len(w) > 0),
 heads AS (SELECT s, min(doc_id) AS head, len(s) AS n FROM sets GROUP BY s),
 grams AS (SELECT head, n, unnest(s) AS g FROM heads),
