@@ -30,10 +30,14 @@ from bitloom.session import materialize
 
 N, THRESHOLD = 2, 0.7
 #: Sets below this size also use one-deletion neighbourhoods; in larger ones plain segments suffice.
-SHORT = 80
-SKETCH = 1 << 18
+SHORT = 160
+#: Token frequencies are counted in 2**BITS cells, whatever the input.
+BITS = 20
+SKETCH = 1 << BITS
+DENSITY = 1.17
 PROBE, INDEX, DELETED = 1, 2, 4
 FLUSH, PER_PART = 1 << 21, 1 << 20
+BROADCAST_ROWS = 2_000_000
 
 
 @functools.cache
@@ -46,7 +50,7 @@ def bands(t: float) -> list[int]:
 
 
 def segments(t: float, hi: np.ndarray) -> np.ndarray:
-    return np.maximum(1, np.ceil(1.17 * (1 - t) / t * hi)).astype(np.int64)
+    return np.maximum(1, np.ceil(DENSITY * (1 - t) / t * hi)).astype(np.int64)
 
 
 def _runs(row: np.ndarray, tok: np.ndarray, m: np.ndarray, band: np.ndarray, heat: np.ndarray) -> dict:
@@ -58,7 +62,7 @@ def _runs(row: np.ndarray, tok: np.ndarray, m: np.ndarray, band: np.ndarray, hea
     x = mix(tok + U(0x632BE59BD9B4E019))
     r = row[at]
     salt = mix((band[r].astype(U) << U(40)) ^ sid[at] ^ U(0x5851F42D4C957F2D))
-    return {"at": at, "row": r, "size": np.diff(np.append(at, len(tok))), "sum": np.add.reduceat(x, at), "salt": salt, "cost": np.minimum.reduceat(heat[(tok >> U(34)).astype(np.int64)], at), "x": x}
+    return {"at": at, "row": r, "size": np.diff(np.append(at, len(tok))), "sum": np.add.reduceat(x, at), "salt": salt, "cost": (1 << 19) - np.minimum(np.add.reduceat(heat[(tok >> U(52 - BITS)).astype(np.int64)], at), 1 << 19), "x": x}
 
 
 def _allocate(r: dict, need: np.ndarray, short: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -129,23 +133,34 @@ def set_keys(row: np.ndarray, tok: np.ndarray, n: int) -> np.ndarray:
     return key
 
 
-SCAN = "rid bigint, id bigint, key bigint, size int, lacking boolean, n_sig bigint, slice int, counts binary"
+def _histograms(row: np.ndarray, tok: np.ndarray, size: np.ndarray) -> list[bytes]:
+    """Token counts by leading bits, about two tokens a cell: the sum of minima bounds an intersection from above."""
+    k = np.maximum(4, np.ceil(np.log2(np.maximum(size, 2))).astype(np.int64) - 1)
+    cells = np.int64(1) << k
+    begin = np.cumsum(cells) - cells
+    c = np.bincount(begin[row] + (tok >> (U(52) - k[row].astype(U))).astype(np.int64), minlength=int(cells.sum()))
+    c = np.minimum(c, 255).astype(np.uint8)
+    return [c[b : b + n].tobytes() for b, n in zip(begin.tolist(), cells.tolist(), strict=True)]
+
+
+SCAN = "rid bigint, id bigint, key bigint, size int, lacking boolean, n_sig bigint, cells binary, slice int, counts binary"
 
 
 def _scan(n: int, t: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each document, and this task's token counts, which are summed over the corpus."""
     c, heat, none = constants(), np.zeros(SKETCH, np.int32), np.zeros(SKETCH, np.int32)
-    names = ["rid", "id", "key", "size", "lacking", "n_sig", "slice", "counts"]
+    names = ["rid", "id", "key", "size", "lacking", "n_sig", "cells", "slice", "counts"]
     for batch in batches:
         for p in pieces(batch, "text"):
             row, tok = sets(c, column(p, "text"), n)
-            heat += np.bincount((tok >> U(34)).astype(np.int64), minlength=SKETCH).astype(np.int32)
+            heat += np.bincount((tok >> U(52 - BITS)).astype(np.int64), minlength=SKETCH).astype(np.int32)
             (r, *_), lacking = signatures(row, tok, p.num_rows, t, none)
             k = p.num_rows
-            yield pa.RecordBatch.from_arrays([column(p, "rid"), column(p, "id"), pa.array(set_keys(row, tok, k).view(np.int64)), pa.array(np.bincount(row, minlength=k).astype(np.int32)), pa.array(lacking), pa.array(np.bincount(r, minlength=k)), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names)
+            size = np.bincount(row, minlength=k)
+            yield pa.RecordBatch.from_arrays([column(p, "rid"), column(p, "id"), pa.array(set_keys(row, tok, k).view(np.int64)), pa.array(size.astype(np.int32)), pa.array(lacking), pa.array(np.bincount(r, minlength=k)), pa.array(_histograms(row, tok, size), pa.binary()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names)
     if heat.any():
         cut = np.split(heat, 16)
-        yield pa.RecordBatch.from_arrays([pa.nulls(16, pa.int64())] * 3 + [pa.nulls(16, pa.int32()), pa.nulls(16, pa.bool_()), pa.nulls(16, pa.int64()), pa.array(range(16), pa.int32()), pa.array([x.tobytes() for x in cut], pa.binary())], names)
+        yield pa.RecordBatch.from_arrays([pa.nulls(16, pa.int64())] * 3 + [pa.nulls(16, pa.int32()), pa.nulls(16, pa.bool_()), pa.nulls(16, pa.int64()), pa.nulls(16, pa.binary()), pa.array(range(16), pa.int32()), pa.array([x.tobytes() for x in cut], pa.binary())], names)
 
 
 def _add(table: pa.Table) -> pa.Table:
@@ -262,6 +277,22 @@ def _set_rows(n: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
             yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array([tok[e - s : e].tobytes() for s, e in zip(np.diff(np.append(0, ends)), ends, strict=True)], pa.binary())], ["key", "tokens"])
 
 
+def _bound(t: float, pairs: pa.Table, found: pa.Table) -> pa.Table:
+    """The pairs that their histograms don't rule out."""
+    cells = {k: (n, np.frombuffer(v.as_buffer(), np.uint8).astype(np.int32)) for k, n, v in zip(found["key"].to_pylist(), found["size"].to_pylist(), found["cells"], strict=True)}
+    keep = np.zeros(pairs.num_rows, bool)
+    for i, (x, y) in enumerate(zip(pairs["a"].to_pylist(), pairs["b"].to_pylist(), strict=True)):
+        (m, p), (n, q) = cells[x], cells[y]
+        if min(m, n) >= t * max(m, n) - 1e-9:
+            top = max(p.max(), q.max())
+            if len(p) > len(q):
+                p = p.reshape(len(q), -1).sum(1)
+            elif len(q) > len(p):
+                q = q.reshape(len(p), -1).sum(1)
+            keep[i] = top == 255 or (1 + t) * int(np.minimum(p, q).sum()) >= t * (m + n) - 1e-6
+    return pairs.filter(pa.array(keep)).select(["a", "b", "grp"])
+
+
 def _verify(t: float, pairs: pa.Table, found: pa.Table) -> pa.Table:
     tokens = {k: np.frombuffer(v.as_buffer(), U) for k, v in zip(found["key"].to_pylist(), found["tokens"], strict=True)}
     a, b = pairs["a"].to_numpy(), pairs["b"].to_numpy()
@@ -291,6 +322,18 @@ def _against(t: float, few, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Re
         yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.float64()))], ["a", "b", "jaccard"])
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    """(at, key): the sets that each group of pairs needs."""
+    return pairs.select(F.col("grp").alias("at"), F.col("a").alias("key")).union(pairs.select("grp", "b")).distinct()
+
+
+def _texts(docs: DataFrame, rids: DataFrame) -> DataFrame:
+    """The texts of the documents in rids, which is broadcast while it has at most BROADCAST_ROWS rows, else shuffled."""
+    if rids.count() <= BROADCAST_ROWS:
+        rids = F.broadcast(rids)
+    return docs.select("rid", "text").join(rids, "rid", "left_semi").select("text")
+
+
 def set_join(docs: DataFrame, n: int = N, t: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
     """(classes, pairs) of docs(rid, id, text).
 
@@ -306,9 +349,9 @@ def set_join(docs: DataFrame, n: int = N, t: float = THRESHOLD) -> tuple[DataFra
     heat = np.zeros(SKETCH, np.int64)
     for s, x in add.collect():  # 16 slices, 2 MB whatever the input
         heat[s * (SKETCH // 16) : (s + 1) * (SKETCH // 16)] = np.frombuffer(x, np.int64)
-    # Costs are shares of the corpus in steps of 1/4096 of its documents, so they mean the same at any size.
+    # A segment's cost falls with the surprise of its tokens, in 1/256 bits: the chance that a document has them all.
     total, n_docs, lacking = classes.agg(F.sum("n_sig"), F.sum((F.col("size") > 0).cast("long")), F.sum(F.col("lacking").cast("long"))).first()
-    heat = (heat * 4096 // max(n_docs or 0, 1)).astype(np.int32)
+    heat = np.rint(-256 * np.log2(np.clip(heat / max(n_docs or 0, 1), 1e-9, 1))).astype(np.int32)
     hot = spark.sparkContext.broadcast(heat)
     parts = max(1, math.ceil((total or 0) / PER_PART))
     packed = docs.select("text").mapInArrow(functools.partial(_emit, n, t, parts, hot), "part int, blob binary")
@@ -320,15 +363,18 @@ def set_join(docs: DataFrame, n: int = N, t: float = THRESHOLD) -> tuple[DataFra
     count = pairs.count()
     groups = max(8, count // 20_000)
     placed = materialize(placed.join(wide, "g").select("a", "b", F.pmod(F.xxhash64("g", F.pmod(F.xxhash64("a"), "side"), F.pmod(F.xxhash64("b"), "side")), F.lit(groups)).alias("grp")), "placed")
-    ends = placed.select(F.col("grp").alias("at"), F.col("a").alias("key")).union(placed.select("grp", "b")).distinct()
-    wanted = classes.join(ends.select("key").distinct(), "key").groupBy("key").agg(F.min("rid").alias("rid")).select("rid")
-    texts = docs.select("rid", "text").join(wanted, "rid", "left_semi").select("text")
-    tokens = texts.mapInArrow(functools.partial(_set_rows, n), "key bigint, tokens binary")
-    sent = ends.join(tokens, "key").select("at", "key", "tokens")
-    parts_of = [placed.groupBy("grp").cogroup(sent.groupBy("at")).applyInArrow(functools.partial(_verify, t), "a bigint, b bigint, jaccard double")]
+    schema = "a bigint, b bigint, grp bigint"
+    rep = classes.groupBy("key").agg(F.min(F.struct("rid", "size", "cells")).alias("r")).select("key", "r.rid", "r.size", "r.cells")
+    sent = _ends(placed).join(rep, "key").select("at", "key", "size", "cells")
+    likely = materialize(placed.groupBy("grp").cogroup(sent.groupBy("at")).applyInArrow(functools.partial(_bound, t), schema), "likely")
+    wanted = materialize(rep.select("key", "rid").join(_ends(likely).select("key").distinct(), "key", "left_semi").select("rid"), "wanted")
+    tokens = _texts(docs, wanted).mapInArrow(functools.partial(_set_rows, n), "key bigint, tokens binary")
+    tokens = materialize(tokens, "tokens")
+    sent = _ends(likely).join(tokens, "key").select("at", "key", "tokens")
+    parts_of = [likely.groupBy("grp").cogroup(sent.groupBy("at")).applyInArrow(functools.partial(_verify, t), "a bigint, b bigint, jaccard double")]
     if lacking:
         every = docs.select("text").mapInArrow(functools.partial(_set_rows, n), "key bigint, tokens binary")
-        hard = materialize(docs.select("rid", "text").join(classes.filter("lacking").select("rid"), "rid", "left_semi").select("text").mapInArrow(functools.partial(_set_rows, n), "key bigint, tokens binary").dropDuplicates(["key"]), "lacking")
+        hard = materialize(_texts(docs, materialize(classes.filter("lacking").select("rid"), "short")).mapInArrow(functools.partial(_set_rows, n), "key bigint, tokens binary").dropDuplicates(["key"]), "lacking")
         held, size = [], 0
         for r in hard.toLocalIterator():  # such sets are one in millions; they are sent in blocks of 32 MB
             held.append((r.key, bytes(r.tokens)))
