@@ -6,7 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
+from bitloom.llm.decontaminate import find_leaks
+from bitloom.llm.fingerprints import fingerprints
 from bitloom.llm.jaccard import ngram_jaccard_join
+from bitloom.llm.langid import identify
+from bitloom.llm.packing import pack_documents
+from bitloom.llm.pii import redact_pii
+from bitloom.llm.planes import write_blocks
+from bitloom.llm.quality import classify
+from bitloom.llm.tokens import token_counts
+from bitloom.llm.warc import write_warc
 from bitloom.session import table
 
 
@@ -14,6 +24,46 @@ def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(table(spark, sf_dir, "documents"))
 
 
+def op2_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return redact_pii(table(spark, sf_dir, "documents"))
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"))
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"))
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents"))
+
+
+def op9_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return write_blocks(table(spark, sf_dir, "documents"))
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return write_warc(table(spark, sf_dir, "pages"))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 OP1_SQL = r"""
 WITH words AS (
   SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9_\x{80}-\x{10FFFF}]+') AS w FROM documents WHERE doc_id IS NOT NULL),
@@ -31,7 +81,10 @@ UNION ALL
 SELECT x, y, round(k / (nx + ny - k), 6) FROM common WHERE k / (nx + ny - k) >= 0.7 - 1e-12
 """
 
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_jaccard_join": op1_jaccard_join}
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (op1_jaccard_join, op2_pii_pseudonyms, op3_packing, op4_token_counts, op5_quality, op6_fingerprints, op7_decontamination, op8_language_id, op9_token_blocks, op10_warc, pipeline)
+}
 _ORACLE: dict[str, str] = {"op1_jaccard_join": OP1_SQL}
 
 
@@ -40,4 +93,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_ORACLE)
+    return dict(_ORACLE) | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
