@@ -29,32 +29,41 @@ from pyspark.sql import functions as F
 
 from bitloom.llm.arrays import U, column, constants, mix, pieces, strings, words
 
-TOLERANCE, RECALL, SAMPLES = 0.15, 0.97, 3
+TOLERANCE, RECALL, SAMPLES = 0.15, 0.97, 4
 MIN_WORDS, MOST_REPEATS = 5, 24
+#: Edited copies that measure the recall of the repetitions.
+COPIES = 128
 #: Items are indexed in blocks of so many words, each block broadcast; more items mean more passes.
 BLOCK_WORDS = 2_000_000
 
 
 def steps_of(rep: int, w: int, n: int = SAMPLES) -> np.ndarray:
-    """The sampled steps of a repetition: spread over the walk of about 2w steps."""
+    """The sampled steps of a repetition, one in each of n equal stretches of the walk, so that few read the same word."""
     rng = np.random.Generator(np.random.PCG64([rep, w, 77]))
-    return np.sort(rng.choice(max(n, 2 * w - 1), n, replace=False))
+    size = max(2 * w - 1, 2 * n) / n
+    return np.floor((np.arange(n) + rng.uniform(0, 0.999, n)) * size).astype(np.int64)
 
 
-def cgk(h: np.ndarray, start: np.ndarray, end: np.ndarray, rep: int, steps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(key of the sampled steps, whether the walk stayed inside) of the walks from start; past end they read a pad."""
-    pos, last = start.astype(np.int32), end.astype(np.int32)
+def cgk(h: np.ndarray, start: np.ndarray, end: np.ndarray, rep: int, steps: np.ndarray, known: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """(key of the sampled steps, index of its walk, the keys after each sampled step) of the walks that stay before end.
+
+    With known, a table for each sampled step of the leading bits of the keys there, walks that match none end early."""
+    pos, on, part = start.astype(np.int32), np.arange(len(start), dtype=np.int32), []
     hs = (h >> U(32)).astype(np.uint32)
-    key, wanted = np.zeros(len(pos), U), set(steps.tolist())
-    inside = np.ones(len(pos), bool)
-    for j in range(int(steps[-1]) + 1):
-        x = hs.take(pos, mode="clip")
-        if j in wanted:
-            inside &= pos < last
+    key, times = np.zeros(len(pos), U), np.bincount(steps)
+    rng = np.random.Generator(np.random.PCG64([rep, 4096]))
+    flip, odd = rng.integers(0, 1 << 32, (2, len(times)), dtype=np.uint32)
+    for j in range(len(times)):
+        if times[j]:
+            live = pos < end[on]
             key = mix(key * U(0x2545F4914F6CDD1D) + h.take(pos, mode="clip") + U(j))
-        odd = np.uint32((0x9E3779B1 * (2 * (rep * 4096 + j) + 1)) & 0xFFFFFFFF)
-        pos += ((x * odd) >> np.uint32(31)).astype(np.int32)
-    return key, inside
+            if known is not None:
+                live &= known[len(part)][(key >> U(46)).astype(np.int32)]
+            live = np.flatnonzero(live)
+            pos, on, key = pos[live], on[live], key[live]
+            part.append(key)
+        pos += (((hs.take(pos, mode="clip") ^ flip[j]) * (odd[j] | np.uint32(1))) >> np.uint32(31)).astype(np.int32)
+    return key, on, part
 
 
 def _class_of(n: np.ndarray) -> np.ndarray:
@@ -67,29 +76,39 @@ def geometry(k: int) -> tuple[int, int]:
     return max(2, 2**k - stride), stride
 
 
-def _simulate(h: np.ndarray, w: int, stride: int, n: int, rep: int, rng: np.random.Generator) -> np.ndarray:
-    """Which of 64 edited copies of an n-word item repetition rep finds."""
-    found = np.zeros(64, bool)
-    k = int(TOLERANCE * n)
-    steps = steps_of(rep, w)
-    for i in range(64):
+def _copies(h: np.ndarray, n: int, stride: int, rng: np.random.Generator) -> dict:
+    """COPIES edited copies of n-word texts: the walks' words, with starts and ends of all windows of both sides."""
+    k, own, other = int(TOLERANCE * n), [], []
+    for _ in range(COPIES):
         a = h[rng.integers(0, len(h), n)] if len(h) else rng.integers(1, 1 << 62, n).astype(U)
-        b = list(a)
+        b = a.tolist()
         for _ in range(k):
             at, kind = int(rng.integers(0, len(b))), rng.integers(0, 3)
             if kind == 0:
-                b[at] = U(rng.integers(1, 1 << 62))
+                b[at] = int(rng.integers(1, 1 << 62))
             elif kind == 1:
-                b.insert(at, U(rng.integers(1, 1 << 62)))
+                b.insert(at, int(rng.integers(1, 1 << 62)))
             elif len(b) > 2:
                 del b[at]
-        b = np.array(b, U)
-        s = np.arange(len(a))
-        ka, ia = cgk(a, s, np.full(len(s), len(a)), rep, steps)
-        off = int(rng.integers(0, stride))
-        t = np.arange(off, len(b), stride)
-        kb, ib = cgk(b, t, np.full(len(t), len(b)), rep, steps)
-        found[i] = bool(np.isin(kb[ib], ka[ia]).any())
+        own.append(a)
+        other.append(np.array(b, U))
+    size = np.array([len(x) for x in (*own, *other)])
+    end = np.cumsum(size)
+    begin, row = np.repeat(end - size, size), np.repeat(np.arange(2 * COPIES), size)
+    local = np.arange(end[-1]) - begin
+    off = rng.integers(0, stride, 2 * COPIES)[row]
+    at = np.flatnonzero((row < COPIES) | (local % stride == off % stride))
+    return {"h": np.concatenate((*own, *other)), "start": at, "end": end[row[at]], "row": row[at]}
+
+
+def _simulate(c: dict, w: int, rep: int) -> np.ndarray:
+    """Which of the edited copies repetition rep finds."""
+    key, on, _ = cgk(c["h"], c["start"], c["end"], rep, steps_of(rep, w))
+    row = c["row"][on]
+    key = (key & U((1 << 56) - 1)) | ((row % COPIES).astype(U) << U(56))
+    a, b = row < COPIES, row >= COPIES
+    found = np.zeros(COPIES, bool)
+    found[row[b][np.isin(key[b], key[a])] - COPIES] = True
     return found
 
 
@@ -105,18 +124,19 @@ def build(items: list[tuple], tolerance: float = TOLERANCE, recall: float = RECA
     for k in sorted(set(kinds[count >= MIN_WORDS].tolist())):
         mine = np.flatnonzero((kinds == k) & (count >= MIN_WORDS))
         w, stride = geometry(k)
-        rng = np.random.Generator(np.random.PCG64([k, 5]))
         length = int(np.median(count[mine]))
-        missed, reps = np.ones(64, bool), []
+        missed, reps = np.ones(COPIES, bool), []
+        copies = _copies(h, length, stride, np.random.Generator(np.random.PCG64([k, 9])))
         start = np.concatenate([np.arange(begin[i], begin[i] + count[i]) for i in mine])
         end = np.repeat(begin[mine] + count[mine], count[mine])
         owner = np.repeat(mine, count[mine])
         for rep in range(MOST_REPEATS):
             steps = steps_of(rep, w)
-            key, inside = cgk(h, start, end, rep, steps)
-            order = np.argsort(key[inside], kind="stable")
-            reps.append({"rep": rep, "steps": steps, "key": key[inside][order], "item": owner[inside][order], "offset": (start - begin[owner])[inside][order]})
-            missed &= ~_simulate(h, w, stride, length, rep, np.random.Generator(np.random.PCG64([k, 9])))
+            key, on, part = cgk(h, start, end, rep, steps)
+            order = np.argsort(key, kind="stable")
+            on = on[order]
+            reps.append({"rep": rep, "steps": steps, "key": key[order], "item": owner[on], "offset": (start - begin[owner])[on], "known": [np.bincount((x >> U(46)).astype(np.int64), minlength=1 << 18) > 0 for x in part]})
+            missed &= ~_simulate(copies, w, rep)
             if missed.mean() <= 1 - recall:
                 break
         out.append({"k": k, "w": w, "stride": stride, "reps": reps})
@@ -155,16 +175,11 @@ def _find(c: dict, index: dict, text: pa.Array) -> list[tuple[int, int, int, int
         start = np.flatnonzero(local % cl["stride"] == 0)
         own, stop = row[start], end[row[start]]
         for r in cl["reps"]:
-            key, inside = cgk(h, start, stop, r["rep"], r["steps"])
-            lut = r.get("lut")
-            if lut is None:
-                lut = r["lut"] = np.zeros(1 << 18, bool)
-                lut[(r["key"] >> U(46)).astype(np.int64)] = True
-            some = np.flatnonzero(lut[(key >> U(46)).astype(np.int64)] & inside)
-            if not len(some) or not len(r["key"]):
+            key, some, _ = cgk(h, start, stop, r["rep"], r["steps"], r["known"])
+            if not len(some):
                 continue
-            lo = np.searchsorted(r["key"], key[some], "left")
-            k = np.searchsorted(r["key"], key[some], "right") - lo
+            lo = np.searchsorted(r["key"], key, "left")
+            k = np.searchsorted(r["key"], key, "right") - lo
             of = np.repeat(np.arange(len(some)), k)
             at = lo[of] + np.arange(len(of)) - (np.cumsum(k) - k)[of]
             item = r["item"][at]
@@ -172,23 +187,35 @@ def _find(c: dict, index: dict, text: pa.Array) -> list[tuple[int, int, int, int
             pairs.append(np.stack([own[some[of]], item, local[start[some[of]]] - r["offset"][at]], 1))
     if not pairs:
         return []
+    got = np.unique(np.concatenate(pairs), axis=0)
+    of, item, at = got[:, 0], got[:, 1], got[:, 2]
+    m = index["count"][item]
+    most = (index["tolerance"] * m).astype(np.int64)
+    lo, hi = np.maximum(0, at - 2 * most - 1), np.minimum(n[of], at + m + 2 * most + 1)
+    # a copy within the tolerance shares at least m - most of the item's words, counted with their repeats
+    likely = np.zeros(len(of), bool)
+    for part in np.array_split(np.arange(len(of)), max(1, len(of) >> 13)):
+        size = np.maximum(hi[part] - lo[part], 0)
+        cand = np.repeat(np.arange(len(part)), size)
+        word = h[begin[of[part]][cand] + lo[part][cand] + np.arange(len(cand)) - (np.cumsum(size) - size)[cand]]
+        own = mix(word + item[part][cand].astype(U) * U(0x9E3779B97F4A7C15))
+        where = np.minimum(np.searchsorted(index["bag"], own), len(index["bag"]) - 1)
+        likely[part] = np.bincount(cand, weights=index["bag"][where] == own, minlength=len(part)) >= m[part] - most[part]
     out, seen = {}, {}
-    for i, item, at in np.unique(np.concatenate(pairs), axis=0).tolist():
-        m = int(index["count"][item])
-        most = int(index["tolerance"] * m)
-        lo, hi = max(0, at - 2 * most - 1), min(int(n[i]), at + m + 2 * most + 1)
+    for i, item, lo, hi in zip(*(x[likely].tolist() for x in (of, item, lo, hi)), strict=True):
         done = seen.setdefault((i, item), [])
         if any(a <= lo and hi <= b for a, b in done):
             continue
         done.append((lo, hi))
         d, e = edits(index["words"][item], h[begin[i] + lo : begin[i] + hi].tolist())
-        if d <= most and ((i, item) not in out or (d, lo + e) < out[i, item]):
+        if d <= int(index["tolerance"] * int(index["count"][item])) and ((i, item) not in out or (d, lo + e) < out[i, item]):
             out[i, item] = (d, lo + e)
     return [(i, item, d, e) for (i, item), (d, e) in out.items()]
 
 
 def _ready(index: dict) -> dict:
     if "words" not in index:
+        index["bag"] = np.unique(mix(index["h"] + np.repeat(np.arange(len(index["count"])), index["count"]).astype(U) * U(0x9E3779B97F4A7C15)))
         index["words"] = [index["h"][b : b + m].tolist() for b, m in zip(index["begin"].tolist(), index["count"].tolist(), strict=True)]
     return index
 
