@@ -83,8 +83,8 @@ def _hash_block(c: dict, d: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndar
     return mix(h + (e - s).astype(U) * U(0xA0761D6478BD642F))
 
 
-def words(c: dict, d: np.ndarray, o: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(row, hash, start, end) of every word. Works in blocks, so a very long text needs little memory."""
+def words(c: dict, d: np.ndarray, o: np.ndarray, prefix: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, hash, start, end) of every word, or of its first prefix bytes for words that are longer. Works in blocks, so a very long text needs little memory."""
     m = c["word"][d]
     first = m.copy()
     first[1:] &= ~m[:-1]
@@ -94,6 +94,10 @@ def words(c: dict, d: np.ndarray, o: np.ndarray) -> tuple[np.ndarray, np.ndarray
     first[o[full]] = m[o[full]]
     last[o[full + 1] - 1] = m[o[full + 1] - 1]
     s, e = np.flatnonzero(first), np.flatnonzero(last) + 1
+    if prefix:
+        long = e - s > prefix
+        s = s[long]
+        e = s + prefix
     out, at = [np.zeros(0, U)], 0
     while at < len(s):
         to = max(at + 1, int(np.searchsorted(e, s[at] + CHUNK, "right")))

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bitloom.llm.arrays import column, pieces
-from bitloom.llm.tokens import VOCABULARY, Encoded, encoder, packed_ids
+from bitloom.llm.tokens import VOCABULARY, encoder, split
 
 BLOCK, LEVEL, END_ID = 1 << 16, 3, 50256
 SCHEMA = "shard int, block int, n_ids int, width int, plane_sizes array<int>, docs array<struct<doc_id:bigint,seq:bigint,doc_start:bigint,at:int,n:int>>, payload binary"
@@ -64,7 +64,7 @@ _DOC = pa.struct([("doc_id", pa.int64()), ("seq", pa.int64()), ("doc_start", pa.
 
 def _write(path: str, width: int, bits: bool, size: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kind, shard = np.dtype(f"<u{width // 8}"), TaskContext.get().partitionId()
-    made, end = Encoded(encoder(path), packed_ids(kind)), np.array([END_ID], kind).tobytes()
+    enc, end = encoder(path), np.array([END_ID], kind).tobytes()
     z = zstandard.ZstdCompressor(level=LEVEL)
     room = size * kind.itemsize
     held, index, block, seq = bytearray(), [], 0, 0
@@ -78,13 +78,14 @@ def _write(path: str, width: int, bits: bool, size: int, batches: Iterator[pa.Re
     for batch in batches:
         for p in pieces(batch, "text"):
             texts, names = column(p, "text").to_pylist(), column(p, "doc_id").to_pylist()
-            live = [i for i, t in enumerate(texts) if t is not None]
-            for i, parts in zip(live, made.batch([texts[i] for i in live]), strict=True):
-                ids = b"".join(parts) + end
+            for name, text in zip(names, texts, strict=True):
+                if text is None:
+                    continue
+                ids = b"".join(np.array(enc.encode_ordinary(x), kind).tobytes() for x in split(text)) + end
                 at = 0
                 while at < len(ids):
                     k = min(len(ids) - at, room - len(held))
-                    index.append((names[i], seq, at // kind.itemsize, len(held) // kind.itemsize, k // kind.itemsize))
+                    index.append((name, seq, at // kind.itemsize, len(held) // kind.itemsize, k // kind.itemsize))
                     held += ids[at : at + k]
                     at += k
                     if len(held) == room:

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from bitloom.llm.arrays import U, column, constants, fresh, pieces, strings, words
+from bitloom.llm.arrays import U, column, constants, fresh, mix, pieces, strings, words
 from bitloom.session import materialize
 
 #: The classifier is fitted on at most so many labelled documents, those of least hash.
@@ -32,6 +32,8 @@ TRAIN_ROWS = 8000
 WORDS, RIDGE, REJECT = 256, 3.0, 0.5
 HEADS = ("poor", "toxic")
 SITE_MAX = 1e6
+#: Besides words, their beginnings of so many bytes tell, where they occur so often.
+PREFIX, OFTEN = 6, (1, 2, 4)
 
 
 def _classes() -> np.ndarray:
@@ -57,15 +59,33 @@ def shape(kinds: np.ndarray, d: np.ndarray, o: np.ndarray, row: np.ndarray, h: n
     return np.concatenate((x, x**2, np.sqrt(x)), 1)
 
 
+def _often(row: np.ndarray, base: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, feature) of word beginnings: one feature for each least count that is reached."""
+    if not len(base):
+        return row, base
+    order = np.lexsort((base, row))
+    row, base = row[order], base[order]
+    at = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (base[1:] != base[:-1])))
+    n = np.diff(np.append(at, len(row)))
+    row, base = row[at], base[at]
+    return np.concatenate([row[n >= k] for k in OFTEN]), np.concatenate([mix(base[n >= k] + U(k)) for k in OFTEN])
+
+
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     c, kinds = constants(), _classes()
     for batch in batches:
         for p in pieces(batch, "text"):
             text = column(p, "text")
-            row, h, _, _ = words(c, *strings(pc.utf8_lower(text)))
-            x, n = shape(kinds, *strings(text), row, h), p.num_rows
-            cut = np.split(h, np.cumsum(np.bincount(row, minlength=n))[:-1])
-            yield pa.RecordBatch.from_arrays([column(p, "poor"), column(p, "toxic"), pa.array([v.tobytes() for v in x], pa.binary()), pa.array([np.unique(v).tobytes() for v in cut], pa.binary())], ["poor", "toxic", "x", "w"])
+            low, n = strings(pc.utf8_lower(text)), p.num_rows
+            row, h, _, _ = words(c, *low)
+            x = shape(kinds, *strings(text), row, h)
+            begins, base, _, _ = words(c, *low, PREFIX)
+            per = np.split(base, np.searchsorted(begins, np.arange(1, n)))
+            own, f = _often(begins, base)
+            own, f = np.concatenate((row, own)), np.concatenate((h, f))
+            order = np.argsort(own, kind="stable")
+            cut = np.split(f[order], np.searchsorted(own[order], np.arange(1, n)))
+            yield pa.RecordBatch.from_arrays([column(p, "poor"), column(p, "toxic"), pa.array([v.tobytes() for v in x], pa.binary()), *[pa.array([np.unique(v).tobytes() for v in y], pa.binary()) for y in (cut, per)]], ["poor", "toxic", "x", "w", "b"])
 
 
 def _newton(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -89,12 +109,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, train_ro
     y = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), (F.col("quality") == 0).cast("double").alias("poor"), (F.col("toxic") == 1).cast("double").alias("toxic")).filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("poor").alias("poor"), F.max("toxic").alias("toxic"))
     few = y.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
     ids = {r[0]: (r[1], r[2]) for r in few.collect()}
-    none = {"center": np.zeros(33), "scale": np.ones(33), "hash": np.zeros(0, U), "coef": np.zeros((2, 0)), "shape": np.zeros((2, 33)), "bias": np.zeros(2), "prior": np.zeros(2)}
+    none = {"center": np.zeros(33), "scale": np.ones(33), "hash": np.zeros(0, U), "base": np.zeros(0, U), "coef": np.zeros((2, 0)), "shape": np.zeros((2, 33)), "bias": np.zeros(2), "prior": np.zeros(2)}
     if not ids:
         return none
     spark = docs.sparkSession
     small = spark.createDataFrame(pa.table({"id": list(ids), "poor": pa.array([v[0] for v in ids.values()], pa.float64()), "toxic": pa.array([v[1] for v in ids.values()], pa.float64())}))
-    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(small), "id").select("poor", "toxic", "text").mapInArrow(_features, "poor double, toxic double, x binary, w binary")
+    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(small), "id").select("poor", "toxic", "text").mapInArrow(_features, "poor double, toxic double, x binary, w binary, b binary")
     got = rows.toArrow()  # train_rows rows of a few kB
     if not got.num_rows:
         return none
@@ -129,15 +149,26 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, train_ro
         coef[k] = dict(zip(best.tolist(), w[z.shape[1] : -1].tolist(), strict=True))
         chosen = np.union1d(chosen, best)
     model["hash"] = every[chosen]
+    base = np.unique(np.concatenate([np.frombuffer(v.as_buffer(), U) for v in got["b"]]))
+    model["base"] = base[np.any([np.isin(mix(base + U(k)), model["hash"]) for k in OFTEN], 0)]
     model["coef"] = np.array([[coef[k].get(int(i), 0.0) for i in chosen] for k in range(2)]).reshape(2, len(chosen))
     return model
 
 
 def logits(c: dict, kinds: np.ndarray, model: dict, text: pa.Array) -> np.ndarray:
     """Evidence (log likelihood ratio) of each row for each head."""
-    row, h, _, _ = words(c, *strings(pc.utf8_lower(text)))
+    low = strings(pc.utf8_lower(text))
+    row, h, _, _ = words(c, *low)
     z = (shape(kinds, *strings(text), row, h) - model["center"]) / model["scale"]
     out = z @ model["shape"].T + model["bias"] - model["prior"]
+    if len(model["base"]):
+        begins, base, _, _ = words(c, *low, PREFIX)
+        lut = np.zeros(1 << 16, bool)
+        lut[(model["base"] >> U(48)).astype(np.int64)] = True
+        some = np.flatnonzero(lut[(base >> U(48)).astype(np.int64)])
+        some = some[np.isin(base[some], model["base"])]
+        own, f = _often(begins[some], base[some])
+        row, h = np.concatenate((row, own)), np.concatenate((h, f))
     if len(model["hash"]) and len(h):
         lut = np.zeros(1 << 16, bool)
         lut[(model["hash"] >> U(48)).astype(np.int64)] = True

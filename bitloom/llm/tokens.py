@@ -1,10 +1,8 @@
 """Operator 4: token counts, by batch encoding in Arrow functions that return lengths only.
 
-Batches are balanced by bytes, not rows, and texts are split where no token can cross: at a single
-space that follows a character other than white space and precedes one. There the public byte-level
-pattern always begins a new piece, so the parts' counts add up to the whole's. The parts of a batch
-that weren't met before are encoded together; the counts of short ones are remembered, so the encoder
-sees each common word once a worker.
+Batches are balanced by bytes, not rows, and long texts are split where no token can cross: before a
+single space that follows a character other than white space and precedes one. There the public
+byte-level pattern always begins a new piece, so the parts' counts add up to the whole's.
 
 Defined results. A null text has a null count, an empty one 0. Special tokens in a text are ordinary text.
 Repeated rows are counted alike; a null doc_id is carried; extra columns are ignored.
@@ -18,7 +16,6 @@ import os
 import re
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -28,10 +25,7 @@ from bitloom.llm.arrays import column, pieces
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-BATCH_BYTES = 1 << 20
-#: A worker remembers so many parts, none longer than LONG characters.
-REMEMBERED, LONG = 200_000, 48
-_NEAR = re.compile(r"\s | \s|^ | $")
+BATCH_BYTES, SPLIT_CHARS = 1 << 20, 1 << 16
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -44,58 +38,36 @@ def encoder(path: str):
     return tiktoken.Encoding(os.path.basename(path), pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def split(text: str) -> list[str]:
-    """The parts of text between safe spaces; each but the first is meant with the space before it."""
-    return _SAFE.split(text) if _NEAR.search(text) else text.split(" ")
+def split(text: str, limit: int = SPLIT_CHARS) -> list[str]:
+    """Parts of about limit characters, cut only where no token crosses; longer where there is no such place."""
+    if len(text) <= limit:
+        return [text]
+    out, at = [], 0
+    while len(text) - at > limit:
+        m = _SAFE.search(text, at + limit)
+        if not m:
+            break
+        out.append(text[at : m.start()])
+        at = m.start()
+    return [*out, text[at:]]
 
 
-class Encoded:
-    """What make() returns for the tokens of each part, remembered by part."""
-
-    def __init__(self, enc, make):
-        self.enc, self.make, self.known = enc, make, {}
-
-    def batch(self, texts: list[str]) -> list[list]:
-        """For each text the made values of its parts, in order."""
-        parts = [split(t) for t in texts]
-        new = list(set().union(*[p[1:] for p in parts]).difference(self.known)) if parts else []
-        made = dict(zip(new, map(self.make, self.enc.encode_ordinary_batch([" " + x for x in new], num_threads=1)), strict=True))
-        first = map(self.make, self.enc.encode_ordinary_batch([p[0] for p in parts], num_threads=1))
-        known = self.known
-        known.update(made)
-        out = [[f, *map(known.__getitem__, p[1:])] for f, p in zip(first, parts, strict=True)]
-        if len(known) > REMEMBERED:
-            known.clear()
-        else:
-            for x in new:
-                if len(x) > LONG:
-                    del known[x]
-        return out
-
-
-def lengths(counter: Encoded, texts: list[str | None]) -> list[int | None]:
-    got = iter(counter.batch([t for t in texts if t is not None]))
-    return [None if t is None else sum(next(got)) for t in texts]
-
-
-def count_column(counter: Encoded, text: pa.Array) -> pa.Array:
-    return pa.array(lengths(counter, text.to_pylist()), pa.int64())
+def lengths(enc, texts: list[str | None]) -> list[int | None]:
+    """The token count of each text; the parts of all texts are encoded as one batch."""
+    parts = [None if t is None else split(t) for t in texts]
+    got = iter(map(len, map(enc.encode_ordinary, [x for p in parts if p for x in p])))
+    return [None if p is None else sum(next(got) for _ in p) for p in parts]
 
 
 def _count(path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counter = Encoded(encoder(path), len)
+    enc = encoder(path)
     for batch in batches:
         for p in pieces(batch, "text", BATCH_BYTES):
             text = column(p, "text")
-            yield pa.RecordBatch.from_arrays([column(p, "doc_id"), pc.cast(pc.binary_length(text), pa.int64()), count_column(counter, text)], ["doc_id", "n_bytes", "n_tokens"])
+            yield pa.RecordBatch.from_arrays([column(p, "doc_id"), pc.cast(pc.binary_length(text), pa.int64()), pa.array(lengths(enc, text.to_pylist()), pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 
 
 def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
     """(doc_id, n_bytes, n_tokens) of every row."""
     slim = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     return slim.mapInArrow(functools.partial(_count, vocabulary), "doc_id bigint, n_bytes bigint, n_tokens bigint")
-
-
-def packed_ids(dtype: type = np.uint16):
-    """make() for Encoded: the ids of a part as bytes, to be joined."""
-    return lambda ids: np.array(ids, dtype).tobytes()
