@@ -36,7 +36,9 @@ BITS = 20
 SKETCH = 1 << BITS
 DENSITY = 1.17
 PROBE, INDEX, DELETED = 1, 2, 4
-FLUSH, PER_PART = 1 << 21, 1 << 20
+FLUSH, PER_PART = 1 << 20, 1 << 19
+#: Pairs that are verified together.
+TOGETHER = 5000
 BROADCAST_ROWS = 2_000_000
 
 
@@ -248,7 +250,7 @@ def _collide(table: pa.Table) -> pa.Table:
         out[:] = [(a[keep], b[keep])]
 
     while len(alive):
-        for part in np.array_split(alive, max(1, len(alive) >> 20)):
+        for part in np.array_split(alive, max(1, len(alive) >> 18)):
             j = part + d
             f, g = flags[part], flags[j]
             ok = (((f & PROBE > 0) & (g & INDEX > 0)) | ((g & PROBE > 0) & (f & INDEX > 0))) & ((f & g & DELETED) == 0) & (prev[part] != prev[j]) & (key[part] != key[j])
@@ -256,7 +258,7 @@ def _collide(table: pa.Table) -> pa.Table:
             if len(a):
                 out.append((np.minimum(a, b), np.maximum(a, b)))
                 held += len(a)
-                if held > 1 << 21:
+                if held > 1 << 20:
                     distinct()
                     held = len(out[0][0]) // 2
         d += 1
@@ -359,9 +361,9 @@ def set_join(docs: DataFrame, n: int = N, t: float = THRESHOLD) -> tuple[DataFra
     # Pairs are verified together with their neighbours: a set is sent once to each group it has pairs in.
     near = pairs.select(F.col("a").alias("x"), F.col("b").alias("y")).union(pairs.select("b", "a")).groupBy("x").agg(F.least("x", F.min("y")).alias("g"))
     placed = pairs.join(near.withColumnRenamed("x", "a"), "a").join(near.select(F.col("x").alias("b"), F.col("g").alias("h")), "b").select("a", "b", F.least("g", "h").alias("g"))
-    wide = placed.groupBy("g").agg(F.ceil(F.sqrt(F.count("*") / 250_000)).alias("side"))
+    wide = placed.groupBy("g").agg(F.ceil(F.sqrt(F.count("*") / (12 * TOGETHER))).alias("side"))
     count = pairs.count()
-    groups = max(8, count // 20_000)
+    groups = max(8, count // TOGETHER)
     placed = materialize(placed.join(wide, "g").select("a", "b", F.pmod(F.xxhash64("g", F.pmod(F.xxhash64("a"), "side"), F.pmod(F.xxhash64("b"), "side")), F.lit(groups)).alias("grp")), "placed")
     schema = "a bigint, b bigint, grp bigint"
     rep = classes.groupBy("key").agg(F.min(F.struct("rid", "size", "cells")).alias("r")).select("key", "r.rid", "r.size", "r.cells")
