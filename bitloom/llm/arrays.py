@@ -6,6 +6,8 @@ A null text counts as an empty one everywhere.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,6 +17,13 @@ import pyarrow.compute as pc
 CHUNK = 1 << 20
 U = np.uint64
 
+# Workers live on between stages: freed arrays go back to the system rather than stay in the process.
+pa.set_memory_pool(pa.system_memory_pool())
+with contextlib.suppress(OSError, AttributeError):
+    _libc = ctypes.CDLL("libc.so.6")
+    _libc.mallopt(-3, CHUNK)  # M_MMAP_THRESHOLD, fixed
+    _libc.mallopt(-1, CHUNK)  # M_TRIM_THRESHOLD
+
 
 def constants() -> dict:
     rng = np.random.Generator(np.random.PCG64(20240229))

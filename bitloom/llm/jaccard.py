@@ -38,7 +38,7 @@ DENSITY = 1.17
 PROBE, INDEX, DELETED = 1, 2, 4
 FLUSH, PER_PART = 1 << 20, 1 << 19
 #: Pairs that are verified together.
-TOGETHER = 5000
+TOGETHER = 1500
 BROADCAST_ROWS = 2_000_000
 
 

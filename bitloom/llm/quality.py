@@ -32,6 +32,8 @@ TRAIN_ROWS = 8000
 WORDS, RIDGE, REJECT = 256, 3.0, 0.5
 HEADS = ("poor", "toxic")
 SITE_MAX = 1e6
+#: Log odds of a head that can't be fitted.
+NEVER = -30.0
 #: Besides words, their beginnings of so many bytes tell, where they occur so often.
 PREFIX, OFTEN = 6, (1, 2, 4)
 
@@ -109,7 +111,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, train_ro
     y = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), (F.col("quality") == 0).cast("double").alias("poor"), (F.col("toxic") == 1).cast("double").alias("toxic")).filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("poor").alias("poor"), F.max("toxic").alias("toxic"))
     few = y.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
     ids = {r[0]: (r[1], r[2]) for r in few.collect()}
-    none = {"center": np.zeros(33), "scale": np.ones(33), "hash": np.zeros(0, U), "base": np.zeros(0, U), "coef": np.zeros((2, 0)), "shape": np.zeros((2, 33)), "bias": np.zeros(2), "prior": np.zeros(2)}
+    none = {"center": np.zeros(33), "scale": np.ones(33), "hash": np.zeros(0, U), "base": np.zeros(0, U), "coef": np.zeros((2, 0)), "shape": np.zeros((2, 33)), "bias": np.full(2, NEVER), "prior": np.full(2, NEVER)}
     if not ids:
         return none
     spark = docs.sparkSession
@@ -124,7 +126,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, train_ro
     x, held = x[order], [held[i] for i in order]
     doc = np.repeat(np.arange(len(held)), [len(v) for v in held])
     every, inv, df = np.unique(np.concatenate(held), return_inverse=True, return_counts=True)
-    model = {"center": x.mean(0), "scale": x.std(0) + 1e-9, "shape": np.zeros((2, x.shape[1])), "bias": np.zeros(2), "prior": np.zeros(2)}
+    model = {"center": x.mean(0), "scale": x.std(0) + 1e-9, "shape": np.zeros((2, x.shape[1])), "bias": np.full(2, NEVER), "prior": np.full(2, NEVER)}
     z = (x - model["center"]) / model["scale"]
     chosen, coef = np.zeros(0, np.int64), [{}, {}]
     for k, head in enumerate(HEADS):
