@@ -3,10 +3,11 @@
 Texts are sequences of lower-cased words. A CGK random walk reads a window of W words: at every step
 it outputs the word under its pointer and moves on by a random bit of that word and step, so windows
 at small edit distance give walks at small Hamming distance. A repetition samples a few steps; equal
-samples make a candidate. Items are grouped by length in powers of two, with W from the class, so
-windows are item-sized: document windows start at every s-th word and item windows at every word,
-which makes any copy contain aligned windows. Repetitions are added until simulated edits at the
-tolerated rate are found with the target probability. Each candidate's alignment is verified by
+samples make a candidate. Items are grouped by length in powers of two up to 2**LONGEST, with W half
+the class' least length: document windows start at every s-th word and item windows at every word,
+which makes any copy contain aligned windows, and longer items the more of them. Repetitions are added
+until simulated edits at the tolerated rate are found with the target probability; where MOST_REPEATS
+don't reach it, building is an error. Each candidate's alignment is verified by
 semi-global edit distance over words: an item leaks where some part of the document is within
 floor(tolerance * words) edits of the whole item.
 
@@ -30,7 +31,9 @@ from pyspark.sql import functions as F
 from bitloom.llm.arrays import U, column, constants, mix, pieces, strings, words
 
 TOLERANCE, RECALL, SAMPLES = 0.15, 0.97, 4
-MIN_WORDS, MOST_REPEATS = 5, 24
+MIN_WORDS, MOST_REPEATS = 5, 256
+#: Items of 2**LONGEST words and more are one class: a walk over more words meets too many edits.
+LONGEST = 5
 #: Edited copies that measure the recall of the repetitions.
 COPIES = 128
 #: Items are indexed in blocks of so many words, each block broadcast; more items mean more passes.
@@ -67,20 +70,19 @@ def cgk(h: np.ndarray, start: np.ndarray, end: np.ndarray, rep: int, steps: np.n
 
 
 def _class_of(n: np.ndarray) -> np.ndarray:
-    return np.floor(np.log2(np.maximum(n, 1)) + 1e-9).astype(np.int64)
+    return np.minimum(np.floor(np.log2(np.maximum(n, 1)) + 1e-9).astype(np.int64), LONGEST)
 
 
 def geometry(k: int) -> tuple[int, int]:
-    """(window, stride) in words of the class of items with 2**k to 2**(k+1)-1 words."""
-    stride = max(1, 2**k // 4)
-    return max(2, 2**k - stride), stride
+    """(window, stride) in words of the class of items with 2**k words at least."""
+    return max(2, 2**k // 2), max(1, 2**k // 4)
 
 
-def _copies(h: np.ndarray, n: int, stride: int, rng: np.random.Generator) -> dict:
-    """COPIES edited copies of n-word texts: the walks' words, with starts and ends of all windows of both sides."""
-    k, own, other = int(TOLERANCE * n), [], []
+def _copies(n: int, stride: int, tolerance: float, rng: np.random.Generator) -> dict:
+    """COPIES edited copies of texts of n different words: the walks' words, with starts and ends of all windows of both sides."""
+    k, own, other = int(tolerance * n), [], []
     for _ in range(COPIES):
-        a = h[rng.integers(0, len(h), n)] if len(h) else rng.integers(1, 1 << 62, n).astype(U)
+        a = rng.integers(1, 1 << 62, n).astype(U)
         b = a.tolist()
         for _ in range(k):
             at, kind = int(rng.integers(0, len(b))), rng.integers(0, 3)
@@ -126,7 +128,7 @@ def build(items: list[tuple], tolerance: float = TOLERANCE, recall: float = RECA
         w, stride = geometry(k)
         length = int(np.median(count[mine]))
         missed, reps = np.ones(COPIES, bool), []
-        copies = _copies(h, length, stride, np.random.Generator(np.random.PCG64([k, 9])))
+        copies = _copies(length, stride, tolerance, np.random.Generator(np.random.PCG64([k, 9])))
         start = np.concatenate([np.arange(begin[i], begin[i] + count[i]) for i in mine])
         end = np.repeat(begin[mine] + count[mine], count[mine])
         owner = np.repeat(mine, count[mine])
@@ -139,6 +141,8 @@ def build(items: list[tuple], tolerance: float = TOLERANCE, recall: float = RECA
             missed &= ~_simulate(copies, w, rep)
             if missed.mean() <= 1 - recall:
                 break
+        else:
+            raise ValueError(f"{MOST_REPEATS} repetitions find {1 - missed.mean():.2f} of the copies of {length} words at tolerance {tolerance}, not {recall}")
         out.append({"k": k, "w": w, "stride": stride, "reps": reps})
     return [{"classes": out, "h": h, "begin": begin, "count": count, "ids": [i for i, _ in items], "tolerance": tolerance}]
 
@@ -194,8 +198,9 @@ def _find(c: dict, index: dict, text: pa.Array) -> list[tuple[int, int, int, int
     lo, hi = np.maximum(0, at - 2 * most - 1), np.minimum(n[of], at + m + 2 * most + 1)
     # a copy within the tolerance shares at least m - most of the item's words, counted with their repeats
     likely = np.zeros(len(of), bool)
-    for part in np.array_split(np.arange(len(of)), max(1, len(of) >> 13)):
-        size = np.maximum(hi[part] - lo[part], 0)
+    span = np.maximum(hi - lo, 0)
+    for part in np.split(np.arange(len(of)), np.flatnonzero(np.diff(np.cumsum(span) >> 20)) + 1):
+        size = span[part]
         cand = np.repeat(np.arange(len(part)), size)
         word = h[begin[of[part]][cand] + lo[part][cand] + np.arange(len(cand)) - (np.cumsum(size) - size)[cand]]
         own = mix(word + item[part][cand].astype(U) * U(0x9E3779B97F4A7C15))
@@ -204,12 +209,15 @@ def _find(c: dict, index: dict, text: pa.Array) -> list[tuple[int, int, int, int
     out, seen = {}, {}
     for i, item, lo, hi in zip(*(x[likely].tolist() for x in (of, item, lo, hi)), strict=True):
         done = seen.setdefault((i, item), [])
-        if any(a <= lo and hi <= b for a, b in done):
-            continue
-        done.append((lo, hi))
-        d, e = edits(index["words"][item], h[begin[i] + lo : begin[i] + hi].tolist())
-        if d <= int(index["tolerance"] * int(index["count"][item])) and ((i, item) not in out or (d, lo + e) < out[i, item]):
-            out[i, item] = (d, lo + e)
+        if done and lo <= done[-1][1]:  # they come by lo; the windows of a long copy overlap, and one pass serves them all
+            done[-1][1] = max(done[-1][1], hi)
+        else:
+            done.append([lo, hi])
+    for (i, item), done in seen.items():
+        for lo, hi in done:
+            d, e = edits(index["words"][item], h[begin[i] + lo : begin[i] + hi].tolist())
+            if d <= int(index["tolerance"] * int(index["count"][item])) and ((i, item) not in out or (d, lo + e) < out[i, item]):
+                out[i, item] = (d, lo + e)
     return [(i, item, d, e) for (i, item), (d, e) in out.items()]
 
 

@@ -237,6 +237,31 @@ def test_decontamination(spark, hard):
     assert decontaminate.find_leaks(empty(spark), bench).count() == decontaminate.find_leaks(df, bench.limit(0)).count() == 0
 
 
+def recall_at_tolerance(lengths, copies=60):
+    """For each length, the share of the copies with as many edits as the tolerance allows that the index of all of them finds."""
+    rng, items, texts = random.Random(8), [], []
+    for n in lengths:
+        for _ in range(copies):
+            items.append((len(items), words(rng, n, 50_000)))
+            w = items[-1][1].split()
+            for _ in range(int(decontaminate.TOLERANCE * n)):
+                kind, p = rng.randrange(3), rng.randrange(len(w))
+                w[p : p + (kind != 1)] = [f"e{rng.randrange(10**9)}"] * (kind != 2)
+            texts.append(" ".join([words(rng, rng.randrange(40), 50_000), *w, words(rng, 40, 50_000)]))
+    index = decontaminate._ready(decontaminate.build(items)[0])
+    found = np.zeros(len(items))
+    for i, item, *_ in decontaminate._find(decontaminate.constants(), index, pa.array(texts)):
+        found[i] = max(found[i], i == item)
+    return found.reshape(len(lengths), copies).mean(1)
+
+
+def test_decontamination_finds_long_items(monkeypatch):
+    assert recall_at_tolerance([128, 256, 384, 700, 1000]).min() >= 0.9
+    monkeypatch.setattr(decontaminate, "MOST_REPEATS", 1)
+    with pytest.raises(ValueError, match="repetitions find"):
+        decontaminate.build([(0, words(random.Random(9), 34, 3000))])
+
+
 def test_language(spark, hard):
     rng = random.Random(7)
     words_of = {"aa": ["kala", "mato", "luna", "riko"], "bb": ["strug", "brenk", "dworf", "plint"], "cc": ["été", "çava", "noël", "où"]}
