@@ -6,8 +6,8 @@ at small edit distance give walks at small Hamming distance. A repetition sample
 samples make a candidate. Items are grouped by length in powers of two up to 2**LONGEST, with W half
 the class' least length: document windows start at every s-th word and item windows at every word,
 which makes any copy contain aligned windows, and longer items the more of them. Repetitions are added
-until simulated edits at the tolerated rate are found with the target probability; where MOST_REPEATS
-don't reach it, building is an error. Each candidate's alignment is verified by
+until, for each of the class' lengths, simulated edits at the tolerated rate are found with the target
+probability; where MOST_REPEATS don't reach it, building is an error. Each candidate's alignment is verified by
 semi-global edit distance over words: an item leaks where some part of the document is within
 floor(tolerance * words) edits of the whole item.
 
@@ -34,8 +34,8 @@ TOLERANCE, RECALL, SAMPLES = 0.15, 0.97, 4
 MIN_WORDS, MOST_REPEATS = 5, 256
 #: Items of 2**LONGEST words and more are one class: a walk over more words meets too many edits.
 LONGEST = 5
-#: Edited copies that measure the recall of the repetitions.
-COPIES = 128
+#: Edited copies of each length that measure the recall of the repetitions.
+COPIES = 256
 #: Items are indexed in blocks of so many words, each block broadcast; more items mean more passes.
 BLOCK_WORDS = 2_000_000
 
@@ -114,6 +114,12 @@ def _simulate(c: dict, w: int, rep: int) -> np.ndarray:
     return found
 
 
+def lengths_of(count: np.ndarray) -> list[int]:
+    """The lengths to simulate: every one below 4 * 2**LONGEST words; of the longer, which hold ever more windows, the least."""
+    every, most = np.unique(count), 4 * 2**LONGEST
+    return [*every[every < most].tolist(), *every[every >= most][:1].tolist()]
+
+
 def build(items: list[tuple], tolerance: float = TOLERANCE, recall: float = RECALL) -> list[dict]:
     """The index: for each length class its repetitions, each a sorted array of keys with item and offset."""
     c = constants()
@@ -126,9 +132,9 @@ def build(items: list[tuple], tolerance: float = TOLERANCE, recall: float = RECA
     for k in sorted(set(kinds[count >= MIN_WORDS].tolist())):
         mine = np.flatnonzero((kinds == k) & (count >= MIN_WORDS))
         w, stride = geometry(k)
-        length = int(np.median(count[mine]))
-        missed, reps = np.ones(COPIES, bool), []
-        copies = _copies(length, stride, tolerance, np.random.Generator(np.random.PCG64([k, 9])))
+        lengths, reps = lengths_of(count[mine]), []
+        copies = [_copies(n, stride, tolerance, np.random.Generator(np.random.PCG64([n, 9]))) for n in lengths]
+        missed = np.ones((len(lengths), COPIES), bool)
         start = np.concatenate([np.arange(begin[i], begin[i] + count[i]) for i in mine])
         end = np.repeat(begin[mine] + count[mine], count[mine])
         owner = np.repeat(mine, count[mine])
@@ -138,11 +144,13 @@ def build(items: list[tuple], tolerance: float = TOLERANCE, recall: float = RECA
             order = np.argsort(key, kind="stable")
             on = on[order]
             reps.append({"rep": rep, "steps": steps, "key": key[order], "item": owner[on], "offset": (start - begin[owner])[on], "known": [np.bincount((x >> U(46)).astype(np.int64), minlength=1 << 18) > 0 for x in part]})
-            missed &= ~_simulate(copies, w, rep)
-            if missed.mean() <= 1 - recall:
+            for i in np.flatnonzero(missed.mean(1) > 1 - recall):
+                missed[i] &= ~_simulate(copies[i], w, rep)
+            worst = int(missed.mean(1).argmax())
+            if missed[worst].mean() <= 1 - recall:
                 break
         else:
-            raise ValueError(f"{MOST_REPEATS} repetitions find {1 - missed.mean():.2f} of the copies of {length} words at tolerance {tolerance}, not {recall}")
+            raise ValueError(f"{MOST_REPEATS} repetitions find {1 - missed[worst].mean():.2f} of the copies of {lengths[worst]} words at tolerance {tolerance}, not {recall}")
         out.append({"k": k, "w": w, "stride": stride, "reps": reps})
     return [{"classes": out, "h": h, "begin": begin, "count": count, "ids": [i for i, _ in items], "tolerance": tolerance}]
 

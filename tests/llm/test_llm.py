@@ -262,6 +262,12 @@ def test_decontamination_finds_long_items(monkeypatch):
         decontaminate.build([(0, words(random.Random(9), 34, 3000))])
 
 
+def test_decontamination_finds_every_length():
+    """The shortest items of a class too, though the others need fewer repetitions."""
+    assert recall_at_tolerance([32, 34, 40, 47, 54, 60]).min() >= 0.9
+    assert recall_at_tolerance([5, 6, 7, 8, 13, 14, 15, 16, 20, 24, 28, 31]).min() >= 0.9
+
+
 def test_language(spark, hard):
     rng = random.Random(7)
     words_of = {"aa": ["kala", "mato", "luna", "riko"], "bb": ["strug", "brenk", "dworf", "plint"], "cc": ["été", "çava", "noël", "où"]}
