@@ -2,9 +2,10 @@
 
 Every labelled document is counted: the top order by occurrences, lower orders by the number of
 distinct characters before them. Each order discounts by D = n1 / (n1 + 2 n2) and interpolates with the
-next lower one; the mass of grams that are too rare for the model goes to its context's back-off, so the
-model still sums to one. The model is one sorted array of gram hashes for each order, with a column of
-log probabilities for each language. A text is given the language of lowest cross-entropy in bits a
+next lower one. Every gram that was seen is in the model, which grows with the corpus: sorted arrays of
+gram hashes for each order, with a column of log probabilities for each language, in parts by the two
+characters before the last. A part is built at a time, into a file that executors fetch once and map,
+so that neither the driver nor a worker holds the model in memory. A text is given the language of lowest cross-entropy in bits a
 character. Rejection is calibrated: in a second aggregation over all documents each language's own
 spread of cross-entropies sets a limit, wider for short texts; a text beyond it is "und".
 
@@ -18,22 +19,28 @@ name. Repeated rows are judged alike and all count; a null doc_id is carried; ex
 
 from __future__ import annotations
 
+import atexit
 import functools
+import os
+import shutil
+import tempfile
 import unicodedata
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark import SparkFiles
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bitloom.llm.arrays import U, column, mix, pieces, strings
 from bitloom.session import materialize
 
 ORDER, BITS, SPACE = 5, 12, 32
-#: A gram is in the model if it makes up this share of its language's grams of its order.
-LEAST_SHARE = 2e-6
+#: A part of the model is built from about so many grams.
+PART_ROWS = 1_000_000
 #: A text is rejected beyond the median by so many spreads, and more by SHORT / sqrt(characters).
 SPREADS, LEAST_SPREAD, SHORT = 8.0, 0.05, 20.0
 UNKNOWN = "und"
@@ -107,22 +114,28 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out(lang)
 
 
-def count_tables(docs: DataFrame, least_share: float = LEAST_SHARE) -> pa.Table:
-    """(lang, level, gram, n, total) of the grams that the model keeps, and a row with level 0 - order for each discount.
+def count_tables(docs: DataFrame) -> DataFrame:
+    """(lang, level, gram, n, total) of all grams, and a row with level 0 - order for each discount.
 
-    docs has lang and text. total is the sum over all grams with the same context, kept or not."""
+    docs has lang and text. total is the sum over all grams with the same context."""
     raw = docs.filter("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text").mapInArrow(_count, "lang string, gram bigint, n bigint")
     level = materialize(raw.groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
     parts = []
     for k in range(ORDER, 0, -1):
-        d = level.groupBy("lang").agg(F.sum((F.col("n") == 1).cast("long")).alias("n1"), F.sum((F.col("n") == 2).cast("long")).alias("n2"), F.sum("n").alias("all"))
+        d = level.groupBy("lang").agg(F.sum((F.col("n") == 1).cast("long")).alias("n1"), F.sum((F.col("n") == 2).cast("long")).alias("n2"))
         of = level.withColumn("total", F.sum("n").over(Window.partitionBy("lang", F.shiftright("gram", BITS))))
-        kept = of.join(d.select("lang", "all"), "lang").filter((F.col("n") >= F.col("all") * least_share) | F.lit(k == 1))
-        parts.append(kept.select("lang", F.lit(k).alias("level"), "gram", "n", "total"))
+        parts.append(of.select("lang", F.lit(k).alias("level"), "gram", "n", "total"))
         parts.append(d.select("lang", F.lit(-k).alias("level"), F.lit(0).cast("bigint").alias("gram"), F.col("n1").alias("n"), F.col("n2").alias("total")))
         if k > 1:
             level = materialize(level.groupBy("lang", F.col("gram").bitwiseAND(F.lit((1 << (BITS * (k - 1))) - 1)).alias("gram")).agg(F.count("*").alias("n")), "grams")
-    return functools.reduce(DataFrame.union, parts).toArrow()  # at most 1 / least_share rows a language and order
+    return materialize(functools.reduce(DataFrame.union, parts), "counts")
+
+
+def _part(key, parts: int):
+    """The part that holds a gram of three characters or more, its context and its lower orders, as a Column or an array."""
+    pair = F.shiftright(key, BITS).bitwiseAND(F.lit((1 << (2 * BITS)) - 1)) if isinstance(key, Column) else (key >> BITS) & ((1 << (2 * BITS)) - 1)
+    mixed = pair * 2654435761
+    return F.pmod(F.shiftright(mixed, 16), F.lit(parts)) if isinstance(key, Column) else (mixed >> 16) % parts
 
 
 def _sorted(key: np.ndarray, values: np.ndarray) -> dict:
@@ -151,6 +164,15 @@ def _look(t: dict, key: np.ndarray) -> np.ndarray:
 
 def log_prob(model: dict, k: int, key: np.ndarray) -> np.ndarray:
     """Log2 probability of each gram's last character after the others, a column for each language."""
+    if "parts" in model:
+        if len(model["parts"]) == 1 or k < 3:  # every part has the lower orders whole
+            return log_prob(model["parts"][0], k, key)
+        part = _part(key, len(model["parts"]))
+        out = np.empty((len(key), len(model["langs"])), np.float32)
+        for i in np.unique(part):
+            own = np.flatnonzero(part == i)
+            out[own] = log_prob(model["parts"][i], k, key[own])
+        return out
     if k == 0:
         return np.broadcast_to(model["floor"], (len(key), len(model["langs"])))
     t = model["grams"][k]
@@ -166,15 +188,12 @@ def log_prob(model: dict, k: int, key: np.ndarray) -> np.ndarray:
     return out
 
 
-def build(table: pa.Table) -> dict:
-    """The model of count_tables()."""
-    lang, level, gram, n, total = (np.asarray(table[c].to_pylist(), object) if c == "lang" else table[c].to_numpy() for c in ("lang", "level", "gram", "n", "total"))
-    langs = sorted(set(lang.tolist()))
-    which = np.array([langs.index(x) for x in lang], np.int64) if len(langs) else np.zeros(0, np.int64)
+def build(table: pa.Table, langs: list[str]) -> dict:
+    """One part of the model, of rows of count_tables()."""
+    level, gram, n, total = (table[c].to_numpy() for c in ("level", "gram", "n", "total"))
+    which = pc.index_in(table["lang"], pa.array(langs, pa.string())).to_numpy().astype(np.int64)
     size = len(langs)
     model = {"langs": langs, "grams": {}, "contexts": {}, "floor": np.zeros(size, np.float32)}
-    if not size:
-        return model
     known = len(np.unique(gram[level == 1])) + 1
     model["floor"] = np.full(size, -np.log2(known), np.float32)
     for k in range(1, ORDER + 1):
@@ -207,8 +226,36 @@ def entropies(model: dict, lut: np.ndarray, arr: pa.Array) -> tuple[np.ndarray,
     return bits / np.maximum(n, 1)[:, None], n
 
 
-def _score(held, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    model, lut = held.value, letters()
+def _save(part: dict, f) -> dict:
+    """part with (offset, type, shape) in f for each array."""
+    out = dict(part)
+    for kind in ("grams", "contexts"):
+        out[kind] = {}
+        for k, t in part[kind].items():
+            out[kind][k] = t = dict(t)
+            for name in ("hash", "values", "start"):
+                x = np.ascontiguousarray(t[name])
+                f.write(b"\0" * (-f.tell() % 64))
+                t[name] = (f.tell(), x.dtype.str, x.shape)
+                f.write(x.tobytes())
+    return out
+
+
+def _mapped(model: dict, path: str) -> dict:
+    """The model with the arrays of the file, mapped rather than read."""
+
+    def array(at: tuple) -> np.ndarray:
+        offset, kind, shape = at
+        return np.memmap(path, kind, "r", offset, shape).view(np.ndarray) if all(shape) else np.zeros(shape, kind)
+
+    def opened(part: dict) -> dict:
+        return part | {kind: {k: t | {x: array(t[x]) for x in ("hash", "values", "start")} for k, t in part[kind].items()} for kind in ("grams", "contexts")}
+
+    return model | {"parts": [opened(x) for x in model["saved"]]}
+
+
+def _score(saved: dict, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    model, lut = _mapped(saved, SparkFiles.get(os.path.basename(saved["path"]))), letters()
     for batch in batches:
         for p in pieces(batch, "text", 1 << 19):
             bits, n = entropies(model, lut, column(p, "text"))
@@ -219,9 +266,23 @@ def _score(held, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([column(p, "doc_id"), column(p, "label"), *cols], ["doc_id", "label", "best", "bits", "margin", "letters"])
 
 
-def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least_share: float = LEAST_SHARE) -> dict:
-    """The model of all labelled documents."""
-    return build(count_tables(docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")), least_share))
+def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> dict:
+    """The model of all labelled documents; its file stays until the driver ends."""
+    counts = count_tables(docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")))
+    base = counts.filter("level < 3").toArrow()  # a row a language and order, or a pair of characters
+    langs = sorted(pc.unique(base["lang"]).to_pylist())
+    if not langs:
+        return {"langs": langs}
+    many = counts.filter("level >= 3")
+    parts = max(1, -(-many.count() // PART_ROWS))
+    folder = tempfile.mkdtemp(prefix="bitloom-")
+    atexit.register(shutil.rmtree, folder, True)
+    path, saved = os.path.join(folder, f"langid-{uuid.uuid4().hex}"), []
+    with open(path, "wb") as f:
+        for i in range(parts):
+            own = many.filter(_part(F.col("gram"), parts) == i).toArrow()
+            saved.append(_save(build(pa.concat_tables([base, own.cast(base.schema)]), langs), f))
+    return _mapped({"langs": langs, "path": path, "saved": saved}, path)
 
 
 def identify(docs: DataFrame, model: dict | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -231,9 +292,10 @@ def identify(docs: DataFrame, model: dict | None = None, id_col: str = "doc_id",
     if not model["langs"]:
         null = F.lit(None).cast("double")
         return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.lit(UNKNOWN).alias("lang"), null.alias("bits"), null.alias("margin"))
-    held = spark.sparkContext.broadcast(model)
+    spark.sparkContext.addFile(model["path"])
+    saved = {k: model[k] for k in ("langs", "path", "saved")}
     slim = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(lang_col).cast("string").alias("label"), F.col(text_col).alias("text"))
-    scored = slim.mapInArrow(functools.partial(_score, held), "doc_id bigint, label string, best string, bits double, margin double, letters bigint")
+    scored = slim.mapInArrow(functools.partial(_score, saved), "doc_id bigint, label string, best string, bits double, margin double, letters bigint")
     scored = materialize(scored, "scored")
     spread = scored.filter("best = label").groupBy(F.col("best").alias("of")).agg(F.percentile_approx("bits", F.array(F.lit(0.5), F.lit(0.84)), F.lit(1000)).alias("q"))
     limit = {r[0]: (r[1][0], max(r[1][1] - r[1][0], LEAST_SPREAD)) for r in spread.collect()}  # a row a language

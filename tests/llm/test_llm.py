@@ -290,6 +290,21 @@ def test_language(spark, hard):
     assert n.tolist() == [0, 0, 4]
 
 
+def test_language_models_keep_rare_grams(spark, monkeypatch):
+    rng = random.Random(10)
+    rows = [(" ".join(rng.choice("kala mato luna riko".split()) for _ in range(5000)), "aa") for _ in range(60)] + [("zyqxw", "aa"), ("strug brenk", "bb")]
+    df = spark.createDataFrame(rows, "text string, lang string")
+    model, lut = langid.train(df), langid.letters()
+    key = langid.grams(lut, pa.array(["zyqxw"]))[1]
+    held = (model.get("parts") or [model])[0]["grams"][langid.ORDER]
+    assert np.all(langid._look(held, key) >= 0)
+    monkeypatch.setattr(langid, "PART_ROWS", 40)
+    many = langid.train(df)
+    assert len(many["parts"]) > 2
+    texts = pa.array(["kala brenk zyqxw", "unknown words", "luna"])
+    assert np.allclose(langid.entropies(many, lut, texts)[0], langid.entropies(model, lut, texts)[0], atol=1e-5)
+
+
 @pytest.mark.parametrize(("width", "bits", "block"), [(16, True, 1000), (16, False, 64), (32, True, 1 << 16)])
 def test_blocks_round_trip(spark, hard, width, bits, block):
     enc = tokens.encoder(tokens.VOCABULARY)
