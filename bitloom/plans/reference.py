@@ -301,7 +301,7 @@ def byte_pad(spark: SparkSession, d: str) -> DataFrame:
 @register("range_roundtrip")
 def range_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     base = materialize(metrics.base_counts(metrics.byte_bigrams(table(spark, d, "documents"))), "base")
-    return codec.range_round_trip(table(spark, d, "benchmark"), base, "item_id")
+    return codec.range_round_trip(table(spark, d, "documents"), base, "doc_id")
 
 
 @register("library_baselines")

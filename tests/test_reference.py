@@ -97,6 +97,26 @@ def test_range_coder(data, seed):
     assert codec.bits_to_bytes(bits)[0] == data
 
 
+def test_range_coder_by_rows():
+    rng = np.random.default_rng(4)
+    counts = rng.integers(0, 1000, (256, 256))
+    cum = [np.append(0, np.cumsum(f)).tolist() for f in codec.quantise(counts)]
+    for rows in (0, 3, 60):
+        texts = [rng.integers(0, 256, k).astype(np.uint8).tobytes() for k in rng.integers(0, 400, rows)] + [b"", b"a" * 3000] * (rows > 0)
+        n = np.array([len(x) for x in texts], np.int64)
+        z, ideal, ok = codec.round_trip(np.frombuffer(b"".join(texts), np.uint8), n, cum)
+        assert z.tolist() == [len(codec.encode(x, cum)) for x in texts]
+        assert ok.all()
+        assert np.all(z * 8 >= ideal)
+
+
+def test_range_coder_codes_the_documents(spark):
+    got = catalog.queries()["range_roundtrip"](spark, SF).collect()
+    docs = spark.read.parquet(f"{SF}/documents.parquet").selectExpr("doc_id", "coalesce(octet_length(text), 0) AS n").collect()
+    assert sorted((r.id, r.original_bytes) for r in got) == sorted((r.doc_id, r.n) for r in docs)
+    assert all(r.roundtrip_ok for r in got)
+
+
 def test_patches():
     t = codec.patch_tokens(b"x" * 3126, 16, ".BMP")
     assert len(t) == 16 + 3136 + 16
