@@ -401,6 +401,19 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return stars.union(across.select(F.least("x", "y"), F.greatest("x", "y"), F.round("jaccard", 6)))
 
 
+def every_pair(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, t: float = THRESHOLD) -> DataFrame:
+    """(doc_a, doc_b, jaccard) with doc_a < doc_b for all pairs of documents, not of class heads: the square of a class' size in rows.
+
+    A doc_id with several texts is in a pair with the greatest Jaccard of them."""
+    own = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).withColumn("rid", F.xxhash64("id", "text"))
+    classes, pairs = set_join(own.select("rid", "id", "text"), n, t)
+    named = materialize(classes.filter("size > 0 AND id IS NOT NULL").select("key", "id").distinct(), "named")
+    x, y = named.select(F.col("key").alias("a"), F.col("id").alias("x")), named.select(F.col("key").alias("b"), F.col("id").alias("y"))
+    same = x.join(y, F.col("a") == F.col("b")).filter("x < y").select("x", "y", F.lit(1.0).alias("jaccard"))
+    across = pairs.join(x, "a").join(y, "b").filter("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), F.round("jaccard", 6).alias("jaccard"))
+    return same.union(across).groupBy(F.col("x").alias("doc_a"), F.col("y").alias("doc_b")).agg(F.max("jaccard").alias("jaccard"))
+
+
 def components(pairs: DataFrame) -> DataFrame:
     """(key, comp): the least key of each connected component of pairs(a, b), by large-star and small-star steps."""
     edges = materialize(pairs.select("a", "b"), "edges")

@@ -81,6 +81,17 @@ def test_join_is_exact(spark):
     assert kept == {i for i in range(len(texts)) if root(i) == i}
 
 
+def test_every_pair(spark):
+    texts = near_docs(random.Random(11))
+    texts += texts[:20] + texts[:20]
+    got = {(r.doc_a, r.doc_b): r.jaccard for r in jaccard.every_pair(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
+    sets = [shingles(t) for t in texts]
+    j = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in range(len(sets)) for b in range(a + 1, len(sets))}
+    want = {k: round(v, 6) for k, v in j.items() if v >= jaccard.THRESHOLD - 1e-12}
+    assert set(got) == set(want)
+    assert all(abs(got[k] - v) < 1e-5 for k, v in want.items())
+
+
 def test_join_hard(spark, hard):
     pairs = {(r.doc_a, r.doc_b) for r in jaccard.ngram_jaccard_join(hard).collect()}
     assert (2, 53) in pairs
