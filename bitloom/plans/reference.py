@@ -311,12 +311,12 @@ def library_baselines(spark: SparkSession, d: str) -> DataFrame:
 
 @register("bytemachine_run")
 def bytemachine_run(spark: SparkSession, d: str) -> DataFrame:
-    return bytemachine.generate(spark, 1000, 64)
+    return bytemachine.generate(spark, 1000)
 
 
 @register("bytemachine_eval")
 def bytemachine_eval(spark: SparkSession, d: str) -> DataFrame:
     """A prediction that lacks its last byte: all but one byte match."""
-    true = materialize(bytemachine.generate(spark, 200, 32), "states")
+    true = materialize(bytemachine.generate(spark, 21_000), "states")
     cut = true.select("name", F.expr("substring(states, 1, octet_length(states) - 1)").alias("states"))
     return bytemachine.accuracy(true, cut).select("name", "matched", "total", F.round(F.col("matched") / F.col("total"), 6).alias("accuracy"))

@@ -135,6 +135,11 @@ def test_machine():
     assert (len(bm.run(p)) - bm.MEMORY) % bm.STATE == 0
 
 
+def test_machine_queries_run_long_programs(spark):
+    assert catalog.queries()["bytemachine_run"](spark, SF).selectExpr("max(n_states)").first()[0] > 200
+    assert catalog.queries()["bytemachine_eval"](spark, SF).selectExpr("max(total)").first()[0] > bm.MEMORY + 200 * bm.STATE
+
+
 def test_media():
     x = np.random.default_rng(1).integers(0, 256, (50, 45, 3), dtype=np.uint8)
     parts = media.patches(media.write_bmp(x))
