@@ -35,9 +35,18 @@ def _remove(path: str) -> None:
         shutil.rmtree(path.removeprefix("file://"))
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that materialize() wrote, on whatever file system they are. Nothing may read them any more."""
+    for df in tables:
+        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+        path = jvm.org.apache.hadoop.fs.Path(df.written_to)
+        path.getFileSystem(conf).delete(path, True)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: lineage ends in a table
-    that survives executor loss. The write's own shuffle files are released when it has ended."""
+    that survives executor loss. The write's own shuffle files are released when it has ended; the table
+    stays until discard(), or until the driver ends if it is local."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/bitloom-{name}-{uuid.uuid4().hex}"
     if path.startswith("file://"):
@@ -51,7 +60,9 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
             spark.conf.unset(_CLEAN_SHUFFLES)
         else:
             spark.conf.set(_CLEAN_SHUFFLES, before)
-    return spark.read.schema(df.schema).parquet(path)
+    read = spark.read.schema(df.schema).parquet(path)
+    read.written_to = path
+    return read
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
