@@ -1,17 +1,25 @@
 """Operator 1: exact n-gram Jaccard join by universe partition and pigeonhole.
 
-Each document is the set of its distinct word n-grams. The token universe is hashed into ``m``
+Each document is the set of its distinct word n-grams, as 52-bit hashes. The token universe is hashed into ``m``
 segments, ``m`` depending on the set's size band. Two sets with Jaccard at least ``t`` differ in at
 most H tokens, so of H + 1 segments one is equal in both, and with allocation 2 a segment may also
-differ by one token (one-deletion neighbourhoods). The larger set of a pair probes only the
+differ by one token (one-deletion neighbourhoods, for sets below SHORT). The larger set of a pair probes only the
 segments that are cheapest under the corpus' token frequencies, as many as the pigeonhole needs;
-the smaller one is indexed under all its segments. Candidates are verified exactly. A set whose
-segments can't carry H + 1 (hash accident) goes through a brute-force pass, so the join is exact.
-
-Defined results. Null and wordless texts join with nothing. A document of fewer than n words has one
-shingle. Documents with equal sets form a class: its least doc_id is paired with each other member
-(Jaccard 1) and stands for the class in all other pairs; expanding the classes gives the full join.
-Repeated rows count once; rows with a null doc_id are in no pair. Extra columns are ignored.
+the smaller one is indexed under all its segments. A set whose segments can't carry H + 1 (hash accident) is
+compared with all sets that share one of its rarest tokens (prefix filter), so the join is exact.
+
+Pairs are never rows before they are likely. A part of the signatures gives its colliding pairs as
+adjacency lists over its own numbering; they are routed to blocks of sets (a set's key begins with a hash of its
+least token, so near duplicates have mostly the same block), where repeats go, and are held against
+parity sketches of about 1.5 bits a token: the number of differing bits is at most that of differing
+tokens. What is left goes to groups by least neighbour, each set's tokens are sent once to each group that
+needs them, and the intersections are counted exactly. A hot signature or a hot block is cut into
+chunks that are paired in tasks of their own.
+
+Defined results. Null and wordless texts link with nothing; each is a class of its own. A document of fewer than n
+words has one shingle. Texts of any length are read whole. Repeated rows count once, and so do rows with a null
+doc_id and equal sets. Documents with equal 64-bit set keys are copies, which are links too. Ties don't occur: a
+class is named by its least doc_id. An empty table gives no row. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,24 +30,31 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bitloom.llm.arrays import U, column, constants, fresh, mix, pieces, sets
-from bitloom.session import materialize
+from bitloom.session import discard, materialize
 
 N, THRESHOLD = 2, 0.7
-#: Sets below this size also use one-deletion neighbourhoods; in larger ones plain segments suffice.
+#: Sets below this size also use one-deletion neighbourhoods; in larger ones plain segments suffice. The result doesn't depend on it.
 SHORT = 160
 #: Token frequencies are counted in 2**BITS cells, whatever the input.
 BITS = 20
 SKETCH = 1 << BITS
 DENSITY = 1.17
-PROBE, INDEX, DELETED = 1, 2, 4
+PROBE, INDEX, DELETED, LINKED = 1, 2, 4, 8
 FLUSH, PER_PART = 1 << 20, 1 << 19
-#: Pairs that are verified together.
-TOGETHER = 1500
+#: Signatures of one value beyond these are paired by chunks of so many.
+HOT = 1 << 14
+#: Colliding pairs, repeats included, that meet in one block pair.
+TOGETHER = 1 << 21
+#: Tokens that are compared in one task, and tokens times pairs beyond which a group is split.
+WEIGHT, WORK = 1 << 21, 1 << 31
+#: Sides of at most so many rows (24 bytes each) are broadcast; larger ones are shuffled. The result doesn't depend on it.
 BROADCAST_ROWS = 2_000_000
+#: Blocks that are split further: of more than these, the largest ones.
+WIDE_ROWS = 1_000_000
 
 
 @functools.cache
@@ -82,8 +97,8 @@ def _allocate(r: dict, need: np.ndarray, short: np.ndarray, n: int) -> tuple[np.
     return probe, two, (lack > have) & (need > 0)
 
 
-def signatures(row: np.ndarray, tok: np.ndarray, n: int, t: float, heat: np.ndarray) -> tuple[tuple[np.ndarray, ...], np.ndarray]:
-    """((row, signature, preceding, flags), which rows fall short) of the sets of n rows."""
+def signatures(row: np.ndarray, tok: np.ndarray, n: int, t: float, heat: np.ndarray, most_short: int = SHORT) -> tuple[tuple[np.ndarray, ...], np.ndarray]:
+    """((row, signature, preceding probed signature where LINKED, flags), which rows fall short) of the sets of n rows."""
     size = np.bincount(row, minlength=n)
     b = np.array(bands(t), np.int64)
     k = np.searchsorted(b, size, "right") - 1
@@ -99,16 +114,15 @@ def signatures(row: np.ndarray, tok: np.ndarray, n: int, t: float, heat: np.ndar
         if not sel.any():
             continue
         r = _runs(row[sel], tok[sel], segments(t, hi), band, heat)
-        short = hi <= SHORT
+        short = hi <= most_short
         probe, two, lack = _allocate(r, need, short, n)
         lacking |= lack
         sig = mix(r["sum"] ^ r["salt"])
         flags = np.where(probe, PROBE, 0) | (0 if lower else INDEX)
-        own = mix(sig + mix(r["row"].astype(U) + U(0x1234567)) + tok[sel][r["at"]])  # matches nothing
-        prev = own.copy()
-        ok = np.zeros(len(sig), bool)
+        prev, ok = np.zeros_like(sig), np.zeros(len(sig), bool)
         ok[1:] = (r["row"][1:] == r["row"][:-1]) & probe[:-1]
-        prev[1:][ok[1:]] = sig[:-1][ok[1:]]
+        prev[1:] = sig[:-1]
+        flags |= np.where(ok, LINKED, 0)
         c.append((r["row"], sig, prev, flags)) if not lower else c.append(tuple(a[probe] for a in (r["row"], sig, prev, flags)))
         # Neighbourhoods: every short set is indexed under them, and probes them where it needs to.
         del_seg = (r["size"] > 1) & (two if lower else short[r["row"]])
@@ -117,7 +131,7 @@ def signatures(row: np.ndarray, tok: np.ndarray, n: int, t: float, heat: np.ndar
             pick = del_seg[of]
             o = of[pick]
             s = mix((r["sum"][o] - r["x"][pick]) ^ r["salt"][o])
-            c.append((r["row"][o], s, mix(s + own[o]), DELETED | np.where(two[o], PROBE, 0) | (0 if lower else INDEX)))
+            c.append((r["row"][o], s, np.zeros_like(s), DELETED | np.where(two[o], PROBE, 0) | (0 if lower else INDEX)))
             # A set that probes neighbourhoods probes all its plain segments too, which _allocate did.
     if not c:
         z = np.zeros(0, np.int64)
@@ -126,40 +140,41 @@ def signatures(row: np.ndarray, tok: np.ndarray, n: int, t: float, heat: np.ndar
 
 
 def set_keys(row: np.ndarray, tok: np.ndarray, n: int) -> np.ndarray:
-    """A 64-bit key for the set of each row; 0 for an empty one."""
+    """A 64-bit key for the set of each row; 0 for an empty one. Its upper 24 bits are of the token of least hash, which near duplicates mostly share."""
     key = np.zeros(n, U)
     if len(row):
         at = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
-        r = row[at]
-        key[r] = mix(np.add.reduceat(mix(tok), at) + np.diff(np.append(at, len(row))).astype(U)) | U(1)
+        x = mix(tok)
+        whole = mix(np.add.reduceat(x, at) + np.diff(np.append(at, len(row))).astype(U))
+        key[row[at]] = np.maximum((np.minimum.reduceat(mix(x ^ U(0x71B54A325D192ED0)), at) << U(40)) | (whole >> U(24)), U(1))
     return key
 
 
-def _histograms(row: np.ndarray, tok: np.ndarray, size: np.ndarray) -> list[bytes]:
-    """Token counts by leading bits, about two tokens a cell: the sum of minima bounds an intersection from above."""
-    k = np.maximum(4, np.ceil(np.log2(np.maximum(size, 2))).astype(np.int64) - 1)
+def _parities(row: np.ndarray, tok: np.ndarray, size: np.ndarray) -> list[bytes]:
+    """For each row the parities of its tokens' counts by their last k bits, 2**k being its size or up to twice that, and 64 at least."""
+    k = np.maximum(6, np.ceil(np.log2(np.maximum(size, 2))).astype(np.int64))
     cells = np.int64(1) << k
     begin = np.cumsum(cells) - cells
-    c = np.bincount(begin[row] + (tok >> (U(52) - k[row].astype(U))).astype(np.int64), minlength=int(cells.sum()))
-    c = np.minimum(c, 255).astype(np.uint8)
-    return [c[b : b + n].tobytes() for b, n in zip(begin.tolist(), cells.tolist(), strict=True)]
+    odd = np.bincount(begin[row] + (tok & (cells[row] - 1).astype(U)).astype(np.int64), minlength=int(cells.sum())) & 1
+    bits = np.packbits(odd.astype(np.uint8)).tobytes()
+    return [bits[b : b + n] for b, n in zip((begin // 8).tolist(), (cells // 8).tolist(), strict=True)]
 
 
-SCAN = "rid bigint, id bigint, key bigint, size int, lacking boolean, n_sig bigint, cells binary, slice int, counts binary"
+SCAN = "rid bigint, id bigint, key bigint, size int, lacking boolean, n_sig bigint, parities binary, slice int, counts binary"
 
 
-def _scan(n: int, t: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _scan(n: int, t: float, short: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each document, and this task's token counts, which are summed over the corpus."""
     c, heat, none = constants(), np.zeros(SKETCH, np.int32), np.zeros(SKETCH, np.int32)
-    names = ["rid", "id", "key", "size", "lacking", "n_sig", "cells", "slice", "counts"]
+    names = ["rid", "id", "key", "size", "lacking", "n_sig", "parities", "slice", "counts"]
     for batch in batches:
         for p in pieces(batch, "text"):
             row, tok = sets(c, column(p, "text"), n)
             heat += np.bincount((tok >> U(52 - BITS)).astype(np.int64), minlength=SKETCH).astype(np.int32)
-            (r, *_), lacking = signatures(row, tok, p.num_rows, t, none)
+            (r, *_), lacking = signatures(row, tok, p.num_rows, t, none, short)
             k = p.num_rows
             size = np.bincount(row, minlength=k)
-            yield pa.RecordBatch.from_arrays([column(p, "rid"), column(p, "id"), pa.array(set_keys(row, tok, k).view(np.int64)), pa.array(size.astype(np.int32)), pa.array(lacking), pa.array(np.bincount(r, minlength=k)), pa.array(_histograms(row, tok, size), pa.binary()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([column(p, "rid"), column(p, "id"), pa.array(set_keys(row, tok, k).view(np.int64)), pa.array(size.astype(np.int32)), pa.array(lacking), pa.array(np.bincount(r, minlength=k)), pa.array(_parities(row, tok, size), pa.binary()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names)
     if heat.any():
         cut = np.split(heat, 16)
         yield pa.RecordBatch.from_arrays([pa.nulls(16, pa.int64())] * 3 + [pa.nulls(16, pa.int32()), pa.nulls(16, pa.bool_()), pa.nulls(16, pa.int64()), pa.nulls(16, pa.binary()), pa.array(range(16), pa.int32()), pa.array([x.tobytes() for x in cut], pa.binary())], names)
@@ -172,35 +187,42 @@ def _add(table: pa.Table) -> pa.Table:
     return pa.table({"slice": table["slice"][:1], "counts": pa.array([total.tobytes()], pa.binary())})
 
 
-def _emit(n: int, t: float, parts: int, heat, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Signatures, packed by partition: keys once, then 10 bytes a signature."""
+def _emit(n: int, t: float, short: int, parts: int, heat, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Signatures, packed by partition: a key, a size and a count for each document, and 4 or 8 bytes a signature. Of copies that are held together one is sent."""
     c, hot = constants(), heat.value
     held, keys, count, docs = [], [], 0, 0
 
     def flush() -> pa.RecordBatch:
-        doc, sig, prev, flags = (np.concatenate(x) for x in zip(*held, strict=True))
+        doc, sig, prev, flags, size = (np.concatenate(x) for x in zip(*held, strict=True))
         key = np.concatenate(keys)
+        _, first, of = np.unique(key, return_index=True, return_inverse=True)
+        keep = (first[of] == np.arange(len(key)))[doc]
+        doc, sig, prev, flags, size = doc[keep], sig[keep], prev[keep], flags[keep], size[keep]
         part = ((sig >> U(32)) * U(parts)) >> U(32)
-        order = np.argsort(part, kind="stable")
-        part = part[order]
-        low = (((sig & U(0x1FFFFFFF)) << U(3)).astype(np.uint32) | flags.astype(np.uint32))[order]
-        before, doc = (prev & U(0xFFFFFFFF)).astype(np.uint32)[order], doc[order]
+        order = np.argsort((part << U(32)) | doc.astype(U), kind="stable")
+        part, doc, size, flags = part[order], doc[order], size[order], flags[order]
+        low = (((sig & U(0xFFFFFFF)) << U(4)).astype(np.uint32))[order] | flags.astype(np.uint32)
+        before, linked = (prev & U(0xFFFFFFFF)).astype(np.uint32)[order], flags & LINKED > 0
         at = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
         blobs = []
         for s, e in zip(at, np.append(at[1:], len(part)), strict=True):
-            uniq, inv = np.unique(doc[s:e], return_inverse=True)
-            blobs.append(b"".join((np.array([len(uniq), e - s], np.uint32).tobytes(), key[uniq].tobytes(), inv.astype(np.uint16).tobytes(), low[s:e].tobytes(), before[s:e].tobytes())))
+            run = np.flatnonzero(np.append(True, doc[s + 1 : e] != doc[s : e - 1]))
+            own = np.arange(e - s) - np.repeat(run, np.diff(np.append(run, e - s)))
+            run = np.flatnonzero(own % 60_000 == 0)  # a count has two bytes
+            q = before[s:e][linked[s:e]]
+            blobs.append(b"".join((np.array([len(run), e - s, len(q), 0], np.uint32).tobytes(), key[doc[s:e][run]].tobytes(), low[s:e].tobytes(), q.tobytes(), size[s:e][run].tobytes(), np.diff(np.append(run, e - s)).astype(np.uint16).tobytes())))
         return pa.RecordBatch.from_arrays([pa.array(part[at].astype(np.int32)), pa.array(blobs, pa.binary())], ["part", "blob"])
 
     for batch in batches:
         for p in pieces(batch, "text"):
             row, tok = sets(c, column(p, "text"), n)
-            (r, sig, prev, flags), _ = signatures(row, tok, p.num_rows, t, hot)
+            (r, sig, prev, flags), _ = signatures(row, tok, p.num_rows, t, hot, short)
             if docs + p.num_rows > 60_000 or count > FLUSH:
                 yield flush()
                 held, keys, count, docs = [], [], 0, 0
             if len(r):
-                held.append((r + docs, sig, prev, flags))
+                size = np.minimum(np.bincount(row, minlength=p.num_rows), 65_535).astype(np.uint16)
+                held.append((r + docs, sig, prev, flags, size[r]))
                 count += len(r)
                 keys.append(set_keys(row, tok, p.num_rows))
                 docs += p.num_rows
@@ -209,143 +231,410 @@ def _emit(n: int, t: float, parts: int, heat, batches: Iterator[pa.RecordBatch])
 
 
 def _unpack(blobs: pa.ChunkedArray) -> tuple[np.ndarray, ...]:
-    keys, lows, prevs = [], [], []
+    """(key, size, signature and flags, preceding) of every signature."""
+    keys, sizes, lows, prevs = [], [], [], []
     for x in blobs:
         b = x.as_buffer()
-        d, r = np.frombuffer(b, np.uint32, 2)
-        key = np.frombuffer(b, U, d, 8)
-        keys.append(key[np.frombuffer(b, np.uint16, r, 8 + 8 * d)])
-        lows.append(np.frombuffer(b, np.uint8, 4 * r, 8 + 8 * int(d) + 2 * int(r)).view(np.uint32) if (8 + 8 * int(d) + 2 * int(r)) % 4 == 0 else np.frombuffer(bytes(memoryview(b)[8 + 8 * int(d) + 2 * int(r) :][: 4 * int(r)]), np.uint32))
-        at = 8 + 8 * int(d) + 6 * int(r)
-        prevs.append(np.frombuffer(bytes(memoryview(b)[at : at + 4 * int(r)]), np.uint32))
-    return np.concatenate(keys), np.concatenate(lows), np.concatenate(prevs)
-
-
-def _collide(table: pa.Table) -> pa.Table:
-    """Candidate pairs of one partition's signatures, each only where the preceding segments don't already tell."""
-    key, low, prev = _unpack(table["blob"])
-    comp = np.sort((low >> np.uint32(3)).astype(U) << U(35) | np.arange(len(low), dtype=U))
+        d, r, q, _ = np.frombuffer(b, np.uint32, 4).tolist()
+        low = np.frombuffer(b, np.uint32, r, 16 + 8 * d)
+        at = 16 + 8 * d + 4 * (r + q)
+        times = np.frombuffer(b, np.uint16, d, at + 2 * d)
+        prev = np.zeros(r, np.uint32)
+        prev[low & LINKED > 0] = np.frombuffer(b, np.uint32, q, 16 + 8 * d + 4 * r)
+        keys.append(np.repeat(np.frombuffer(b, U, d, 16), times))
+        sizes.append(np.repeat(np.frombuffer(b, np.uint16, d, at), times))
+        lows.append(low)
+        prevs.append(prev)
+    return np.concatenate(keys), np.concatenate(sizes), np.concatenate(lows), np.concatenate(prevs)
+
+
+def pack_pairs(keys: np.ndarray, code: np.ndarray) -> bytes:
+    """Adjacency lists: the sorted keys, how many greater partners each has, and these. code is a * len(keys) + b of each pair, sorted."""
+    d = U(len(keys))
+    a, b = code // d, code % d
+    return b"".join((np.array([len(keys), len(code)], np.int64).tobytes(), keys.tobytes(), np.bincount(a.astype(np.int64), minlength=len(keys)).astype(np.uint32).tobytes(), b.astype(np.uint16 if len(keys) <= 65_536 else np.uint32).tobytes()))
+
+
+def unpack_pairs(blob) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, a, b): the pairs as places in keys."""
+    d, p = np.frombuffer(blob, np.int64, 2).tolist()
+    keys, times = np.frombuffer(blob, U, d, 16), np.frombuffer(blob, np.uint32, d, 16 + 8 * d)
+    return keys, np.repeat(np.arange(d), times), np.frombuffer(blob, np.uint16 if d <= 65_536 else np.uint32, p, 16 + 12 * d).astype(np.int64)
+
+
+def _row(keys: np.ndarray, code: np.ndarray) -> dict:
+    """The distinct pairs as a row, with the blocks in which many of them lie."""
+    used, back = np.unique(np.concatenate((code // U(len(keys)), code % U(len(keys)))).astype(np.int64), return_inverse=True)
+    a, b = np.split(back.astype(U), 2)
+    keys = keys[used]
+    place = keys[a.astype(np.int64)] >> U(40)
+    place, n = np.unique(place[place == keys[b.astype(np.int64)] >> U(40)], return_counts=True)
+    return {"n": len(code), "pairs": pack_pairs(keys, a * U(len(keys)) + b), "place": place[n >= 512].astype(np.int64).tolist(), "times": n[n >= 512].tolist(), "chunks": None}
+
+
+PAIRS = "n bigint, pairs binary, place array<bigint>, times array<bigint>, chunks binary"
+_PAIRS = pa.schema([("n", pa.int64()), ("pairs", pa.binary()), ("place", pa.list_(pa.int64())), ("times", pa.list_(pa.int64())), ("chunks", pa.binary())])
+
+
+def _meet(t: float, key: np.ndarray, size: np.ndarray, flags: np.ndarray, prev: np.ndarray, left: np.ndarray, side: np.ndarray | None = None) -> Iterator[dict]:
+    """Rows of the pairs among signatures of equal value that follow each other; left: how many are left to the end of each one's run.
+
+    The larger set probes, the smaller one is indexed; a pair whose preceding segments are equal too is met there. With side only pairs of different sides count."""
+    keys, own = np.unique(key, return_inverse=True)
+    own, d, k = own.astype(U), 1, U(len(keys))
+    s = np.where(size == 65_535, np.inf, size.astype(float))  # 65535 stands for any size beyond
+    alive, out, held = np.flatnonzero(left > 1), [], 0
+    while len(alive):
+        for part in np.array_split(alive, max(1, len(alive) >> 18)):
+            j = part + d
+            f, g, x, y = flags[part], flags[j], s[part], s[j]
+            ok = (((f & PROBE > 0) & (g & INDEX > 0) & (x >= y)) | ((g & PROBE > 0) & (f & INDEX > 0) & (y >= x))) & ((f & g & DELETED) == 0) & (own[part] != own[j])
+            ok &= ((f & g & LINKED) == 0) | (prev[part] != prev[j])
+            ok &= np.isinf(x) | np.isinf(y) | (np.minimum(x, y) >= t * np.maximum(x, y) - 1e-9)
+            if side is not None:
+                ok &= side[part] != side[j]
+            a, b = own[part[ok]], own[j[ok]]
+            if len(a):
+                out.append(np.minimum(a, b) * k + np.maximum(a, b))
+                held += len(a)
+                if held > 1 << 20:
+                    out = [np.unique(np.concatenate(out))]
+                    held = len(out[0]) // 2
+                    if len(out[0]) > 1 << 22:
+                        yield _row(keys, out[0])
+                        out, held = [], 0
+        d += 1
+        alive = alive[left[alive] > d]
+    if out:
+        yield _row(keys, np.unique(np.concatenate(out)))
+
+
+def _pack_chunk(i: np.ndarray, key: np.ndarray, size: np.ndarray, flags: np.ndarray, prev: np.ndarray, cut: int) -> bytes:
+    return b"".join((np.array([len(i), cut], np.int64).tobytes(), key[i].tobytes(), prev[i].tobytes(), size[i].tobytes(), flags[i].astype(np.uint8).tobytes()))
+
+
+def _chunks(t: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs of chunks of a hot signature."""
+    for batch in batches:
+        for x in column(batch, "chunks"):
+            b = x.as_buffer()
+            n, cut = np.frombuffer(b, np.int64, 2).tolist()
+            key, prev, size, flags = (np.frombuffer(b, kind, n, 16 + at * n) for kind, at in ((U, 0), (np.uint32, 8), (np.uint16, 12), (np.uint8, 14)))
+            side = np.arange(n) >= cut if cut else None
+            for r in _meet(t, key, size, flags, prev, np.arange(n, 0, -1), side):
+                yield pa.RecordBatch.from_pylist([r], _PAIRS)
+
+
+def _collide(t: float, hot: int, table: pa.Table) -> pa.Table:
+    """The pairs of one partition's signatures, each only where the preceding segments don't already tell; of hot ones the chunks that are to be paired."""
+    key, size, low, prev = _unpack(table["blob"])
+    comp = np.sort((low >> np.uint32(4)).astype(U) << U(35) | np.arange(len(low), dtype=U))
     idx, sig = (comp & U((1 << 35) - 1)).astype(np.int64), comp >> U(35)
     dup = np.zeros(len(sig), bool)
     dup[1:] = sig[1:] == sig[:-1]
     dup[:-1] |= dup[1:]
     idx, sig = idx[dup], sig[dup]
-    key, flags, prev = key[idx], low[idx] & np.uint32(7), prev[idx]
+    key, flags, prev, size = key[idx], low[idx] & np.uint32(15), prev[idx], size[idx]
     order = np.lexsort((flags, key, sig))
-    key, flags, prev, sig = key[order], flags[order], prev[order], sig[order]
+    key, flags, prev, size, sig = key[order], flags[order], prev[order], size[order], sig[order]
     new = np.ones(len(sig), bool)
     new[1:] = (sig[1:] != sig[:-1]) | (key[1:] != key[:-1]) | ((flags[1:] ^ flags[:-1]) & DELETED > 0)
-    key, flags, prev, sig = key[new], flags[new], prev[new], sig[new]
+    key, flags, prev, size, sig = key[new], flags[new], prev[new], size[new], sig[new]
     run = np.flatnonzero(np.append(True, sig[1:] != sig[:-1])) if len(sig) else np.zeros(0, np.int64)
     length = np.diff(np.append(run, len(sig)))
     probing = np.add.reduceat((flags & PROBE) > 0, run) > 0 if len(run) else np.zeros(0, bool)
-    left = np.repeat(np.where(probing, run + length, run), length) - np.arange(len(sig))  # to the run's end
-    alive, d, out, held = np.flatnonzero(left > 1), 1, [], 0
+    left = np.repeat(np.where(probing & (length <= hot), run + length, run), length) - np.arange(len(sig))  # to the run's end
+    rows = list(_meet(t, key, size, flags, prev, left))
+    for at, n in zip(run[probing & (length > hot)], length[probing & (length > hot)], strict=True):
+        cut = np.array_split(np.arange(at, at + n), -(-n // hot))
+        for i, x in enumerate(cut):
+            for y in cut[i:]:
+                rows.append({"n": None, "pairs": None, "place": None, "times": None, "chunks": _pack_chunk(x if y is x else np.concatenate((x, y)), key, size, flags, prev, 0 if y is x else len(x))})
+    return pa.Table.from_pylist(rows, _PAIRS)
+
+
+def _block(keys: np.ndarray, blocks: int, wide: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The block of each set, by the leading part of its key; of a wide one by the rest as well."""
+    place = keys >> U(40)
+    sub = np.zeros(len(keys), U)
+    if len(wide[0]):
+        at = np.minimum(np.searchsorted(wide[0], place), len(wide[0]) - 1)
+        sub = np.where(wide[0][at] == place, mix(keys) % wide[1][at], U(0))
+    return (mix(place * U(0x9E3779B97F4A7C15) + sub) % U(blocks)).astype(np.int64)
+
+
+def _route(blocks: int, wide, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs by pairs of blocks, as lists or, where these are longer, as they are."""
+    for batch in batches:
+        for x in column(batch, "pairs"):
+            keys, a, b = unpack_pairs(x.as_buffer())
+            of = _block(keys, blocks, wide.value)
+            grp = np.minimum(of[a], of[b]) * blocks + np.maximum(of[a], of[b])
+            order = np.argsort(grp, kind="stable")
+            grp, a, b = grp[order], a[order], b[order]
+            at = np.flatnonzero(np.append(True, grp[1:] != grp[:-1]))
+            blobs = []
+            for s, e in zip(at, np.append(at[1:], len(grp)), strict=True):
+                used, back = np.unique(np.concatenate((a[s:e], b[s:e])), return_inverse=True)
+                p, q = np.split(back.astype(U), 2)
+                lists = pack_pairs(keys[used], np.sort(p * U(len(used)) + q)) if 12 * len(used) + 2 * (e - s) < 16 * (e - s) else None
+                blobs.append(lists or b"".join((np.array([-1, e - s], np.int64).tobytes(), keys[a[s:e]].tobytes(), keys[b[s:e]].tobytes())))
+            yield pa.RecordBatch.from_arrays([pa.array(grp[at]), pa.array(blobs, pa.binary())], ["grp", "blob"])
+
+
+def _merge(table: pa.Table) -> pa.Table:
+    """The distinct pairs of a pair of blocks."""
+    lo, hi = [], []
+    for x in table["blob"]:
+        b = x.as_buffer()
+        if np.frombuffer(b, np.int64, 1)[0] < 0:
+            n = int(np.frombuffer(b, np.int64, 1, 8)[0])
+            lo.append(np.frombuffer(b, U, n, 16))
+            hi.append(np.frombuffer(b, U, n, 16 + 8 * n))
+        else:
+            keys, p, q = unpack_pairs(b)
+            lo.append(keys[p])
+            hi.append(keys[q])
+    n = sum(map(len, lo))
+    keys, back = np.unique(np.concatenate(lo + hi), return_inverse=True)
+    code = np.unique(back[:n].astype(U) * U(len(keys)) + back[n:].astype(U))
+    return pa.table({"grp": table["grp"][:1], "n": pa.array([len(code)], pa.int64()), "blob": pa.array([pack_pairs(keys, code)], pa.binary())})
+
+
+def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(at, key): the sets that each pair of blocks needs."""
+    for batch in batches:
+        for g, x in zip(column(batch, "grp").to_pylist(), column(batch, "blob"), strict=True):
+            keys = unpack_pairs(x.as_buffer())[0]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), g)), pa.array(keys.view(np.int64))], ["at", "key"])
 
-    def distinct() -> None:
-        a, b = (np.concatenate(x) for x in zip(*out, strict=True))
-        o = np.lexsort((b, a))
-        a, b = a[o], b[o]
-        keep = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))
-        out[:] = [(a[keep], b[keep])]
 
-    while len(alive):
-        for part in np.array_split(alive, max(1, len(alive) >> 18)):
-            j = part + d
-            f, g = flags[part], flags[j]
-            ok = (((f & PROBE > 0) & (g & INDEX > 0)) | ((g & PROBE > 0) & (f & INDEX > 0))) & ((f & g & DELETED) == 0) & (prev[part] != prev[j]) & (key[part] != key[j])
-            a, b = key[part[ok]].view(np.int64), key[j[ok]].view(np.int64)
-            if len(a):
-                out.append((np.minimum(a, b), np.maximum(a, b)))
-                held += len(a)
-                if held > 1 << 20:
-                    distinct()
-                    held = len(out[0][0]) // 2
-        d += 1
-        alive = alive[left[alive] > d]
+def _bound(t: float, pairs: pa.Table, found: pa.Table) -> pa.Table:
+    """(a, b, w) of the pairs that sizes and parities don't rule out; w: their tokens."""
+    none = pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "w": pa.array([], pa.int64())})
+    if not pairs.num_rows or not found.num_rows:
+        return none
+    key = found["key"].to_numpy().view(U)
+    order = np.argsort(key, kind="stable")
+    key, size = key[order], found["size"].to_numpy().astype(np.int64)[order]
+    raw = [x.as_buffer() for x in found["parities"].take(pa.array(order))]
+    words = np.array([len(x) // 8 for x in raw])
+    level, place, rows = {}, np.zeros(len(key), np.int64), {}
+    for k in np.unique(words).tolist():
+        own = np.flatnonzero(words == k)
+        place[own] = np.arange(len(own))
+        level[k, k] = np.frombuffer(b"".join(raw[i] for i in own), U).reshape(len(own), k)
+    del raw
+    out = []
+    for blob in pairs["blob"]:
+        keys, a, b = unpack_pairs(blob.as_buffer())
+        at = np.searchsorted(key, keys)
+        a, b = at[a], at[b]
+        ok = np.minimum(size[a], size[b]) >= t * np.maximum(size[a], size[b]) - 1e-9
+        a, b = a[ok], b[ok]
+        most = np.floor((1 - t) / (1 + t) * (size[a] + size[b]) + 1e-9)
+        kind = words[a] << 32 | words[b]
+        for k in np.unique(kind).tolist():
+            x, y = k >> 32, k & 0xFFFFFFFF
+            to = min(x, y)
+            for w in (x, y):
+                if (w, to) not in level:  # the parities of twice the cells, folded
+                    level[w, to] = np.bitwise_xor.reduce(level[w, w].reshape(-1, w // to, to), 1)
+            mine = np.flatnonzero(kind == k)
+            for part in np.array_split(mine, max(1, len(mine) * to >> 19)):
+                d = np.bitwise_count(level[x, to][place[a[part]]] ^ level[y, to][place[b[part]]]).sum(1, dtype=np.int64)
+                p = part[d <= most[part]]
+                out.append((a[p], b[p]))
     if not out:
-        return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
-    distinct()
-    return pa.table({"a": out[0][0], "b": out[0][1]})
+        return none
+    a, b = (np.concatenate(x) for x in zip(*out, strict=True))
+    return pa.table({"a": key[a].view(np.int64), "b": key[b].view(np.int64), "w": size[a] + size[b]})
 
 
-def _set_rows(n: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    c = constants()
-    for batch in batches:
-        for p in pieces(batch, "text"):
-            row, tok = sets(c, column(p, "text"), n)
-            k = p.num_rows
-            key, ends = set_keys(row, tok, k), np.cumsum(np.bincount(row, minlength=k))
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array([tok[e - s : e].tobytes() for s, e in zip(np.diff(np.append(0, ends)), ends, strict=True)], pa.binary())], ["key", "tokens"])
+def pack_tokens(tok: np.ndarray) -> bytes:
+    """Ascending 52-bit tokens: 5 low bytes and the growth of the rest in a byte each, or 8 bytes where a growth is too large."""
+    grow = np.diff(tok >> U(40), prepend=U(0))
+    if len(tok) and grow.max() < 256:
+        return b"\1" + grow.astype(np.uint8).tobytes() + np.ascontiguousarray(tok.view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
+    return b"\0" + tok.tobytes()
 
 
-def _bound(t: float, pairs: pa.Table, found: pa.Table) -> pa.Table:
-    """The pairs that their histograms don't rule out."""
-    cells = {k: (n, np.frombuffer(v.as_buffer(), np.uint8).astype(np.int32)) for k, n, v in zip(found["key"].to_pylist(), found["size"].to_pylist(), found["cells"], strict=True)}
-    keep = np.zeros(pairs.num_rows, bool)
-    for i, (x, y) in enumerate(zip(pairs["a"].to_pylist(), pairs["b"].to_pylist(), strict=True)):
-        (m, p), (n, q) = cells[x], cells[y]
-        if min(m, n) >= t * max(m, n) - 1e-9:
-            top = max(p.max(), q.max())
-            if len(p) > len(q):
-                p = p.reshape(len(q), -1).sum(1)
-            elif len(q) > len(p):
-                q = q.reshape(len(p), -1).sum(1)
-            keep[i] = top == 255 or (1 + t) * int(np.minimum(p, q).sum()) >= t * (m + n) - 1e-6
-    return pairs.filter(pa.array(keep)).select(["a", "b", "grp"])
-
-
-def _verify(t: float, pairs: pa.Table, found: pa.Table) -> pa.Table:
-    tokens = {k: np.frombuffer(v.as_buffer(), U) for k, v in zip(found["key"].to_pylist(), found["tokens"], strict=True)}
-    a, b = pairs["a"].to_numpy(), pairs["b"].to_numpy()
-    score = np.zeros(len(a))
-    for i, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
-        p, q = tokens[x], tokens[y]
-        if min(len(p), len(q)) >= t * max(len(p), len(q)) - 1e-9:
-            both = np.sort(np.concatenate((p, q)))
-            common = int(np.count_nonzero(both[1:] == both[:-1]))
-            score[i] = common / (len(p) + len(q) - common)
-    keep = score >= t - 1e-12
-    return pa.table({"a": a[keep], "b": b[keep], "jaccard": score[keep]})
-
-
-def _against(t: float, few, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Brute force of every set against the sets that fell short."""
-    hard = [(k, np.frombuffer(v, U)) for k, v in few.value]
-    for batch in batches:
-        out = []
-        for k, v in zip(column(batch, "key").to_pylist(), column(batch, "tokens"), strict=True):
-            p = np.frombuffer(v.as_buffer(), U)
-            for j, q in hard:
-                if j != k and len(p) and min(len(p), len(q)) >= t * max(len(p), len(q)) - 1e-9:
-                    common = len(np.intersect1d(p, q, assume_unique=True))
-                    if common >= t * (len(p) + len(q) - common) - 1e-9:
-                        out.append((min(j, k), max(j, k), common / (len(p) + len(q) - common)))
-        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.float64()))], ["a", "b", "jaccard"])
+def unpack_tokens(b) -> np.ndarray:
+    if bytes(memoryview(b)[:1]) == b"\0":
+        return np.frombuffer(bytes(memoryview(b)[1:]), U)
+    n = (len(b) - 1) // 6
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :5] = np.frombuffer(b, np.uint8, 5 * n, 1 + n).reshape(n, 5)
+    return out.view(U)[:, 0] | (np.cumsum(np.frombuffer(b, np.uint8, n, 1), dtype=U) << U(40))
 
 
-def _ends(pairs: DataFrame) -> DataFrame:
-    """(at, key): the sets that each group of pairs needs."""
-    return pairs.select(F.col("grp").alias("at"), F.col("a").alias("key")).union(pairs.select("grp", "b")).distinct()
+TOKENS = "at bigint, key bigint, copies bigint, tokens binary"
 
 
-def _texts(docs: DataFrame, rids: DataFrame) -> DataFrame:
-    """The texts of the documents in rids, which is broadcast while it has at most BROADCAST_ROWS rows, else shuffled."""
-    if rids.count() <= BROADCAST_ROWS:
-        rids = F.broadcast(rids)
-    return docs.select("rid", "text").join(rids, "rid", "left_semi").select("text")
+def _set_rows(n: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sets of the texts, once for each place in ats; of repeated rows in a task one is sent."""
+    c, seen = constants(), set()
+    for batch in batches:
+        for p in pieces(batch, "text"):
+            new = [r not in seen and not seen.add(r) for r in column(p, "rid").to_pylist()]
+            p = p.filter(pa.array(new, pa.bool_()))
+            row, tok = sets(c, column(p, "text"), n)
+            k = p.num_rows
+            key, size = set_keys(row, tok, k), np.bincount(row, minlength=k)
+            ends = np.cumsum(size)
+            ats = column(p, "ats").to_pylist()
+            of = np.repeat(np.arange(k), [len(x) for x in ats])
+            packed = [pack_tokens(tok[e - s : e]) for s, e in zip(size, ends, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([y for x in ats for y in x], pa.int64()), pa.array(key.view(np.int64)[of]), column(p, "copies").take(pa.array(of)), pa.array([packed[i] for i in of], pa.binary())], ["at", "key", "copies", "tokens"])
 
 
-def set_join(docs: DataFrame, n: int = N, t: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
-    """(classes, pairs) of docs(rid, id, text).
+FOUND = "a bigint, b bigint, jaccard double, n bigint"
+_FOUND = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("jaccard", pa.float64()), ("n", pa.int64())])
 
-    classes: rid, id, key, size of every document; equal sets share a key. pairs: a < b, jaccard over
-    the keys of distinct sets with Jaccard >= t. Both are tables in the shared folder.
-    """
+
+def _forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """Which of the edges connect what those before them don't."""
+    up, keep = list(range(n)), np.zeros(len(a), bool)
+    for i, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
+        while up[x] != x:
+            up[x] = x = up[up[x]]
+        while up[y] != y:
+            up[y] = y = up[up[y]]
+        if x != y:
+            up[max(x, y)] = min(x, y)
+            keep[i] = True
+    return keep
+
+
+def _verify(t: float, links: bool, pairs: pa.Table, found: pa.Table) -> pa.Table:
+    """The pairs whose Jaccard is at least t; with links only those that connect sets, and for each set (a) the documents (n) that its pairs link it with."""
+    if not pairs.num_rows or not found.num_rows:
+        return _FOUND.empty_table()
+    key, first = np.unique(found["key"].to_numpy(), return_index=True)
+    tokens = [unpack_tokens(x.as_buffer()) for x in found["tokens"].take(pa.array(first))]
+    size = np.array([len(x) for x in tokens])
+    begin = np.cumsum(size) - size
+    every, code = np.unique(np.concatenate(tokens), return_inverse=True)
+    del tokens
+    a, b = np.searchsorted(key, pairs["a"].to_numpy()), np.searchsorted(key, pairs["b"].to_numpy())
+    order = np.argsort(a, kind="stable")
+    a, b = a[order], b[order]
+    has, common = np.zeros(len(every), bool), np.zeros(len(a), np.int64)
+    at = np.flatnonzero(np.append(True, a[1:] != a[:-1]))
+    for s, e in zip(at.tolist(), np.append(at[1:], len(a)).tolist(), strict=True):
+        own = code[begin[a[s]] : begin[a[s]] + size[a[s]]]
+        has[own] = True
+        for part in np.array_split(np.arange(s, e), max(1, int(size[b[s:e]].sum()) >> 21)):
+            k = size[b[part]]
+            off = np.cumsum(k) - k
+            where = np.arange(int(k.sum())) + np.repeat(begin[b[part]] - off, k)
+            common[part] = np.add.reduceat(has[code[where]], off, dtype=np.int64)
+        has[own] = False
+    score = common / (size[a] + size[b] - common)
+    ok = score >= t - 1e-12
+    a, b, score = a[ok], b[ok], score[ok]
+    keep = _forest(a, b, len(key)) if links else np.ones(len(a), bool)
+    got = pa.table({"a": key[a[keep]], "b": key[b[keep]], "jaccard": score[keep], "n": pa.nulls(int(keep.sum()), pa.int64())}, _FOUND)
+    if not links:
+        return got
+    copies = found["copies"].to_numpy()[first]
+    n = np.bincount(a, copies[b], len(key)) + np.bincount(b, copies[a], len(key))
+    some = np.flatnonzero(n)
+    return pa.concat_tables([got, pa.table({"a": key[some], "b": pa.nulls(len(some), pa.int64()), "jaccard": pa.nulls(len(some), pa.float64()), "n": n[some].astype(np.int64)}, _FOUND)])
+
+
+def _against(n: int, t: float, few, heat, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every set against those of few that it shares one of their rarest tokens with: of s tokens two sets with Jaccard t share one of any s - ceil(t s) + 1."""
+    c, hot = constants(), heat.value
+    hard = [(k, unpack_tokens(v)) for k, v in few.value]
+    rare, of = [np.zeros(0, U)], [np.zeros(0, np.int64)]
+    for i, (_, tok) in enumerate(hard):
+        cost = hot[(tok >> U(52 - BITS)).astype(np.int64)]
+        rare.append(tok[np.argsort(-cost, kind="stable")[: len(tok) - math.ceil(t * len(tok) - 1e-9) + 1]])
+        of.append(np.full(len(rare[-1]), i))
+    rare, of = np.concatenate(rare), np.concatenate(of)
+    order = np.argsort(rare, kind="stable")
+    rare, of = rare[order], of[order]
+    for batch in batches:
+        for p in pieces(batch, "text"):
+            row, tok = sets(c, column(p, "text"), n)
+            size = np.bincount(row, minlength=p.num_rows)
+            key, ends, out = set_keys(row, tok, p.num_rows).view(np.int64), np.cumsum(size), []
+            lo, hi = np.searchsorted(rare, tok, "left"), np.searchsorted(rare, tok, "right")
+            met = np.flatnonzero(hi > lo)
+            pairs = {(int(row[i]), int(j)) for i in met for j in of[lo[i] : hi[i]]}
+            for i, j in sorted(pairs):
+                (k, q), x = hard[j], tok[ends[i] - size[i] : ends[i]]
+                if k != key[i] and min(len(x), len(q)) >= t * max(len(x), len(q)) - 1e-9:
+                    common = len(np.intersect1d(x, q, assume_unique=True))
+                    score = common / (len(x) + len(q) - common)
+                    if score >= t - 1e-12:
+                        out.append((min(k, int(key[i])), max(k, int(key[i])), score, None))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], f.type) for i, f in enumerate(_FOUND)], _FOUND.names)
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """df, a table of ids, broadcast while it has at most BROADCAST_ROWS rows."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def _parts(docs: DataFrame, rep: DataFrame, places: DataFrame, n: int) -> DataFrame:
+    """The tokens of the sets that are needed, each at its places (at, key)."""
+    wanted = materialize(places.groupBy("key").agg(F.collect_list("at").alias("ats")).join(rep.select("key", "rid", "copies"), "key").select("rid", "ats", "copies"), "wanted")
+    return docs.select("rid", "text").join(_small(wanted), "rid").mapInArrow(functools.partial(_set_rows, n), TOKENS)
+
+
+def _candidates(docs: DataFrame, n: int, t: float, parts: int, hot, rep: DataFrame) -> DataFrame:
+    """(a, b, w) of the pairs of sets that collide and that sizes and parities don't rule out."""
+    spark, most = docs.sparkSession, HOT
+    packed = docs.select("text").mapInArrow(functools.partial(_emit, n, t, SHORT, parts, hot), "part int, blob binary")
+    met = materialize(packed.groupBy("part").applyInArrow(lambda table: _collide(t, most, table), PAIRS), "met")
+    tables, chunks = [met], met.filter("chunks IS NOT NULL").select("chunks")
+    if not chunks.isEmpty():
+        tables.append(materialize(chunks.repartition(max(8, parts)).mapInArrow(functools.partial(_chunks, t), PAIRS), "met"))
+    every = functools.reduce(DataFrame.union, tables).filter("pairs IS NOT NULL")
+    total = every.agg(F.sum("n")).first()[0] or 0
+    # Blocks in which too many pairs lie are cut into sides; without that the largest only take longer.
+    wide = every.select(F.explode(F.arrays_zip("place", "times")).alias("x")).groupBy("x.place").agg(F.sum("x.times").alias("n")).filter(F.col("n") > TOGETHER)
+    wide = sorted(wide.orderBy(F.desc("n"), "place").limit(WIDE_ROWS).collect())
+    held = spark.sparkContext.broadcast((np.array([x for x, _ in wide], U), np.array([math.ceil(math.sqrt(k / TOGETHER)) for _, k in wide], U)))
+    blocks = math.ceil(math.sqrt(2 * max(10, total / TOGETHER)))
+    routed = every.select("pairs").mapInArrow(functools.partial(_route, blocks, held), "grp bigint, blob binary")
+    pairs = materialize(routed.groupBy("grp").applyInArrow(_merge, "grp bigint, n bigint, blob binary"), "distinct")
+    discard(*tables)
+    sent = pairs.mapInArrow(_ends, "at bigint, key bigint").join(rep.select("key", "size", "parities"), "key")
+    likely = materialize(pairs.groupBy("grp").cogroup(sent.groupBy("at")).applyInArrow(functools.partial(_bound, t), "a bigint, b bigint, w bigint"), "likely")
+    discard(pairs)
+    return likely
+
+
+def _place(likely: DataFrame) -> DataFrame:
+    """(a, b, grp): the pairs in groups by least neighbour, of which each set is in few; large ones are cut into sides."""
+    near = likely.select(F.col("a").alias("x"), F.col("b").alias("y")).union(likely.select("b", "a")).groupBy("x").agg(F.least("x", F.min("y")).alias("g"))
+    near = materialize(near, "near")
+    of = _small(near)
+    placed = likely.join(of.withColumnRenamed("x", "a"), "a").join(of.select(F.col("x").alias("b"), F.col("g").alias("h")), "b").select("a", "b", "w", F.least("g", "h").alias("g"))
+    size = materialize(placed.groupBy("g").agg(F.sum("w").alias("n")), "sizes")
+    groups = max(8, math.ceil(size.agg(F.sum(F.least("n", F.lit(WEIGHT)))).first()[0] or 0) // WEIGHT)
+    wide = size.filter(F.col("n") > WORK).select("g", F.ceil(F.sqrt(F.col("n") / WORK)).alias("side"))
+    one = F.coalesce("side", F.lit(1))
+    grp = F.pmod(F.xxhash64("g", F.pmod(F.xxhash64("a"), one), F.pmod(F.xxhash64("b"), one)), F.lit(groups))
+    placed = materialize(placed.join(_small(wide), "g", "left").select("a", "b", grp.alias("grp")), "placed")
+    discard(near, size)
+    return placed
+
+
+def set_join(docs: DataFrame, n: int = N, t: float = THRESHOLD, links: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(classes, sets, found) of docs(rid, id, text), tables in the shared folder.
+
+    classes: rid, id, key, size of every document; equal sets share a key. sets: a row for each key, with
+    the number of its documents (copies). found: a < b and their Jaccard, for all keys of distinct sets with
+    Jaccard >= t; with links only pairs that connect all these sets, and rows (a, n) whose sums are the
+    documents with other sets that a's are linked with."""
     if not 0.5 <= t < 1:
         raise ValueError("0.5 <= t < 1 is required")
     spark = docs.sparkSession
-    scan = materialize(docs.mapInArrow(functools.partial(_scan, n, t), SCAN), "scan")
+    scan = materialize(docs.mapInArrow(functools.partial(_scan, n, t, SHORT), SCAN), "scan")
     classes = scan.filter("slice IS NULL").drop("slice", "counts")
     add = scan.filter("slice IS NOT NULL").select("slice", "counts").groupBy("slice").applyInArrow(_add, "slice int, counts binary")
     heat = np.zeros(SKETCH, np.int64)
@@ -355,45 +644,70 @@ def set_join(docs: DataFrame, n: int = N, t: float = THRESHOLD) -> tuple[DataFra
     total, n_docs, lacking = classes.agg(F.sum("n_sig"), F.sum((F.col("size") > 0).cast("long")), F.sum(F.col("lacking").cast("long"))).first()
     heat = np.rint(-256 * np.log2(np.clip(heat / max(n_docs or 0, 1), 1e-9, 1))).astype(np.int32)
     hot = spark.sparkContext.broadcast(heat)
-    parts = max(1, math.ceil((total or 0) / PER_PART))
-    packed = docs.select("text").mapInArrow(functools.partial(_emit, n, t, parts, hot), "part int, blob binary")
-    pairs = materialize(packed.groupBy("part").applyInArrow(_collide, "a bigint, b bigint").distinct(), "candidates")
-    # Pairs are verified together with their neighbours: a set is sent once to each group it has pairs in.
-    near = pairs.select(F.col("a").alias("x"), F.col("b").alias("y")).union(pairs.select("b", "a")).groupBy("x").agg(F.least("x", F.min("y")).alias("g"))
-    placed = pairs.join(near.withColumnRenamed("x", "a"), "a").join(near.select(F.col("x").alias("b"), F.col("g").alias("h")), "b").select("a", "b", F.least("g", "h").alias("g"))
-    wide = placed.groupBy("g").agg(F.ceil(F.sqrt(F.count("*") / (12 * TOGETHER))).alias("side"))
-    count = pairs.count()
-    groups = max(8, count // TOGETHER)
-    placed = materialize(placed.join(wide, "g").select("a", "b", F.pmod(F.xxhash64("g", F.pmod(F.xxhash64("a"), "side"), F.pmod(F.xxhash64("b"), "side")), F.lit(groups)).alias("grp")), "placed")
-    schema = "a bigint, b bigint, grp bigint"
-    rep = classes.groupBy("key").agg(F.min(F.struct("rid", "size", "cells")).alias("r")).select("key", "r.rid", "r.size", "r.cells")
-    sent = _ends(placed).join(rep, "key").select("at", "key", "size", "cells")
-    likely = materialize(placed.groupBy("grp").cogroup(sent.groupBy("at")).applyInArrow(functools.partial(_bound, t), schema), "likely")
-    wanted = materialize(rep.select("key", "rid").join(_ends(likely).select("key").distinct(), "key", "left_semi").select("rid"), "wanted")
-    tokens = _texts(docs, wanted).mapInArrow(functools.partial(_set_rows, n), "key bigint, tokens binary")
-    tokens = materialize(tokens, "tokens")
-    sent = _ends(likely).join(tokens, "key").select("at", "key", "tokens")
-    parts_of = [likely.groupBy("grp").cogroup(sent.groupBy("at")).applyInArrow(functools.partial(_verify, t), "a bigint, b bigint, jaccard double")]
+    copies = classes.filter("size > 0").select("key", "id").distinct().groupBy("key").agg(F.count("*").alias("copies"))
+    rep = classes.filter("size > 0").groupBy("key").agg(F.min(F.struct("rid", "size", "lacking", "parities")).alias("r")).select("key", "r.*")
+    rep = materialize(rep.join(copies, "key"), "sets")
+    likely = _candidates(docs, n, t, max(1, math.ceil((total or 0) / PER_PART)), hot, rep)
+    if lacking:  # their pairs are found below, all of them
+        few = rep.filter("lacking").select(F.col("key").alias("k"))
+        likely = likely.join(few, F.col("a") == F.col("k"), "left_anti").join(few, F.col("b") == F.col("k"), "left_anti")
+    placed = _place(likely)
+    places = placed.select(F.col("grp").alias("at"), F.col("a").alias("key")).union(placed.select("grp", "b")).distinct()
+    sent = _parts(docs, rep, places, n)
+    found = materialize(placed.groupBy("grp").cogroup(sent.groupBy("at")).applyInArrow(functools.partial(_verify, t, links), FOUND), "found")
+    discard(placed)
     if lacking:
-        every = docs.select("text").mapInArrow(functools.partial(_set_rows, n), "key bigint, tokens binary")
-        hard = materialize(_texts(docs, materialize(classes.filter("lacking").select("rid"), "short")).mapInArrow(functools.partial(_set_rows, n), "key bigint, tokens binary").dropDuplicates(["key"]), "lacking")
-        held, size = [], 0
-        for r in hard.toLocalIterator():  # such sets are one in millions; they are sent in blocks of 32 MB
+        hard = materialize(_parts(docs, rep, rep.filter("lacking").select(F.lit(0).cast("bigint").alias("at"), "key"), n).dropDuplicates(["key"]), "lacking")
+        more, held, size = [], [], 0
+
+        def add_block() -> None:
+            block = spark.sparkContext.broadcast(list(held))
+            more.append(docs.select("text").mapInArrow(functools.partial(_against, n, t, block, hot), FOUND))
+            held.clear()
+
+        for r in hard.toLocalIterator():  # such sets are a few in a million; they are sent in blocks of 32 MB
             held.append((r.key, bytes(r.tokens)))
             size += len(r.tokens)
             if size > 1 << 25:
-                parts_of.append(every.mapInArrow(functools.partial(_against, t, spark.sparkContext.broadcast(held)), "a bigint, b bigint, jaccard double"))
-                held, size = [], 0
+                add_block()
+                size = 0
         if held:
-            parts_of.append(every.mapInArrow(functools.partial(_against, t, spark.sparkContext.broadcast(held)), "a bigint, b bigint, jaccard double"))
-    verified = functools.reduce(DataFrame.union, parts_of)
-    return classes, materialize(verified.dropDuplicates(["a", "b"]) if lacking else verified, "pairs")
+            add_block()
+        extra = materialize(functools.reduce(DataFrame.union, more).dropDuplicates(["a", "b"]), "extra")
+        found = found.union(extra)
+        if links:
+            of = rep.select(F.col("key").alias("k"), "copies")
+            for x, y in (("a", "b"), ("b", "a")):
+                found = found.union(extra.join(of, F.col(y) == F.col("k")).select(F.col(x).alias("a"), F.lit(None).cast("bigint").alias("b"), F.lit(None).cast("double").alias("jaccard"), F.col("copies").alias("n")))
+        found = materialize(found, "found")
+    return classes, rep, found
+
+
+def _own(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    own = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
+    return own.select(F.xxhash64("id", "text").alias("rid"), "id", "text")
+
+
+def link_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, t: float = THRESHOLD) -> DataFrame:
+    """(doc_id, class_id, n_links) of every document: the least doc_id that links lead to, and how many other documents have Jaccard >= t with it.
+
+    All links are counted; see the module's text for the edge cases."""
+    classes, rep, found = set_join(_own(docs, id_col, text_col), n, t, links=True)
+    comp = components(found.filter("n IS NULL"))
+    least = classes.filter("size > 0").groupBy("key").agg(F.min("id").alias("least"))
+    of = rep.select("key", "copies").join(comp, "key", "left").join(least, "key").withColumn("comp", F.coalesce("comp", "key"))
+    head = of.groupBy("comp").agg(F.min("least").alias("class_id"))
+    linked = found.filter("n IS NOT NULL").groupBy(F.col("a").alias("key")).agg(F.sum("n").alias("n"))
+    of = of.join(head, "comp").join(linked, "key", "left").select("key", "class_id", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"))
+    named = classes.filter("size > 0").select("key", "id").distinct().join(of, "key").select(F.col("id").alias("doc_id"), "class_id", "n_links")
+    alone = classes.filter("size = 0").select("id").distinct()
+    return named.union(alone.select("id", F.col("id").alias("class_id"), F.lit(0).cast("bigint").alias("n_links")))
 
 
 def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, t: float = THRESHOLD) -> DataFrame:
-    """(doc_a, doc_b, jaccard): see the module's text for its meaning and for the edge cases."""
-    own = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).withColumn("rid", F.xxhash64("id", "text"))
-    classes, pairs = set_join(own.select("rid", "id", "text"), n, t)
+    """(doc_a, doc_b, jaccard) for class heads: of documents with equal sets the least doc_id is paired with each other one
+    (Jaccard 1) and stands for all in the pairs of different sets. Rows with a null doc_id are in no pair."""
+    classes, _, pairs = set_join(_own(docs, id_col, text_col), n, t)
     named = classes.filter("size > 0 AND id IS NOT NULL").select("key", "id").distinct()
     head = named.groupBy("key").agg(F.min("id").alias("head"))
     stars = named.join(head, "key").filter("id > head").select(F.col("head").alias("doc_a"), F.col("id").alias("doc_b"), F.lit(1.0).alias("jaccard"))
@@ -405,8 +719,7 @@ def every_pair(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """(doc_a, doc_b, jaccard) with doc_a < doc_b for all pairs of documents, not of class heads: the square of a class' size in rows.
 
     A doc_id with several texts is in a pair with the greatest Jaccard of them."""
-    own = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).withColumn("rid", F.xxhash64("id", "text"))
-    classes, pairs = set_join(own.select("rid", "id", "text"), n, t)
+    classes, _, pairs = set_join(_own(docs, id_col, text_col), n, t)
     named = materialize(classes.filter("size > 0 AND id IS NOT NULL").select("key", "id").distinct(), "named")
     x, y = named.select(F.col("key").alias("a"), F.col("id").alias("x")), named.select(F.col("key").alias("b"), F.col("id").alias("y"))
     same = x.join(y, F.col("a") == F.col("b")).filter("x < y").select("x", "y", F.lit(1.0).alias("jaccard"))
@@ -424,6 +737,7 @@ def components(pairs: DataFrame) -> DataFrame:
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low).distinct()
         after = materialize(small, "edges")
+        discard(edges)
         # done when every node has one parent and no parent has one itself
         if after.join(after.select(F.col("a").alias("b")).distinct(), "b", "left_semi").isEmpty():
             return after.select(F.col("a").alias("key"), F.col("b").alias("comp"))
@@ -431,18 +745,26 @@ def components(pairs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, t: float = THRESHOLD) -> DataFrame:
-    """The documents without near duplicates: of each connected group of pairs the least doc_id stays.
+    """The documents without near duplicates: of each connected group of linked documents the least doc_id stays.
 
-    A null doc_id comes last. Wordless documents all stay. Of repeated rows one stays. The columns are those of docs.
-    """
-    rid, rank = fresh("rid", docs.columns), fresh("rank", docs.columns)
+    A null doc_id comes last. Wordless documents all stay. Of repeated rows (equal doc_id and text) the one whose
+    other columns come first as JSON stays. The columns are those of docs. Ids decide; texts are not shuffled unless
+    more than BROADCAST_ROWS documents go or are repeated."""
+    rid = fresh("rid", docs.columns)
     marked = docs.withColumn(rid, F.xxhash64(F.col(id_col).cast("bigint"), F.col(text_col)))
-    classes, pairs = set_join(marked.select(F.col(rid).alias("rid"), F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")), n, t)
-    comp = components(pairs)
-    grouped = classes.join(comp, "key", "left")
-    group = F.when(F.col("size") == 0, F.struct(F.lit(0).cast("bigint").alias("c"), F.col("rid").alias("r"))).otherwise(F.struct(F.coalesce("comp", "key").alias("c"), F.lit(0).cast("bigint").alias("r")))
-    best = grouped.groupBy(group.alias("grp")).agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "rid", (F.col("size") == 0).alias("solo"))).alias("w")).select(F.col("w.rid").alias(rid), F.col("w.solo").alias(rank))
-    kept = marked.join(best, rid)
-    first = fresh("first", kept.columns)
-    order = Window.partitionBy(rid).orderBy(*[F.col(c) for c, k in docs.dtypes if not k.startswith(("map", "variant"))][:8])
-    return kept.withColumn(first, F.row_number().over(order)).filter(F.col(first).eqNullSafe(1) | F.col(rank)).select(*docs.columns)
+    classes, _, found = set_join(_own(docs, id_col, text_col), n, t, links=True)
+    comp = components(found.filter("n IS NULL"))
+    full = classes.filter("size > 0").groupBy("rid").agg(F.first("id").alias("id"), F.first("key").alias("key"), F.count("*").alias("rows"))
+    full = full.join(comp, "key", "left").select("rid", "rows", F.coalesce("comp", "key").alias("grp"), F.struct(F.col("id").isNull().alias("none"), "id", "rid").alias("w"))
+    full = materialize(full, "grouped")
+    best = full.groupBy("grp").agg(F.min("w").alias("best")).select(F.col("best.rid").alias("rid"))
+    lost = materialize(full.select("rid").join(best, "rid", "left_anti").select(F.col("rid").alias(rid)), "lost")
+    kept = marked.join(_small(lost), rid, "left_anti")
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    whole = F.struct(*own)
+    again = materialize(full.filter("rows > 1").join(best, "rid", "left_semi").select(F.col("rid").alias(rid)), "repeated")
+    if again.isEmpty():
+        return kept.select(*own)
+    again = _small(again)
+    one = kept.join(again, rid, "left_semi").groupBy(rid).agg(F.min_by(whole, F.to_json(whole)).alias("w")).select("w.*")
+    return kept.join(again, rid, "left_anti").select(*own).union(one)

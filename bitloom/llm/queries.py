@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 import corpus_pipeline
 from bitloom.llm.decontaminate import find_leaks
 from bitloom.llm.fingerprints import fingerprints
-from bitloom.llm.jaccard import ngram_jaccard_join
+from bitloom.llm.jaccard import link_classes
 from bitloom.llm.langid import identify
 from bitloom.llm.packing import pack_documents
 from bitloom.llm.pii import redact_pii
@@ -21,7 +21,7 @@ from bitloom.session import table
 
 
 def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_jaccard_join(table(spark, sf_dir, "documents"))
+    return link_classes(table(spark, sf_dir, "documents"))
 
 
 def op2_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,20 +65,25 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP1_SQL = r"""
-WITH words AS (
-  SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9_\x{80}-\x{10FFFF}]+') AS w FROM documents WHERE doc_id IS NOT NULL),
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9_\x{80}-\x{10FFFF}]+') AS w FROM documents),
 sets AS (
   SELECT DISTINCT doc_id, list_sort(list_distinct(CASE WHEN len(w) < 2 THEN [w[1]] ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END)) AS s
   FROM words WHERE len(w) > 0),
-heads AS (SELECT s, min(doc_id) AS head, len(s) AS n FROM sets GROUP BY s),
-grams AS (SELECT head, n, unnest(s) AS g FROM heads),
+heads AS (SELECT s, min(doc_id) AS least, len(s) AS n, count(*) AS copies, row_number() OVER (ORDER BY min(doc_id), s) AS k FROM sets GROUP BY s),
+grams AS (SELECT k, n, unnest(s) AS g FROM heads),
 common AS (
-  SELECT a.head AS x, b.head AS y, any_value(a.n) AS nx, any_value(b.n) AS ny, count(*) AS k
-  FROM grams a JOIN grams b ON a.g = b.g AND a.head < b.head AND a.n >= 0.7 * b.n - 1e-9 AND b.n >= 0.7 * a.n - 1e-9
-  GROUP BY 1, 2)
-SELECT head AS doc_a, doc_id AS doc_b, CAST(1.0 AS DOUBLE) AS jaccard FROM sets JOIN heads USING (s) WHERE doc_id > head
+  SELECT a.k AS x, b.k AS y, any_value(a.n) AS nx, any_value(b.n) AS ny, count(*) AS hit
+  FROM grams a JOIN grams b ON a.g = b.g AND a.k <> b.k AND a.n >= 0.7 * b.n - 1e-9 AND b.n >= 0.7 * a.n - 1e-9
+  GROUP BY 1, 2),
+links AS (SELECT x, y FROM common WHERE hit / (nx + ny - hit) >= 0.7 - 1e-12),
+reach AS (SELECT k AS x, k AS y FROM heads UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x),
+class AS (SELECT x, min(least) AS class_id FROM reach JOIN heads ON k = y GROUP BY 1),
+linked AS (SELECT x, sum(copies) AS n FROM links JOIN heads ON k = y GROUP BY 1)
+SELECT doc_id, class_id, CAST(copies - 1 + coalesce(linked.n, 0) AS BIGINT) AS n_links
+FROM sets JOIN heads USING (s) JOIN class ON class.x = k LEFT JOIN linked ON linked.x = k
 UNION ALL
-SELECT x, y, round(k / (nx + ny - k), 6) FROM common WHERE k / (nx + ny - k) >= 0.7 - 1e-12
+SELECT DISTINCT doc_id, doc_id, 0 FROM words WHERE coalesce(len(w), 0) = 0
 """
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

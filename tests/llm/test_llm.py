@@ -81,6 +81,79 @@ def test_join_is_exact(spark):
     assert kept == {i for i in range(len(texts)) if root(i) == i}
 
 
+def brute_links(rows):
+    """{(doc_id, set): (class, links)} of (doc_id, text) by comparing all sets with all."""
+    docs = sorted({(i, frozenset(shingles(t))) for i, t in rows}, key=lambda x: (x[0] is None, x[0] or 0, len(x[1])))
+    linked = [[j for j, (_, y) in enumerate(docs) if j != i and x and y and len(x & y) / len(x | y) >= jaccard.THRESHOLD - 1e-12] for i, (_, x) in enumerate(docs)]
+    out = {}
+    for i, (name, x) in enumerate(docs):
+        reach, todo = {i}, [i]
+        while todo:
+            for j in linked[todo.pop()]:
+                if j not in reach:
+                    reach.add(j)
+                    todo.append(j)
+        ids = [docs[j][0] for j in reach if docs[j][0] is not None]
+        out[name, x] = (min(ids, default=None), len(linked[i]))
+    return Counter((k[0], *v) for k, v in out.items())
+
+
+def edited(rng, words, share, k):
+    """k near copies of a text."""
+    out = []
+    for _ in range(k):
+        c = list(words)
+        for _ in range(rng.randrange(int(share * len(c)) + 1)):
+            c[rng.randrange(len(c))] = f"y{rng.randrange(1000)}"
+        out.append(" ".join(c))
+    return out
+
+
+@pytest.mark.parametrize("tight", [False, True])
+def test_link_classes(spark, hard, monkeypatch, tight):
+    """Against brute force; tight: every signature is hot, every block wide, every group split and every join a shuffle."""
+    if tight:
+        for name, value in (("HOT", 3), ("TOGETHER", 5), ("WORK", 2000), ("WEIGHT", 500), ("BROADCAST_ROWS", 0), ("PER_PART", 2000)):
+            monkeypatch.setattr(jaccard, name, value)
+    rng = random.Random(21)
+    rows = list(enumerate(near_docs(rng) + edited(rng, words(rng, 120, 300).split(), 0.08, 60) + edited(rng, words(rng, 400, 900).split(), 0.05, 25)))
+    rows += [(len(rows) + i, t) for i, (_, t) in enumerate(rows[:15])] + [rows[3], rows[3], (None, rows[4][1]), (None, rows[4][1]), (None, None), (900, ""), (901, " -- "), (902, None), (903, "one"), (904, "one"), (5, "other text of a known id")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    got = jaccard.link_classes(df).collect()
+    assert Counter((r.doc_id, r.class_id, r.n_links) for r in got) == brute_links(rows)
+    assert jaccard.link_classes(hard).count() == len({(r.doc_id, frozenset(shingles(r.text))) for r in hard.collect()})
+    assert jaccard.link_classes(empty(spark)).count() == 0
+
+
+def test_sets_without_enough_segments(spark, monkeypatch):
+    """With the neighbourhoods off many small sets lack segments; their rarest tokens find the rest."""
+    monkeypatch.setattr(jaccard, "SHORT", 0)
+    rng = random.Random(22)
+    rows = list(enumerate(t for _ in range(150) for t in edited(rng, words(rng, rng.randrange(5, 16), 200).split(), 0.1, 4)))
+    row, tok = jaccard.sets(jaccard.constants(), pa.array([t for _, t in rows]), 2)
+    assert jaccard.signatures(row, tok, len(rows), 0.7, np.zeros(jaccard.SKETCH, np.int32), 0)[1].sum() > 3
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert Counter((r.doc_id, r.class_id, r.n_links) for r in jaccard.link_classes(df).collect()) == brute_links(rows)
+
+
+def test_tokens_pack():
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 7, 300, 40_000):
+        tok = np.unique(rng.integers(0, 1 << 52, n).astype(np.uint64))
+        assert np.array_equal(jaccard.unpack_tokens(jaccard.pack_tokens(tok)), tok)
+
+
+def test_keep_one_with_any_columns(spark):
+    """Repeated rows that differ in columns of any type, with names that clash: one stays, whatever the partitions."""
+    rows = [(1, "a b c d", {"x": i}, [{"y": i}], i, i) for i in (3, 1, 2)] + [(2, "a b c d", {"x": 9}, [], 7, 7), (3, "", None, None, 1, 1), (3, "", None, None, 2, 2), (None, None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, m map<string,int>, am array<map<string,int>>, rid int, `key.x` int")
+    kept = [sorted(map(str, jaccard.keep_one(df.repartition(k)).collect())) for k in (1, 3)]
+    assert kept[0] == kept[1]
+    assert jaccard.keep_one(df).columns == df.columns
+    got = jaccard.keep_one(df).collect()
+    assert sorted((r.doc_id or 0, r.rid or 0) for r in got) == [(0, 0), (1, 1), (3, 1), (3, 2)]
+
+
 def test_every_pair(spark):
     texts = near_docs(random.Random(11))
     texts += texts[:20] + texts[:20]
