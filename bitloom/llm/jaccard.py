@@ -9,8 +9,8 @@ the smaller one is indexed under all its segments. A set whose segments can't ca
 compared with all sets that share one of its rarest tokens (prefix filter), so the join is exact.
 
 Pairs are never rows before they are likely. A part of the signatures gives its colliding pairs as
-adjacency lists over its own numbering; they are routed to blocks of sets (a set's key begins with a hash of its
-least token, so near duplicates have mostly the same block), where repeats go, and are held against
+adjacency lists over its own numbering; they are routed to blocks of sets (by size and a hash of the least
+token, with which a set's key begins, so near duplicates have mostly the same block), where repeats go, and are held against
 parity sketches of about 1.5 bits a token: the number of differing bits is at most that of differing
 tokens. What is left goes to groups by least neighbour, each set's tokens are sent once to each group that
 needs them, and the intersections are counted exactly. A hot signature or a hot block is cut into
@@ -44,7 +44,7 @@ BITS = 20
 SKETCH = 1 << BITS
 DENSITY = 1.17
 PROBE, INDEX, DELETED, LINKED = 1, 2, 4, 8
-FLUSH, PER_PART = 1 << 20, 1 << 19
+FLUSH, PER_PART = 1 << 20, 1 << 21
 #: Signatures of one value beyond these are paired by chunks of so many.
 HOT = 1 << 14
 #: Colliding pairs, repeats included, that meet in one block pair.
@@ -140,13 +140,15 @@ def signatures(row: np.ndarray, tok: np.ndarray, n: int, t: float, heat: np.ndar
 
 
 def set_keys(row: np.ndarray, tok: np.ndarray, n: int) -> np.ndarray:
-    """A 64-bit key for the set of each row; 0 for an empty one. Its upper 24 bits are of the token of least hash, which near duplicates mostly share."""
+    """A 64-bit key for the set of each row; 0 for an empty one. 4 bits for the size's power of two, then 20 of the token of least hash, which near duplicates mostly share."""
     key = np.zeros(n, U)
     if len(row):
         at = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
         x = mix(tok)
-        whole = mix(np.add.reduceat(x, at) + np.diff(np.append(at, len(row))).astype(U))
-        key[row[at]] = np.maximum((np.minimum.reduceat(mix(x ^ U(0x71B54A325D192ED0)), at) << U(40)) | (whole >> U(24)), U(1))
+        size = np.diff(np.append(at, len(row)))
+        kind = np.minimum(15, np.floor(np.log2(size) + 1e-9)).astype(U)
+        least = np.minimum.reduceat(mix(x ^ U(0x71B54A325D192ED0)), at) & U(0xFFFFF)
+        key[row[at]] = np.maximum((kind << U(60)) | (least << U(40)) | (mix(np.add.reduceat(x, at) + size.astype(U)) >> U(24)), U(1))
     return key
 
 
@@ -176,15 +178,20 @@ def _scan(n: int, t: float, short: int, batches: Iterator[pa.RecordBatch]) -> It
             size = np.bincount(row, minlength=k)
             yield pa.RecordBatch.from_arrays([column(p, "rid"), column(p, "id"), pa.array(set_keys(row, tok, k).view(np.int64)), pa.array(size.astype(np.int32)), pa.array(lacking), pa.array(np.bincount(r, minlength=k)), pa.array(_parities(row, tok, size), pa.binary()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names)
     if heat.any():
-        cut = np.split(heat, 16)
+        cut = [x.astype(np.min_scalar_type(int(x.max()))) for x in np.split(heat, 16)]
         yield pa.RecordBatch.from_arrays([pa.nulls(16, pa.int64())] * 3 + [pa.nulls(16, pa.int32()), pa.nulls(16, pa.bool_()), pa.nulls(16, pa.int64()), pa.nulls(16, pa.binary()), pa.array(range(16), pa.int32()), pa.array([x.tobytes() for x in cut], pa.binary())], names)
 
 
 def _add(table: pa.Table) -> pa.Table:
     total = np.zeros(SKETCH // 16, np.int64)
     for x in table["counts"]:
-        total += np.frombuffer(x.as_buffer(), np.int64 if len(x.as_buffer()) == SKETCH // 2 else np.int32)
-    return pa.table({"slice": table["slice"][:1], "counts": pa.array([total.tobytes()], pa.binary())})
+        total += np.frombuffer(x.as_buffer(), f"u{len(x.as_buffer()) * 16 // SKETCH}")
+    return pa.table({"slice": table["slice"][:1], "counts": pa.array([total.astype("u8").tobytes()], pa.binary())})
+
+
+def size_codes(size: np.ndarray) -> np.ndarray:
+    """A byte for a size, in steps of 6 percent; 255 for any beyond."""
+    return np.minimum(255, np.floor(np.log(np.maximum(size, 1)) / np.log(1.06) + 1e-9)).astype(np.uint8)
 
 
 def _emit(n: int, t: float, short: int, parts: int, heat, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,9 +215,9 @@ def _emit(n: int, t: float, short: int, parts: int, heat, batches: Iterator[pa.R
         for s, e in zip(at, np.append(at[1:], len(part)), strict=True):
             run = np.flatnonzero(np.append(True, doc[s + 1 : e] != doc[s : e - 1]))
             own = np.arange(e - s) - np.repeat(run, np.diff(np.append(run, e - s)))
-            run = np.flatnonzero(own % 60_000 == 0)  # a count has two bytes
+            run = np.flatnonzero(own % 255 == 0)  # a count has a byte
             q = before[s:e][linked[s:e]]
-            blobs.append(b"".join((np.array([len(run), e - s, len(q), 0], np.uint32).tobytes(), key[doc[s:e][run]].tobytes(), low[s:e].tobytes(), q.tobytes(), size[s:e][run].tobytes(), np.diff(np.append(run, e - s)).astype(np.uint16).tobytes())))
+            blobs.append(b"".join((np.array([len(run), e - s, len(q), 0], np.uint32).tobytes(), key[doc[s:e][run]].tobytes(), low[s:e].tobytes(), q.tobytes(), size[s:e][run].tobytes(), np.diff(np.append(run, e - s)).astype(np.uint8).tobytes())))
         return pa.RecordBatch.from_arrays([pa.array(part[at].astype(np.int32)), pa.array(blobs, pa.binary())], ["part", "blob"])
 
     for batch in batches:
@@ -221,7 +228,7 @@ def _emit(n: int, t: float, short: int, parts: int, heat, batches: Iterator[pa.R
                 yield flush()
                 held, keys, count, docs = [], [], 0, 0
             if len(r):
-                size = np.minimum(np.bincount(row, minlength=p.num_rows), 65_535).astype(np.uint16)
+                size = size_codes(np.bincount(row, minlength=p.num_rows))
                 held.append((r + docs, sig, prev, flags, size[r]))
                 count += len(r)
                 keys.append(set_keys(row, tok, p.num_rows))
@@ -231,18 +238,18 @@ def _emit(n: int, t: float, short: int, parts: int, heat, batches: Iterator[pa.R
 
 
 def _unpack(blobs: pa.ChunkedArray) -> tuple[np.ndarray, ...]:
-    """(key, size, signature and flags, preceding) of every signature."""
+    """(key, size code, signature and flags, preceding) of every signature."""
     keys, sizes, lows, prevs = [], [], [], []
     for x in blobs:
         b = x.as_buffer()
         d, r, q, _ = np.frombuffer(b, np.uint32, 4).tolist()
         low = np.frombuffer(b, np.uint32, r, 16 + 8 * d)
         at = 16 + 8 * d + 4 * (r + q)
-        times = np.frombuffer(b, np.uint16, d, at + 2 * d)
+        times = np.frombuffer(b, np.uint8, d, at + d)
         prev = np.zeros(r, np.uint32)
         prev[low & LINKED > 0] = np.frombuffer(b, np.uint32, q, 16 + 8 * d + 4 * r)
         keys.append(np.repeat(np.frombuffer(b, U, d, 16), times))
-        sizes.append(np.repeat(np.frombuffer(b, np.uint16, d, at), times))
+        sizes.append(np.repeat(np.frombuffer(b, np.uint8, d, at), times))
         lows.append(low)
         prevs.append(prev)
     return np.concatenate(keys), np.concatenate(sizes), np.concatenate(lows), np.concatenate(prevs)
@@ -282,7 +289,7 @@ def _meet(t: float, key: np.ndarray, size: np.ndarray, flags: np.ndarray, prev:
     The larger set probes, the smaller one is indexed; a pair whose preceding segments are equal too is met there. With side only pairs of different sides count."""
     keys, own = np.unique(key, return_inverse=True)
     own, d, k = own.astype(U), 1, U(len(keys))
-    s = np.where(size == 65_535, np.inf, size.astype(float))  # 65535 stands for any size beyond
+    s, far = size.astype(np.int64), math.floor(-math.log(t) / math.log(1.06) + 1e-9) + 1
     alive, out, held = np.flatnonzero(left > 1), [], 0
     while len(alive):
         for part in np.array_split(alive, max(1, len(alive) >> 18)):
@@ -290,7 +297,7 @@ def _meet(t: float, key: np.ndarray, size: np.ndarray, flags: np.ndarray, prev:
             f, g, x, y = flags[part], flags[j], s[part], s[j]
             ok = (((f & PROBE > 0) & (g & INDEX > 0) & (x >= y)) | ((g & PROBE > 0) & (f & INDEX > 0) & (y >= x))) & ((f & g & DELETED) == 0) & (own[part] != own[j])
             ok &= ((f & g & LINKED) == 0) | (prev[part] != prev[j])
-            ok &= np.isinf(x) | np.isinf(y) | (np.minimum(x, y) >= t * np.maximum(x, y) - 1e-9)
+            ok &= (np.abs(x - y) <= far) | (np.maximum(x, y) == 255)
             if side is not None:
                 ok &= side[part] != side[j]
             a, b = own[part[ok]], own[j[ok]]
@@ -319,7 +326,7 @@ def _chunks(t: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
         for x in column(batch, "chunks"):
             b = x.as_buffer()
             n, cut = np.frombuffer(b, np.int64, 2).tolist()
-            key, prev, size, flags = (np.frombuffer(b, kind, n, 16 + at * n) for kind, at in ((U, 0), (np.uint32, 8), (np.uint16, 12), (np.uint8, 14)))
+            key, prev, size, flags = (np.frombuffer(b, kind, n, 16 + at * n) for kind, at in ((U, 0), (np.uint32, 8), (np.uint8, 12), (np.uint8, 13)))
             side = np.arange(n) >= cut if cut else None
             for r in _meet(t, key, size, flags, prev, np.arange(n, 0, -1), side):
                 yield pa.RecordBatch.from_pylist([r], _PAIRS)
@@ -354,13 +361,13 @@ def _collide(t: float, hot: int, table: pa.Table) -> pa.Table:
 
 
 def _block(keys: np.ndarray, blocks: int, wide: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """The block of each set, by the leading part of its key; of a wide one by the rest as well."""
+    """The block of each set: its size's power of two and one of so many by its least token; of a wide one by the rest as well."""
     place = keys >> U(40)
     sub = np.zeros(len(keys), U)
     if len(wide[0]):
         at = np.minimum(np.searchsorted(wide[0], place), len(wide[0]) - 1)
         sub = np.where(wide[0][at] == place, mix(keys) % wide[1][at], U(0))
-    return (mix(place * U(0x9E3779B97F4A7C15) + sub) % U(blocks)).astype(np.int64)
+    return ((keys >> U(60)) * U(blocks) + mix(place * U(0x9E3779B97F4A7C15) + sub) % U(blocks)).astype(np.int64)
 
 
 def _route(blocks: int, wide, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -369,7 +376,7 @@ def _route(blocks: int, wide, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.
         for x in column(batch, "pairs"):
             keys, a, b = unpack_pairs(x.as_buffer())
             of = _block(keys, blocks, wide.value)
-            grp = np.minimum(of[a], of[b]) * blocks + np.maximum(of[a], of[b])
+            grp = np.minimum(of[a], of[b]) * (16 * blocks) + np.maximum(of[a], of[b])
             order = np.argsort(grp, kind="stable")
             grp, a, b = grp[order], a[order], b[order]
             at = np.flatnonzero(np.append(True, grp[1:] != grp[:-1]))
@@ -598,7 +605,7 @@ def _candidates(docs: DataFrame, n: int, t: float, parts: int, hot, rep: DataFra
     wide = every.select(F.explode(F.arrays_zip("place", "times")).alias("x")).groupBy("x.place").agg(F.sum("x.times").alias("n")).filter(F.col("n") > TOGETHER)
     wide = sorted(wide.orderBy(F.desc("n"), "place").limit(WIDE_ROWS).collect())
     held = spark.sparkContext.broadcast((np.array([x for x, _ in wide], U), np.array([math.ceil(math.sqrt(k / TOGETHER)) for _, k in wide], U)))
-    blocks = math.ceil(math.sqrt(2 * max(10, total / TOGETHER)))
+    blocks = math.ceil(math.sqrt(total / TOGETHER / 8)) or 1
     routed = every.select("pairs").mapInArrow(functools.partial(_route, blocks, held), "grp bigint, blob binary")
     pairs = materialize(routed.groupBy("grp").applyInArrow(_merge, "grp bigint, n bigint, blob binary"), "distinct")
     discard(*tables)
@@ -638,7 +645,7 @@ def set_join(docs: DataFrame, n: int = N, t: float = THRESHOLD, links: bool = Fa
     classes = scan.filter("slice IS NULL").drop("slice", "counts")
     add = scan.filter("slice IS NOT NULL").select("slice", "counts").groupBy("slice").applyInArrow(_add, "slice int, counts binary")
     heat = np.zeros(SKETCH, np.int64)
-    for s, x in add.collect():  # 16 slices, 2 MB whatever the input
+    for s, x in materialize(add, "counts").collect():  # 16 slices, 8 MB whatever the input
         heat[s * (SKETCH // 16) : (s + 1) * (SKETCH // 16)] = np.frombuffer(x, np.int64)
     # A segment's cost falls with the surprise of its tokens, in 1/256 bits: the chance that a document has them all.
     total, n_docs, lacking = classes.agg(F.sum("n_sig"), F.sum((F.col("size") > 0).cast("long")), F.sum(F.col("lacking").cast("long"))).first()
