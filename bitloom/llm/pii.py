@@ -8,8 +8,12 @@ pseudonyms in every document and distinct values of a format distinct ones, so l
 
 Kinds: email, ip, card, iban, phone, ssn, date, secret. Numbers that don't validate stay as they are.
 
+Addresses are found from their @ backward, so that a run of letters of any length is read once. Where two values
+overlap the one that begins first counts, of two that begin together the first of KINDS' patterns.
+
 Defined results. A null text stays null and has no counts; an empty one is unchanged. Texts of any length
-are read whole. Each row is rewritten by itself, so repeated rows stay equal. Other columns are untouched.
+are read whole, in time that grows with their length. Each row is rewritten by itself, so repeated rows stay equal;
+a null doc_id is carried. An empty table gives no row. Other columns are untouched, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,6 +23,7 @@ import datetime
 import functools
 import hashlib
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -37,7 +42,6 @@ KINDS = ("email", "ip", "card", "iban", "phone", "ssn", "date", "secret")
 # \d would also match digits of other scripts, which have no place value here.
 _PATTERNS = {
     "secret": r"(?i:\b(?:token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key|key)\b\s*[=:]\s*[\"']?)(?P<secret>[A-Za-z0-9_\-+/]{16,}={0,2})",
-    "email": r"(?P<email>[A-Za-z0-9_\u00C0-\uFFFF][A-Za-z0-9._%+\-\u00C0-\uFFFF]*@(?:[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,})",
     "iban": r"(?<![A-Za-z0-9])(?P<iban>[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30})(?![A-Za-z0-9])",
     "ip": r"(?<![0-9.])(?P<ip>[0-9]{1,3}(?:\.[0-9]{1,3}){3})(?![0-9]|\.[0-9])",
     "date": r"(?<![0-9./-])(?P<date>[0-9]{4}([-/.])[0-9]{2}\2[0-9]{2}|[0-9]{2}([-/.])[0-9]{2}\3[0-9]{4})(?![0-9]|[./-][0-9])",
@@ -47,6 +51,25 @@ _PATTERNS = {
 }
 
 
+#: An address is a local part, read backward from the @, and a domain.
+_LOCAL = re.compile(r"[A-Za-z0-9._%+\-\u00C0-\uFFFF]+")
+_FIRST_OF_LOCAL = re.compile(r"[A-Za-z0-9_\u00C0-\uFFFF]")
+_DOMAIN = re.compile(r"(?:[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}")
+
+
+def emails(text: str) -> list[tuple[int, int, int]]:
+    """(first place at which its local part may begin, place of the @, end) of every address."""
+    out, at, done = [], text.find("@"), 0
+    while at >= 0:
+        domain = _DOMAIN.match(text, at + 1)
+        run = _LOCAL.match(text[done:at][::-1]) if domain else None
+        if run:
+            out.append((at - run.end(), at, domain.end()))
+        done = at + 1
+        at = text.find("@", done)
+    return out
+
+
 def number(pattern: dict[str, str]) -> str:
     """One expression of all kinds; date's back references are numbered from its place."""
     out, groups = [], 0
@@ -101,9 +124,15 @@ def _digits(shape: str, key: bytes, tweak: str) -> str:
     return _refill(shape, "d", str(permute(int(d), 10 ** len(d), key, f"{tweak}{len(d)}")).zfill(len(d)))
 
 
+@functools.cache
+def _page(c: str) -> str:
+    kind, page = unicodedata.category(c), ord(c) & ~255
+    return "".join(x for x in map(chr, range(max(page, 0xC0), page + 256)) if unicodedata.category(x) == kind)
+
+
 def _letters(shape: str, key: bytes, tweak: str, hexadecimal: bool = False) -> str:
-    """Mixed radix: every digit, lower and upper letter stays of its class."""
-    own = [("0123456789abcdef" if hexadecimal and shape.lower() == shape else "0123456789ABCDEF") if hexadecimal else next((s for s in ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ") if c in s), None) for c in shape]
+    """Mixed radix: every digit, lower and upper letter stays of its class, one beyond ASCII of its category and page of 256."""
+    own = [("0123456789abcdef" if hexadecimal and shape.lower() == shape else "0123456789ABCDEF") if hexadecimal else _page(c) if c >= "\u00c0" else next((s for s in ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ") if c in s), None) for c in shape]
     x, size = 0, 1
     for c, s in zip(shape, own, strict=True):
         if s:
@@ -175,16 +204,7 @@ def _date(v: str, key: bytes) -> str | None:
 def _email(v: str, key: bytes) -> str:
     local, _, domain = v.partition("@")
     host, _, top = domain.rpartition(".")
-    return f"{_wide(local, key, 'local')}@{_letters(host, key, 'domain')}.{top}"
-
-
-def _wide(v: str, key: bytes, tweak: str) -> str:
-    """Letters beyond ASCII are permuted among the lower-case Latin-1 letters, or replaced by a digest's letters."""
-    if v.isascii():
-        return _letters(v, key, tweak)
-    form = hashlib.blake2b(v.encode(), key=key[:64], digest_size=32).digest()
-    plain = "".join(c if c.isascii() else "abcdefghijklmnopqrstuvwxyz"[form[i % 32] % 26] for i, c in enumerate(v))
-    return _letters(plain, key, f"{tweak}wide")
+    return f"{_letters(local, key, 'local')}@{_letters(host, key, 'domain')}.{top}"
 
 
 def _phone(v: str, key: bytes) -> str | None:
@@ -211,20 +231,40 @@ _REPLACE = {"email": _email, "ip": _ip, "card": _card, "iban": _iban, "phone": _
 
 
 def pseudonymize(text: str, regex: re.Pattern, key: bytes, counts: dict[str, int], memo: dict) -> str:
-    def one(m: re.Match) -> str:
-        kind = m.lastgroup if m.lastgroup in _REPLACE else next(k for k in KINDS if m.group(k) is not None)
-        v = m.group(kind)
+    def one(kind: str, v: str) -> str | None:
         new = memo.get((kind, v), memo)
         if new is memo:
             new = memo[kind, v] = _REPLACE[kind](v, key)
             if len(memo) > 100_000:
                 memo.clear()
-        if new is None:
-            return m.group()
-        counts[kind] += 1
-        return m.group()[: m.start(kind) - m.start()] + new + m.group()[m.end(kind) - m.start() :]
-
-    return regex.sub(one, text)
+        counts[kind] += new is not None
+        return new
+
+    out, at, places = [], 0, iter(emails(text) if "@" in text else ())
+    mail, m = next(places, None), regex.search(text)
+    while mail or m:
+        if mail:  # what came before may have taken the beginning of its local part
+            first = _FIRST_OF_LOCAL.search(text, max(mail[0], at), mail[1]) if at <= mail[1] else None
+            if not first:
+                mail = next(places, None)
+                continue
+        if m and m.start() < at:
+            m = regex.search(text, at)
+            continue
+        if m and (not mail or m.start() < first.start() or (m.start() == first.start() and m.group("secret") is not None)):
+            kind = m.lastgroup if m.lastgroup in _REPLACE else next(k for k in KINDS if k != "email" and m.group(k) is not None)
+            lo, hi, end = *m.span(kind), m.end()
+        else:
+            kind, lo, hi, end = "email", first.start(), mail[2], mail[2]
+        new = one(kind, text[lo:hi])
+        out += (text[at:lo], text[lo:hi] if new is None else new)
+        out.append(text[hi:end])
+        at = end
+        if kind == "email":
+            mail = next(places, None)
+        else:
+            m = regex.search(text, at)
+    return "".join((*out, text[at:]))
 
 
 def _rewrite(key: bytes, text: str, extra: list[str], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
