@@ -7,7 +7,7 @@ high planes, nearly constant, take next to nothing. A block carries the index of
 every plane, and which stretch of which document lies where.
 
 Defined results. A null text has no tokens and a null row in no index; an empty one has its end id only.
-Documents longer than a block run over into the next ones. Repeated rows are stored as often as they
+Documents longer than a block run over into the next ones, whatever their length; there are no ties. Repeated rows are stored as often as they
 occur, numbered by their order in the stream; a null doc_id is carried. Extra columns are ignored; an
 empty table gives no block.
 """
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bitloom.llm.arrays import column, pieces
-from bitloom.llm.tokens import VOCABULARY, encoder, split
+from bitloom.llm.tokens import VOCABULARY, encode, encoder
 
 BLOCK, LEVEL, END_ID = 1 << 16, 3, 50256
 SCHEMA = "shard int, block int, n_ids int, width int, plane_sizes array<int>, docs array<struct<doc_id:bigint,seq:bigint,doc_start:bigint,at:int,n:int>>, payload binary"
@@ -78,10 +78,10 @@ def _write(path: str, width: int, bits: bool, size: int, batches: Iterator[pa.Re
     for batch in batches:
         for p in pieces(batch, "text"):
             texts, names = column(p, "text").to_pylist(), column(p, "doc_id").to_pylist()
-            for name, text in zip(names, texts, strict=True):
-                if text is None:
+            for name, parts in zip(names, encode(enc, texts), strict=True):
+                if parts is None:
                     continue
-                ids = b"".join(np.array(enc.encode_ordinary(x), kind).tobytes() for x in split(text)) + end
+                ids = b"".join(np.array(x, kind).tobytes() for x in parts) + end
                 at = 0
                 while at < len(ids):
                     k = min(len(ids) - at, room - len(held))
