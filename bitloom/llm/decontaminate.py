@@ -11,9 +11,11 @@ probability; where MOST_REPEATS don't reach it, building is an error. Each candi
 semi-global edit distance over words: an item leaks where some part of the document is within
 floor(tolerance * words) edits of the whole item.
 
-Defined results. Null, empty and wordless texts and items leak nothing, nor do items of fewer than
-MIN_WORDS words, which are too common to tell. Each row of documents is judged by itself: repeated
-rows give repeated results. A null item_id or doc_id is carried as null. Extra columns are ignored or,
+Items of fewer than MIN_WORDS words, of which the tolerance allows no edit, are looked for word by word.
+
+Defined results. Null, empty and wordless texts and items leak nothing. Texts and items of any length are read whole.
+Of several places with equal edits the first counts. Each row of documents is judged by itself: repeated
+rows give repeated results, and so do repeated items. Without documents or items there is no row. A null item_id or doc_id is carried as null. Extra columns are ignored or,
 in the filter, passed through.
 """
 
@@ -120,6 +122,14 @@ def lengths_of(count: np.ndarray) -> list[int]:
     return [*every[every < most].tolist(), *every[every >= most][:1].tolist()]
 
 
+def _spans(h: np.ndarray, at: np.ndarray, m: int) -> np.ndarray:
+    """A key of the m words from each place."""
+    key = np.zeros(len(at), U)
+    for j in range(m):
+        key = mix(key * U(0x2545F4914F6CDD1D) + h[at + j])
+    return key
+
+
 def build(items: list[tuple], tolerance: float = TOLERANCE, recall: float = RECALL) -> list[dict]:
     """The index: for each length class its repetitions, each a sorted array of keys with item and offset."""
     c = constants()
@@ -129,6 +139,11 @@ def build(items: list[tuple], tolerance: float = TOLERANCE, recall: float = RECA
     begin = np.cumsum(count) - count
     out = []
     kinds = _class_of(count)
+    for m in sorted(set(count[(count > 0) & (count < MIN_WORDS)].tolist())):
+        mine = np.flatnonzero(count == m)
+        key = _spans(h, begin[mine], m)
+        order = np.argsort(key, kind="stable")
+        out.append({"exact": m, "key": key[order], "item": mine[order]})
     for k in sorted(set(kinds[count >= MIN_WORDS].tolist())):
         mine = np.flatnonzero((kinds == k) & (count >= MIN_WORDS))
         w, stride = geometry(k)
@@ -181,8 +196,19 @@ def _find(c: dict, index: dict, text: pa.Array) -> list[tuple[int, int, int, int
     n = np.bincount(row, minlength=len(text))
     begin = np.cumsum(n) - n
     end = begin + n
-    pairs = []
+    pairs, out = [], {}
     for cl in index["classes"]:
+        if "exact" in cl:
+            m = cl["exact"]
+            at = np.flatnonzero(np.arange(len(h)) + m <= end[row])
+            key = _spans(h, at, m)
+            lo = np.searchsorted(cl["key"], key, "left")
+            k = np.searchsorted(cl["key"], key, "right") - lo
+            for i in np.flatnonzero(k):
+                r = int(row[at[i]])
+                for item in cl["item"][lo[i] : lo[i] + k[i]].tolist():
+                    out.setdefault((r, item), (0, int(at[i] - begin[r] + m)))
+            continue
         local = np.arange(len(h)) - begin[row]
         start = np.flatnonzero(local % cl["stride"] == 0)
         own, stop = row[start], end[row[start]]
@@ -198,7 +224,7 @@ def _find(c: dict, index: dict, text: pa.Array) -> list[tuple[int, int, int, int
             # the copy begins about offset words before the window
             pairs.append(np.stack([own[some[of]], item, local[start[some[of]]] - r["offset"][at]], 1))
     if not pairs:
-        return []
+        return [(i, item, d, e) for (i, item), (d, e) in out.items()]
     got = np.unique(np.concatenate(pairs), axis=0)
     of, item, at = got[:, 0], got[:, 1], got[:, 2]
     m = index["count"][item]
@@ -214,7 +240,7 @@ def _find(c: dict, index: dict, text: pa.Array) -> list[tuple[int, int, int, int
         own = mix(word + item[part][cand].astype(U) * U(0x9E3779B97F4A7C15))
         where = np.minimum(np.searchsorted(index["bag"], own), len(index["bag"]) - 1)
         likely[part] = np.bincount(cand, weights=index["bag"][where] == own, minlength=len(part)) >= m[part] - most[part]
-    out, seen = {}, {}
+    seen = {}
     for i, item, lo, hi in zip(*(x[likely].tolist() for x in (of, item, lo, hi)), strict=True):
         done = seen.setdefault((i, item), [])
         if done and lo <= done[-1][1]:  # they come by lo; the windows of a long copy overlap, and one pass serves them all
