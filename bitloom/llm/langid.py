@@ -9,10 +9,11 @@ so that neither the driver nor a worker holds the model in memory. A text is giv
 character. Rejection is calibrated: in a second aggregation over all documents each language's own
 spread of cross-entropies sets a limit, wider for short texts; a text beyond it is "und".
 
-Characters are lower-cased letters; all else is one space. Twelve bits a character: scripts beyond
-U+0FFF are folded by hash.
+Characters are lower-cased letters; all else is one space. Twelve bits a character: letters beyond
+U+0FFF share by hash the codes below it that no letter has, so none is taken for a space or for another script's below.
+A character that a language never showed gets an equal share, of all 4096 codes, of what the discounts leave.
 
-Defined results. Null, empty and letterless texts are "und" with null bits. Documents with a null label
+Defined results. Texts of any length are read whole. An empty table gives no row. Null, empty and letterless texts are "und" with null bits. Documents with a null label
 train nothing but are judged. Without any label all are "und". Equal scores go to the first language by
 name. Repeated rows are judged alike and all count; a null doc_id is carried; extra columns are ignored.
 """
@@ -47,11 +48,13 @@ UNKNOWN = "und"
 
 
 def letters() -> np.ndarray:
-    """The code of each character below U+30000: 12 bits for letters and marks, else that of a space."""
-    n = 0x30000
-    cp = np.arange(n, dtype=np.uint32)
-    code = np.where(cp < 4096, cp, (cp * np.uint32(2654435761)) >> np.uint32(20)).astype(np.uint16)
+    """The code of each character below U+33480: 12 bits for letters and marks, else that of a space. Beyond there are no letters."""
+    n = 0x33480
+    cp = np.arange(n, dtype=np.uint64)
     is_letter = np.fromiter((unicodedata.category(chr(i))[0] in "LM" for i in range(n)), bool, n)
+    free = np.flatnonzero(~is_letter[: 1 << BITS])
+    free = free[free != SPACE].astype(np.uint16)
+    code = np.where(cp < 1 << BITS, cp, free[(mix(cp) % U(len(free))).astype(np.int64)]).astype(np.uint16)
     return np.where(is_letter, code, SPACE).astype(np.uint16)
 
 
@@ -194,8 +197,7 @@ def build(table: pa.Table, langs: list[str]) -> dict:
     which = pc.index_in(table["lang"], pa.array(langs, pa.string())).to_numpy().astype(np.int64)
     size = len(langs)
     model = {"langs": langs, "grams": {}, "contexts": {}, "floor": np.zeros(size, np.float32)}
-    known = len(np.unique(gram[level == 1])) + 1
-    model["floor"] = np.full(size, -np.log2(known), np.float32)
+    model["floor"] = np.full(size, -BITS, np.float32)
     for k in range(1, ORDER + 1):
         d = np.full(size, 0.5)
         for i in np.flatnonzero(level == -k):
