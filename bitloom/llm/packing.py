@@ -8,7 +8,8 @@ finds the fill closest to capacity, the counts used are backtracked from the bit
 is repeated for as long as all its lengths last. Documents then take their places by their rank among
 the parts of their length; ranks come from two-level counts, so no sort holds all of one length.
 
-Defined results. Null and empty texts take no room and are in no window. Repeated rows are packed as
+Defined results. Null and empty texts take no room and are in no window; a text of any length is cut into whole parts.
+Parts of equal length are told apart by doc_id and part; which of equal rows comes first makes no difference. Repeated rows are packed as
 often as they occur; a null doc_id is carried. Extra columns are ignored. An empty table gives no window.
 """
 
@@ -28,8 +29,8 @@ from bitloom.session import materialize
 
 CAPACITY = 2048
 END_TOKENS = 1
-#: Parts of one length are ranked in so many buckets, each sorted by itself.
-BUCKETS = 256
+#: Parts of one length are ranked in so many buckets at least, each sorted by itself; more documents have more buckets.
+BUCKETS, PER_BUCKET = 256, 1 << 20
 SCHEMA = "window_id bigint, position int, doc_id bigint, part int, start bigint, n_tokens int"
 
 
@@ -107,11 +108,12 @@ def pack_lengths(lengths: DataFrame, capacity: int = CAPACITY, end_tokens: int =
     Where a window's parts are laid one after another, each begins at its position; start is where the
     part begins in its document."""
     spark, cap = lengths.sparkSession, F.lit(capacity).cast("bigint")
+    buckets = max(BUCKETS, lengths.count() // PER_BUCKET)
     whole = lengths.filter("n_tokens > 0").select("doc_id", (F.col("n_tokens") + end_tokens).alias("whole"))
     parts = whole.select("doc_id", "whole", F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"(whole - 1) div {capacity}"))).alias("p"))
     parts = parts.select("doc_id", F.col("p").cast("int").alias("part"), (F.col("p") * cap).alias("start"), F.least(cap, F.col("whole") - F.col("p") * cap).cast("int").alias("n_tokens"))
-    parts = parts.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "part"), F.lit(BUCKETS)).cast("int"))
-    sizes = materialize(parts.groupBy("n_tokens", "bucket").agg(F.count("*").alias("c")), "lengths")  # at most capacity * BUCKETS rows
+    parts = parts.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "part"), F.lit(buckets)).cast("int"))
+    sizes = materialize(parts.groupBy("n_tokens", "bucket").agg(F.count("*").alias("c")), "lengths")  # at most capacity * buckets rows
     counts = {r[0]: r[1] for r in sizes.groupBy("n_tokens").agg(F.sum("c")).collect()}
     if not counts:
         return spark.createDataFrame([], SCHEMA)

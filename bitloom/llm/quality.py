@@ -6,7 +6,8 @@ document gives host and path rates, and each level shrinks toward the level abov
 host to the whole corpus) with a strength estimated from how much its sites differ, so that a sparse
 site takes the global prior. A document is rejected where either posterior reaches one half.
 
-Defined results. A null text is an empty one. A null host or path is a site of its own. Labels may be
+Defined results. Texts of any length are read whole. A document of several texts trains by the least of them.
+Words are features whole and by their first 6 bytes. Posteriors of exactly one half reject. An empty table gives no row. A null text is an empty one. A null host or path is a site of its own. Labels may be
 missing, null or repeated (the largest counts); without labels of both classes a head gives no
 evidence and its documents stay. Repeated rows are scored alike and all count in the rates; extra
 columns pass through unchanged.
@@ -116,7 +117,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, train_ro
         return none
     spark = docs.sparkSession
     small = spark.createDataFrame(pa.table({"id": list(ids), "poor": pa.array([v[0] for v in ids.values()], pa.float64()), "toxic": pa.array([v[1] for v in ids.values()], pa.float64())}))
-    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(small), "id").select("poor", "toxic", "text").mapInArrow(_features, "poor double, toxic double, x binary, w binary, b binary")
+    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(small), "id").groupBy("id").agg(F.min("text").alias("text"), F.first("poor").alias("poor"), F.first("toxic").alias("toxic")).select("poor", "toxic", "text").mapInArrow(_features, "poor double, toxic double, x binary, w binary, b binary")
     got = rows.toArrow()  # train_rows rows of a few kB
     if not got.num_rows:
         return none

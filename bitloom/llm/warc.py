@@ -6,7 +6,7 @@ offset. The dictionary is built from all records of the shard. Shards are filled
 input partition up to SHARD_BYTES, so a task holds one shard and nothing is shuffled.
 
 Defined results. A null html is an empty payload, a null url an empty target; a null page_id is carried.
-Repeated rows are archived as often as they occur, with record names of their own. Records larger than
+Repeated rows are archived as often as they occur, with record names of their own; there are no ties. A retried task writes the same names. Records larger than
 a shard are shards of their own. Where the records are too few or too small for a dictionary, the
 frame holds the records' own bytes as a raw content dictionary. Extra columns are ignored; an empty
 table gives no file.
@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import re
 import struct
 import uuid
 from collections.abc import Iterator
@@ -35,9 +36,10 @@ SCHEMA = "shard int, file int, seq int, page_id bigint, url string, offset bigin
 
 
 def record(url: str, body: bytes, name: str, date: str = DATE) -> bytes:
-    """A WARC/1.1 resource record."""
+    """A WARC/1.1 resource record. White space and control characters of the url are percent-encoded."""
     digest = hashlib.sha1(body).hexdigest()
-    head = f"WARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, name)}>\r\nWARC-Date: {date}\r\nWARC-Target-URI: {url}\r\nWARC-Payload-Digest: sha1:{digest}\r\nContent-Type: text/html\r\nContent-Length: {len(body)}\r\n\r\n"
+    url = re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m.group()):02X}", url)  # a header ends with its line
+    head = f"WARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{date}/{digest}/{name}')}>\r\nWARC-Date: {date}\r\nWARC-Target-URI: {url}\r\nWARC-Payload-Digest: sha1:{digest}\r\nContent-Type: text/html\r\nContent-Length: {len(body)}\r\n\r\n"
     return head.encode() + body + b"\r\n\r\n"
 
 
@@ -76,7 +78,7 @@ _NAMES = ["shard", "file", "seq", "page_id", "url", "offset", "length", "raw_len
 _KINDS = [pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
 
 
-def _write(limit: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _write(limit: int, date: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     shard, held, size, number = TaskContext.get().partitionId(), [], 0, 0
 
     def flush(file: int) -> Iterator[pa.RecordBatch]:
@@ -95,7 +97,7 @@ def _write(limit: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
 
     for batch in batches:
         for page, url, html in zip(*(column(batch, c).to_pylist() for c in ("page_id", "url", "html")), strict=True):
-            r = record(url or "", (html or "").encode(), f"{shard}/{number}/{len(held)}/{page}/{url}")
+            r = record(url or "", (html or "").encode(), f"{shard}/{number}/{len(held)}/{page}/{url}", date)
             if held and size + len(r) > limit:
                 yield from flush(number)
                 held, size, number = [], 0, number + 1
@@ -105,10 +107,10 @@ def _write(limit: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
         yield from flush(number)
 
 
-def write_warc(pages: DataFrame, shard_bytes: int = SHARD_BYTES, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def write_warc(pages: DataFrame, shard_bytes: int = SHARD_BYTES, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", date: str = DATE) -> DataFrame:
     """One row a frame, with its place in its file: (shard, file) names the file, seq 0 is its dictionary frame."""
     slim = pages.select(F.col(id_col).cast("bigint").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    return slim.mapInArrow(functools.partial(_write, shard_bytes), SCHEMA)
+    return slim.mapInArrow(functools.partial(_write, shard_bytes, date), SCHEMA)
 
 
 def files(frames: DataFrame) -> DataFrame:
