@@ -19,27 +19,39 @@ from bitloom.session import materialize, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects, poor or toxic, go."""
+    """Documents that the classifier rejects, poor or toxic, go.
+
+    Null, empty and very long texts are judged like others, repeated rows alike; posteriors of one half reject. Without labels, or
+    without documents, nothing goes. Every column passes through, whatever its name; so in all stages but the last."""
     return filter_quality(docs, table(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates one document stays."""
+    """Of each group of near duplicates one document stays, the one of least doc_id; null ids come last.
+
+    Null and wordless texts all stay; of repeated rows one stays; very long texts are compared whole; an empty table stays empty."""
     return keep_one(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item go.
+
+    Null and wordless texts stay; repeated rows go or stay together; very long texts are searched whole; without items nothing goes."""
     return drop_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pseudonymize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data is replaced in the texts."""
+    """Personal data is replaced in the texts.
+
+    Every row stays, null and empty texts as they are; repeated rows stay equal; very long texts are read whole."""
     return pseudonyms(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The windows and what lies in them."""
+    """The windows and what lies in them.
+
+    Null and empty texts are in no window; repeated rows are packed as often as they occur; texts longer than a window are
+    cut into parts; a null doc_id is carried; an empty table gives no window; which of equal lengths goes first is settled by doc_id."""
     return pack_documents(docs)
 
 
@@ -51,7 +63,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("pack", pack),
 ]
 
-#: Word hashes, models and networks of keyed rounds are beyond SQL; tests hold the stages against brute force.
+#: Word hashes, models and networks of keyed rounds are beyond SQL; a test holds run() against brute force, stage by stage.
 ORACLE_SQL: str | None = None
 
 
