@@ -15,6 +15,8 @@ def read_wav(data: bytes) -> tuple[np.ndarray, int]:
     """(mono samples in -1..1, rate); channels are mixed down."""
     with wave.open(io.BytesIO(data)) as w:
         raw, width, ch, rate = w.readframes(w.getnframes()), w.getsampwidth(), w.getnchannels(), w.getframerate()
+    if width == 3:  # 24 bits, widened below by a byte of zeros
+        raw, width = np.insert(np.frombuffer(raw, np.uint8).reshape(-1, 3), 0, 0, 1).tobytes(), 4
     x = (np.frombuffer(raw, np.uint8).astype(float) - 128) / 128 if width == 1 else np.frombuffer(raw, f"<i{width}").astype(float) / (1 << (8 * width - 1))
     return x.reshape(-1, ch).mean(1), rate
 

@@ -103,3 +103,30 @@ def mask_shift(masks: DataFrame, key: str, pos: str, mask: str) -> DataFrame:
     """The active positions but the last, by a sum of the mask from the end."""
     tail = F.sum(mask).over(Window.partitionBy(key).orderBy(F.desc(pos)))
     return masks.withColumn("tail", tail).filter((F.col(mask) == 1) & (F.col("tail") > 1)).drop("tail")
+
+
+def logged_gains(ce: DataFrame) -> DataFrame:
+    """(best_ce, base_ce, gain): means over queries of the least l, of l0 and of the greatest l0 - l."""
+    q = ce.groupBy("qid").agg(F.min("l").alias("best"), F.max("l0").alias("l0"), F.max(F.col("l0") - F.col("l")).alias("gain"))
+    return q.agg(F.round(F.avg("best"), 5).alias("best_ce"), F.round(F.avg("l0"), 5).alias("base_ce"), F.round(F.avg("gain"), 5).alias("gain"))
+
+
+def top_gains(ce: DataFrame, n: int) -> DataFrame:
+    """The n pairs of greatest gain."""
+    return ce.select("qid", "cid", F.round(F.col("l0") - F.col("l"), 4).alias("gain")).orderBy(F.desc("gain"), "qid", "cid").limit(n)
+
+
+def ce_map(ce: DataFrame) -> DataFrame:
+    """(qid, l0, chunks): a map from candidate to l."""
+    return ce.groupBy("qid").agg(F.max("l0").alias("l0"), F.map_from_entries(F.collect_list(F.struct("cid", "l"))).alias("chunks"))
+
+
+def epoch_means(losses: DataFrame, epoch: str, value: str) -> DataFrame:
+    """(epoch, mean, best): the mean of each epoch and the least so far."""
+    means = losses.groupBy(epoch).agg(F.avg(value).alias("mean"))
+    return means.select(epoch, F.round("mean", 6).alias("mean"), F.round(F.min("mean").over(Window.orderBy(epoch)), 6).alias("best"))  # a row an epoch
+
+
+def moving_mean(rows: DataFrame, group: str, order: list[str], value: str, n: int) -> DataFrame:
+    """mean: of the last n values of the group."""
+    return rows.withColumn("mean", F.avg(value).over(Window.partitionBy(group).orderBy(*order).rowsBetween(1 - n, 0)))

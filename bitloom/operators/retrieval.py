@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import functools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -78,6 +78,28 @@ def fuse(rankings: list[DataFrame], k: int, weights: list[float] | None = None,
     return fused.withColumn("rank", order).filter(F.col("rank") <= k).select("query_id", "base_id", "score", "rank")
 
 
+#: Dimensions of hashed vectors.
+DIMENSIONS = 64
+
+
+def hashed_vectors(rows: DataFrame, key: str, tokenize: Callable[[Column], Column] = tokens) -> DataFrame:
+    """(key, v): token counts by hash in DIMENSIONS cells, of length one; a text without tokens has none."""
+    each = rows.select(key, F.explode(tokenize(F.col("text"))).alias("t")).groupBy(key, F.pmod(F.conv(F.substring(F.md5("t"), 1, 8), 16, 10).cast("bigint"), F.lit(DIMENSIONS)).alias("d")).agg(F.count("*").cast("double").alias("c"))
+    cells = each.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("d", "c"))).alias("m"), F.sqrt(F.sum(F.col("c") * F.col("c"))).alias("z"))
+    return cells.select(key, F.transform(F.sequence(F.lit(0).cast("bigint"), F.lit(DIMENSIONS - 1).cast("bigint")), lambda i: F.coalesce(F.element_at("m", i), F.lit(0.0)) / F.col("z")).cast("array<float>").alias("v"))
+
+
+def hybrid(base: DataFrame, queries: DataFrame, k: int, excluded: DataFrame | None = None, most: int = 0, embed: Callable[[DataFrame, str], DataFrame] = hashed_vectors, scorers: list[Callable] | None = None) -> DataFrame:
+    """BM25 and inner product fused by rank over base(base_id, text) and queries(query_id, text).
+
+    Each ranking gives max(5 k, 50) and as many more as a query has excluded ids at most; embed(rows, key) makes
+    the vectors; scorers are more rankings, functions of (base, queries, pool)."""
+    pool = max(5 * k, 50) + most
+    ranks = [bm25(base, queries, pool), dense(embed(base, "base_id"), embed(queries, "query_id"), pool), *(f(base, queries, pool) for f in scorers or [])]
+    fused = fuse(ranks, k + most)
+    return fused if excluded is None else exclude(fused, excluded, k)
+
+
 def exclude(ranked: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
     """Without the excluded (query_id, base_id), ranked anew."""
     left = ranked.join(pairs, ["query_id", "base_id"], "left_anti").withColumnRenamed("rank", "old")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from bitloom.session import materialize
+
 BLANK = r"[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x1C-\x1F]"
 TOKEN = r"c\+\+|c#|\.net|[a-z0-9]+(?:[._+#-][a-z0-9]+)*"
 LANGUAGES = {"C": (".c", ".h"), "C++": (".cpp", ".cc", ".C", ".hpp"), "Java": (".java",), "Python": (".py",)}
@@ -20,9 +22,22 @@ def clean(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.withColumn(text, strip(F.col(text))).filter(F.col(text) != "")
 
 
+#: Letters whose case folding has ASCII letters that lower() doesn't give.
+FOLDS = {chr(i): chr(i).lower().casefold() for i in range(128, 0x10000) if not 0xD800 <= i < 0xE000 and chr(i).lower() == chr(i) and any(x.isascii() and x.isalnum() for x in chr(i).casefold())}
+
+
+def fold(text: Column) -> Column:
+    """The text case-folded, as far as ASCII letters come of it."""
+    low = F.lower(text)
+    full = low
+    for a, b in FOLDS.items():
+        full = F.replace(full, F.lit(a), F.lit(b))
+    return F.when(low.rlike(f"[{''.join(FOLDS)}]"), full).otherwise(low)
+
+
 def tokens(text: Column) -> Column:
     """Search tokens of the case-folded text."""
-    return F.regexp_extract_all(F.replace(F.lower(text), F.lit("ß"), F.lit("ss")), F.lit(TOKEN), F.lit(0))
+    return F.regexp_extract_all(fold(text), F.lit(TOKEN), F.lit(0))
 
 
 def windows(docs: DataFrame, toks: str, size: int, overlap: int = 0) -> DataFrame:
@@ -30,8 +45,9 @@ def windows(docs: DataFrame, toks: str, size: int, overlap: int = 0) -> DataFram
     if not 0 <= overlap < size:
         raise ValueError("0 <= overlap < size is required")
     starts = F.sequence(F.lit(0), F.greatest(F.size(toks) - 1, F.lit(0)), F.lit(size - overlap))
-    cut = docs.select("*", F.size(starts).alias("total_chunks"), F.posexplode(starts).alias("chunk_idx", "start"))
-    return cut.withColumn("chunk", F.slice(F.col(toks), F.col("start") + 1, F.lit(size))).drop(toks)
+    # the windows are cut before they become rows, so that no row carries the whole text
+    cut = docs.withColumn(toks, F.transform(starts, lambda s: F.slice(toks, s + 1, F.lit(size))))
+    return cut.select(*[c for c in docs.columns if c != toks], F.size(toks).alias("total_chunks"), F.posexplode(toks).alias("chunk_idx", "chunk")).withColumn("start", F.col("chunk_idx") * (size - overlap))
 
 
 def length_stats(lengths: DataFrame, n: str = "n") -> DataFrame:
@@ -42,9 +58,24 @@ def length_stats(lengths: DataFrame, n: str = "n") -> DataFrame:
 
 
 def budget_take(rows: DataFrame, group: str, size: Column, order: list[str], budget: int) -> DataFrame:
-    """The rows of each group up to the one that reaches the budget, which is kept."""
-    before = F.sum(size).over(Window.partitionBy(group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
-    return rows.withColumn("before", F.coalesce(before, F.lit(0))).filter(F.col("before") < budget)
+    """The rows of each group up to the one that reaches the budget, which is kept; before is the sum of those that precede.
+
+    Sums run within ranges and over the ranges' sums, so that no task holds a group."""
+    ranged, pid = by_range(rows, [group, *order])
+    sums = ranged.groupBy(group, pid).agg(F.sum(size).alias("sum_"))
+    lead = sums.select(F.col(group).alias("group_"), F.col(pid).alias("range_"), F.coalesce(F.sum("sum_").over(Window.partitionBy(group).orderBy(pid).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("lead_"))
+    within = F.coalesce(F.sum(size).over(Window.partitionBy(group, pid).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    own = ranged.withColumn("before", within)
+    joined = own.join(F.broadcast(lead), own[group].eqNullSafe(F.col("group_")) & (own[pid] == F.col("range_")))  # a row a group and range
+    return joined.select(*[own[c] for c in rows.columns], (F.col("before") + F.col("lead_")).alias("before")).filter(F.col("before") < budget)
+
+
+def by_range(rows: DataFrame, order: list[str]) -> tuple[DataFrame, str]:
+    """(rows in a table, the column that numbers the ranges of order in which they lie)."""
+    pid = "range"
+    while pid in rows.columns:
+        pid += "_"
+    return materialize(rows.repartitionByRange(*order).withColumn(pid, F.spark_partition_id()), "ranges"), pid
 
 
 def lang_from_name(name: Column) -> Column:

@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from bitloom.functions import bytemachine, codec
-from bitloom.operators import metrics, retrieval, splits, text
+from bitloom.operators import metrics, records, retrieval, splits, text
 from bitloom.plans.catalog import register
 from bitloom.session import materialize, table
+from bitloom.sources import readers
 
 _B = text.BLANK
-_TOK = "regexp_extract_all(replace(lower(text), 'ß', 'ss'), 'c\\+\\+|c#|\\.net|[a-z0-9]+(?:[._+#-][a-z0-9]+)*')"
+_FOLD = functools.reduce(lambda x, f: f"replace({x}, '{f[0]}', '{f[1]}')", text.FOLDS.items(), "lower(text)")
+_TOK = f"regexp_extract_all({_FOLD}, 'c\\+\\+|c#|\\.net|[a-z0-9]+(?:[._+#-][a-z0-9]+)*')"
+#: A ranking gives so many of its best to a fusion of 16: five times as many, 50 at least.
+POOL = 80
 
 
 @register("text_clean", f"SELECT doc_id, length(t) AS n_chars, md5(t) AS digest FROM (SELECT doc_id, regexp_replace(text, '^{_B}+|{_B}+$', '', 'g') AS t FROM documents) WHERE t <> ''")
@@ -115,7 +121,7 @@ def dense_topk(spark: SparkSession, d: str) -> DataFrame:
     return _dense(spark, d, 10, False)
 
 
-def _rrf_sql(weights: tuple[float, ...], skip_self: bool, k: int, pool: int = 50) -> str:
+def _rrf_sql(weights: tuple[float, ...], skip_self: bool, k: int, pool: int = POOL) -> str:
     parts = " UNION ALL ".join(f"SELECT query_id, base_id, {i} AS s, rank, {w} / (rank + 60) AS w FROM ({_dense_sql(pool, skip_self, bool(i))})" for i, w in enumerate(weights))
     return f"""SELECT query_id, base_id, score, rank FROM (SELECT query_id, base_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, f, base_id) AS rank FROM (
   SELECT query_id, base_id, round(sum(w), 9) AS score, min(s * 100000 + rank) AS f FROM ({parts}) GROUP BY 1, 2)) WHERE rank <= {k}"""
@@ -123,20 +129,20 @@ def _rrf_sql(weights: tuple[float, ...], skip_self: bool, k: int, pool: int = 50
 
 @register("rrf_fuse", _rrf_sql((1.0, 1.0), False, 16))
 def rrf_fuse(spark: SparkSession, d: str) -> DataFrame:
-    return retrieval.fuse([_dense(spark, d, 50, False), _dense(spark, d, 50, False, True)], 16)
+    return retrieval.fuse([_dense(spark, d, POOL, False), _dense(spark, d, POOL, False, True)], 16)
 
 
 @register("rrf_fuse_weighted", _rrf_sql((0.7,), False, 16))
 def rrf_fuse_weighted(spark: SparkSession, d: str) -> DataFrame:
-    return retrieval.fuse([_dense(spark, d, 50, False), _dense(spark, d, 50, False, True)], 16, [0.7])
+    return retrieval.fuse([_dense(spark, d, POOL, False), _dense(spark, d, POOL, False, True)], 16, [0.7])
 
 
-_EXCLUDING = f"SELECT query_id, base_id, score, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank FROM ({_rrf_sql((1.0, 1.0), False, 17)}) WHERE query_id <> base_id"
+_EXCLUDING = f"SELECT query_id, base_id, score, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank FROM ({_rrf_sql((1.0, 1.0), False, 17, POOL + 1)}) WHERE query_id <> base_id"
 
 
 @register("retrieve_excluding", f"SELECT * FROM ({_EXCLUDING}) WHERE rank <= 16")
 def retrieve_excluding(spark: SparkSession, d: str) -> DataFrame:
-    fused = retrieval.fuse([_dense(spark, d, 50, False), _dense(spark, d, 50, False, True)], 17)
+    fused = retrieval.fuse([_dense(spark, d, POOL + 1, False), _dense(spark, d, POOL + 1, False, True)], 17)
     own = table(spark, d, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("vec_id").alias("base_id"))
     return retrieval.exclude(fused, own, 16)
 
@@ -230,7 +236,7 @@ def _method_sql() -> str:
     rac = f"SELECT '{{m}}' AS method, qid, max(n) AS original_bytes, CAST(ceil(round(sum(b), 3) / 8) AS BIGINT) + {side} AS compressed_bytes FROM (SELECT qid, prev, cur, any_value(n) AS k, -any_value(n) * log2({MIX} * any_value(p0) + {1 - MIX} * avg(pj)) AS b, 0 AS z FROM f JOIN {{s}} USING (qid, cid) GROUP BY 1, 2, 3) JOIN (SELECT id AS qid, sum(n) AS n FROM it GROUP BY 1) USING (qid) GROUP BY 2"
     return _CE_SQL + f""", res AS (SELECT 'none' AS method, qid, max(nbytes) AS original_bytes, CAST(ceil(round(max(l0), 3) / 8) AS BIGINT) AS compressed_bytes FROM ce GROUP BY 2
 UNION ALL {rac.format(m='rac', s=sel.format(o='rank'))}
-UNION ALL {rac.format(m='rac_rerank', s=sel.format(o='l'))}
+UNION ALL {rac.format(m='rac_oracle', s=sel.format(o='l'))}
 UNION ALL SELECT 'token_rag', qid, max(n), CAST(ceil(round(sum(b), 3) / 8) AS BIGINT) + {side} FROM (SELECT qid, prev, cur, -any_value(n) * log2((coalesce(any_value(c), 0) + sum(coalesce(cn, 0)) + 1) / (coalesce(any_value(tot), 0) + sum(coalesce(row_n, 0)) + 256.0)) AS b FROM f JOIN {sel.format(o='rank')} USING (qid, cid) GROUP BY 1, 2, 3) JOIN (SELECT id AS qid, sum(n) AS n FROM it GROUP BY 1) USING (qid) GROUP BY 2)
 SELECT *, round(compressed_bytes * 8 / greatest(original_bytes, 1), 6) AS bpb, round(original_bytes / greatest(compressed_bytes, 1), 6) AS ratio FROM (
 SELECT method, count(*) AS n, CAST(sum(original_bytes) AS BIGINT) AS original_bytes, CAST(sum(compressed_bytes) AS BIGINT) AS compressed_bytes, round(100 * (sum(compressed_bytes) / (SELECT sum(compressed_bytes) FROM res WHERE method = 'none') - 1), 6) AS vs_none_pct FROM res GROUP BY 1)"""
@@ -238,7 +244,7 @@ SELECT method, count(*) AS n, CAST(sum(original_bytes) AS BIGINT) AS original_by
 
 @register("method_table", _method_sql())
 def method_table(spark: SparkSession, d: str) -> DataFrame:
-    """Benchmark texts under the documents' counts: alone, with the hits' raw counts, mixed with the hits' mean, and with reranked hits."""
+    """Benchmark texts under the documents' counts: alone, with the hits' raw counts, mixed with the hits' mean, and mixed with the hits that turn out best."""
     ce, items, full = candidate_bits(spark, d)
     full = materialize(full, "full")
     n = table(spark, d, "documents").agg(F.count("*").alias("nd")).select(retrieval.overhead_bytes(F.col("nd"), 4).cast("bigint").alias("side"))
@@ -253,7 +259,7 @@ def method_table(spark: SparkSession, d: str) -> DataFrame:
     mixed = -F.first("n") * F.log2(MIX * F.first("p0") + (1 - MIX) * F.avg("pj"))
     raw = -F.first("n") * F.log2((F.coalesce(F.first("c"), F.lit(0)) + F.sum(F.coalesce("cn", F.lit(0))) + 1) / (F.coalesce(F.first("tot"), F.lit(0)) + F.sum(F.coalesce("row_n", F.lit(0))) + 256.0))
     none = ce.groupBy("qid").agg(F.max("nbytes").alias("original_bytes"), F.ceil(F.round(F.max("l0"), 3) / 8).alias("compressed_bytes")).select(F.lit("none").alias("method"), "qid", "original_bytes", "compressed_bytes")
-    every = none.unionByName(coded("rac", "rank", mixed)).unionByName(coded("rac_rerank", "l", mixed)).unionByName(coded("token_rag", "rank", raw))
+    every = none.unionByName(coded("rac", "rank", mixed)).unionByName(coded("rac_oracle", "l", mixed)).unionByName(coded("token_rag", "rank", raw))
     return metrics.method_table(every)
 
 
@@ -320,3 +326,115 @@ def bytemachine_eval(spark: SparkSession, d: str) -> DataFrame:
     true = materialize(bytemachine.generate(spark, 21_000), "states")
     cut = true.select("name", F.expr("substring(states, 1, octet_length(states) - 1)").alias("states"))
     return bytemachine.accuracy(true, cut).select("name", "matched", "total", F.round(F.col("matched") / F.col("total"), 6).alias("accuracy"))
+
+
+_HASHED = """SELECT id, list(coalesce(c, 0) / z ORDER BY d) AS v FROM (SELECT id, d, z FROM (SELECT id, sqrt(sum(c * c)) AS z FROM {t} GROUP BY 1), (SELECT unnest(range(64)) AS d)) LEFT JOIN {t} USING (id, d) GROUP BY 1"""
+
+
+def _cells_sql(name: str, key: str) -> str:
+    return f"SELECT id, CAST(('0x' || substr(md5(t), 1, 8)) AS BIGINT) % 64 AS d, CAST(count(*) AS DOUBLE) AS c FROM (SELECT {key} AS id, unnest({_TOK}) AS t FROM {name}) GROUP BY 1, 2"
+
+
+@register("retrieve_hybrid", f"""WITH bc AS ({_cells_sql('documents', 'doc_id')}), qc AS ({_cells_sql('benchmark', 'item_id')}), bv AS ({_HASHED.format(t='bc')}), qv AS ({_HASHED.format(t='qc')}),
+dense AS (SELECT * FROM (SELECT query_id, base_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, base_id) AS rank FROM (SELECT qv.id AS query_id, bv.id AS base_id, round(list_inner_product(CAST(CAST(qv.v AS FLOAT[]) AS DOUBLE[]), CAST(CAST(bv.v AS FLOAT[]) AS DOUBLE[])), 5) AS score FROM qv, bv)) WHERE rank <= {POOL}),
+words AS ({_bm25_sql(POOL)}),
+every AS (SELECT query_id, base_id, 0 AS s, rank FROM words UNION ALL SELECT query_id, base_id, 1, rank FROM dense)
+SELECT query_id, base_id, score, rank FROM (SELECT query_id, base_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, f, base_id) AS rank FROM (
+  SELECT query_id, base_id, round(sum(1.0 / (rank + 60)), 9) AS score, min(s * 100000 + rank) AS f FROM every GROUP BY 1, 2)) WHERE rank <= 16""")
+def retrieve_hybrid(spark: SparkSession, d: str) -> DataFrame:
+    base = table(spark, d, "documents").select(F.col("doc_id").alias("base_id"), "text")
+    return retrieval.hybrid(base, table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text"), 16)
+
+
+@register("retrieval_cache", f"SELECT item_id AS query_id, coalesce(ids, '') AS base_ids FROM benchmark LEFT JOIN (SELECT query_id AS item_id, array_to_string(list(base_id ORDER BY rank), ',') AS ids FROM ({_bm25_sql(16)}) GROUP BY 1) USING (item_id)")
+def retrieval_cache(spark: SparkSession, d: str) -> DataFrame:
+    """Every query with its hits, best first; one without hits has none."""
+    items = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"))
+    return records.with_cache(items, _bm25(spark, d, 16)).select("query_id", F.array_join("base_ids", ",").alias("base_ids"))
+
+
+@register("sample_ids", "SELECT doc_id, format('doc{:06d}', doc_id) AS sample_id FROM documents")
+def sample_ids(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", records.sample_id("doc", F.col("doc_id")).alias("sample_id"))
+
+
+@register("eligible", f"SELECT doc_id FROM (SELECT doc_id, {_TOK} AS t FROM documents) WHERE len(t) >= 2")
+def eligible(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", F.size(text.tokens(F.col("text"))).alias("n"))
+    return docs.filter(records.is_eligible(F.col("n"))).select("doc_id")
+
+
+@register("pad_ids", f"""SELECT item_id, CAST(w AS INTEGER) AS width, array_to_string(list_concat(ids, [-1 FOR i IN range(w - len(ids))]), ',') AS ids, CAST(len(ids) AS INTEGER) AS active
+FROM (SELECT item_id, ids, max(len(ids)) OVER (PARTITION BY item_id // 8) AS w FROM (SELECT item_id, list_transform({_TOK}, lambda x: length(x)) AS ids FROM benchmark))""")
+def pad_ids(spark: SparkSession, d: str) -> DataFrame:
+    ids = table(spark, d, "benchmark").select("item_id", F.transform(text.tokens(F.col("text")), F.length).alias("ids"), F.floor(F.col("item_id") / 8).alias("batch"))
+    got = records.pad_ids(ids, "ids", "batch", -1)
+    return got.select("item_id", F.size("ids").alias("width"), F.array_join("ids", ",").alias("ids"), F.aggregate("mask", F.lit(0), lambda a, x: a + x).alias("active"))
+
+
+@register("context_tokens", f"SELECT conv_id, CAST(len(t) AS INTEGER) AS n_tokens, md5(array_to_string(t, ' ')) AS digest FROM (SELECT conv_id, flatten(list(t ORDER BY turn, text))[1:64] AS t FROM (SELECT conv_id, turn, text, {_TOK} AS t FROM conversations) GROUP BY 1)")
+def context_tokens(spark: SparkSession, d: str) -> DataFrame:
+    turns = table(spark, d, "conversations").select("conv_id", "turn", "text", text.tokens(F.col("text")).alias("t"))
+    got = records.join_contexts(turns, "conv_id", ["turn", "text"], "t", 64)
+    return got.select("conv_id", F.size("t").alias("n_tokens"), F.md5(F.array_join("t", " ")).alias("digest"))
+
+
+@register("crop_windows", """SELECT doc_id, CAST(s AS INTEGER) AS start, md5(substr(text, s + 1, 200)) AS digest FROM (SELECT doc_id, text, CASE WHEN k % 3 = 0 OR n <= 200 THEN 0 WHEN k % 3 = 1 THEN n - 200 ELSE (k // 3) % (n - 199) END AS s
+FROM (SELECT doc_id, text, length(text) AS n, CAST(('0x' || substr(md5('42:' || doc_id), 1, 7)) AS BIGINT) AS k FROM documents))""")
+def crop_windows(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    start = records.crop_start(F.length("text"), 200, F.col("doc_id"))
+    return docs.withColumn("start", start.cast("int")).select("doc_id", "start", F.md5(F.substr("text", F.col("start") + 1, F.lit(200))).alias("digest"))
+
+
+@register("carve_out", "SELECT doc_id, place < nv AS is_eval FROM (SELECT doc_id, row_number() OVER (ORDER BY md5('42:' || doc_id), doc_id) - 1 AS place, count(*) OVER () AS n, CAST(floor(count(*) OVER () * 0.1) AS BIGINT) AS nv FROM documents) WHERE CASE WHEN place < nv THEN place < nv - nv % 16 ELSE place - nv < n - nv - (n - nv) % 16 END")
+def carve_out(spark: SparkSession, d: str) -> DataFrame:
+    return splits.carve_out(table(spark, d, "documents").select("doc_id"), "doc_id", 0.1, 16).select("doc_id", "is_eval")
+
+
+@register("label_ids", f"SELECT doc_id, coalesce(id, -1) AS id FROM documents LEFT JOIN (SELECT source, row_number() OVER (ORDER BY min(doc_id), source) - 1 AS id FROM documents JOIN ({_SPLIT}) USING (doc_id) WHERE split = 'train' GROUP BY 1) USING (source)")
+def label_ids(spark: SparkSession, d: str) -> DataFrame:
+    """Labels by first appearance in the train split; -1 for others."""
+    docs = table(spark, d, "documents").select("doc_id", "source")
+    train = docs.join(_split(spark, d).filter("split = 'train'").select("doc_id"), "doc_id", "left_semi")
+    return records.label_ids(docs, train, "source", "doc_id").select("doc_id", "id")
+
+
+@register("logged_gains", _CE_SQL + "SELECT round(avg(best), 5) AS best_ce, round(avg(l0), 5) AS base_ce, round(avg(gain), 5) AS gain FROM (SELECT qid, min(l) AS best, max(l0) AS l0, max(l0 - l) AS gain FROM ce GROUP BY 1)")
+def logged_gains(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.logged_gains(candidate_bits(spark, d)[0])
+
+
+@register("top_gains", _CE_SQL + "SELECT qid, cid, round(l0 - l, 4) AS gain FROM ce ORDER BY round(l0 - l, 4) DESC, qid, cid LIMIT 20")
+def top_gains(spark: SparkSession, d: str) -> DataFrame:
+    """The 20 pairs of greatest gain, a report."""
+    return metrics.top_gains(candidate_bits(spark, d)[0], 20)
+
+
+@register("ce_map", _CE_SQL + "SELECT qid, max(l0) AS l0, count(*) AS n, string_agg(cid, ',' ORDER BY cid) AS cids, round(sum(l), 3) AS total FROM ce GROUP BY 1")
+def ce_map(spark: SparkSession, d: str) -> DataFrame:
+    m = metrics.ce_map(candidate_bits(spark, d)[0])
+    return m.select("qid", "l0", F.size("chunks").cast("bigint").alias("n"), F.array_join(F.array_sort(F.map_keys("chunks")), ",").alias("cids"), F.round(F.aggregate(F.map_values("chunks"), F.lit(0.0), lambda a, x: a + x), 3).alias("total"))
+
+
+@register("epoch_means", "SELECT epoch, round(mean, 6) AS mean, round(min(mean) OVER (ORDER BY epoch), 6) AS best FROM (SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS epoch, avg(value) AS mean FROM events GROUP BY 1)")
+def epoch_means(spark: SparkSession, d: str) -> DataFrame:
+    """Events by day, as losses by epoch: the mean and the least so far."""
+    return metrics.epoch_means(table(spark, d, "events").select(F.date_format("ts", "yyyy-MM-dd").alias("epoch"), "value"), "epoch", "value")
+
+
+@register("moving_mean", "SELECT event_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW), 6) AS mean FROM events")
+def moving_mean(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.moving_mean(table(spark, d, "events"), "user_id", ["ts", "event_id"], "value", 10).select("event_id", F.round("mean", 6).alias("mean"))
+
+
+@register("source_counters", "SELECT source AS language, count(*) AS files, CAST(sum(strlen(text)) AS BIGINT) AS code_bytes, round(sum(strlen(text)) / 1048576, 4) AS mib FROM documents GROUP BY 1")
+def source_counters(spark: SparkSession, d: str) -> DataFrame:
+    return readers.language_summary(table(spark, d, "documents").select(F.col("source").alias("language"), F.octet_length("text").cast("bigint").alias("code_bytes")))
+
+
+@register("codec_totals")
+def codec_totals(spark: SparkSession, d: str) -> DataFrame:
+    """Sizes and overall ratio of each library codec over all documents."""
+    got = materialize(library_baselines(spark, d), "baselines")
+    return records.codec_totals(got, {c: f"{c}_bytes" for c in ("zlib", "zstd", "lzma")})

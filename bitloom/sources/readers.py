@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from bitloom.functions.media import chunk_wav, patches
-from bitloom.operators.text import BLANK, budget_take, clean, lang_from_name
+from bitloom.operators.text import BLANK, budget_take, clean, join_keys, lang_from_name
+from bitloom.session import materialize
 
 _READERS: dict[str, Callable[..., DataFrame]] = {}
 
@@ -31,26 +32,35 @@ def load(spark: SparkSession, path: str, n: int | None = None, skip: int = 0) ->
     raise ValueError(f"no source for {path}; there are {', '.join(_READERS)}")
 
 
-def table_texts(spark: SparkSession, path: str, column: str, order: str, n: int | None = None, skip: int = 0) -> DataFrame:
-    """Rows skip to skip + n in order, counted before blank texts go."""
-    df = spark.read.parquet(path).orderBy(order).offset(skip)
-    return clean((df if n is None else df.limit(n)).select(order, F.col(column).alias("text")))
+def _numbered(df: DataFrame) -> DataFrame:
+    """record: the number of every row by file and place in it. Rows are counted within blocks of files and over the blocks, so that no task holds all.
 
+    Within a block, rows come in their order, which monotonically_increasing_id() numbers; blocks are ordered by file and start."""
+    at = df.select("*", F.col("_metadata.file_path").alias("file_"), F.col("_metadata.file_block_start").alias("start_"), F.monotonically_increasing_id().alias("line_"))
+    at = materialize(at, "records")
+    blocks = at.groupBy("file_", "start_").agg(F.min("line_").alias("first_"), F.count("*").alias("n_"))  # a row a block
+    lead = blocks.select("file_", "start_", "first_", (F.sum("n_").over(Window.orderBy("file_", "start_")) - F.col("n_")).alias("lead_"))
+    w = Window.partitionBy("file_", "start_").orderBy("line_")
+    return at.withColumn("own_", F.row_number().over(w) - 1).join(F.broadcast(lead), ["file_", "start_"]).select(*df.columns, (F.col("own_") + F.col("lead_")).alias("record"))
 
-def json_lines(spark: SparkSession, path: str, key: str, n: int | None = None, skip: int = 0) -> DataFrame:
-    """Blank lines don't count; skip counts lines before they are parsed; n counts texts kept; bad lines go.
 
-    Lines keep the order of the files and of their places in them."""
-    lines = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("line")).filter(F.regexp_replace("value", BLANK, "") != "")
-    w = Window.orderBy("line")
-    kept = (lines.withColumn("at", F.row_number().over(w)).filter(F.col("at") > skip) if skip else lines).select("line", F.get_json_object("value", f"$.{key}").alias("text"))
-    kept = clean(kept)
-    return kept if n is None else kept.orderBy("line").limit(n)
+def table_texts(spark: SparkSession, path: str, keys: list[str], n: int | None = None, skip: int = 0) -> DataFrame:
+    """(record, text): rows skip to skip + n by file and place, counted before blank texts go; a missing key is an error."""
+    df = _numbered(spark.read.parquet(path).select(*keys)).filter(F.col("record") >= skip)
+    df = df if n is None else df.filter(F.col("record") < skip + n)
+    return clean(df.select("record", join_keys(df, keys).alias("text")))
 
 
-register_source("enwiki")(lambda s, p, n, k: table_texts(s, p, "text", "text", n, k))
-register_source("cosmopedia")(lambda s, p, n, k: table_texts(s, p, "text", "text", n, k))
-register_source("code")(lambda s, p, n, k: json_lines(s, p, "code", n, k))
+def json_lines(spark: SparkSession, path: str, keys: list[str], n: int | None = None, skip: int = 0) -> DataFrame:
+    """(record, text). Blank lines don't count; skip counts lines before they are parsed; n counts texts kept; bad lines go, and so do those without a key."""
+    lines = _numbered(spark.read.text(path).filter(F.regexp_replace("value", BLANK, "") != "")).filter(F.col("record") >= skip)
+    kept = clean(lines.select("record", F.concat(*[F.get_json_object("value", f"$.{k}") for k in keys]).alias("text")))
+    return kept if n is None else kept.orderBy("record").limit(n)
+
+
+register_source("enwiki")(lambda s, p, n, k: table_texts(s, p, ["text"], n, k))
+register_source("cosmopedia")(lambda s, p, n, k: table_texts(s, p, ["text"], n, k))
+register_source("code")(lambda s, p, n, k: json_lines(s, p, ["code"], n, k))
 
 
 def files(spark: SparkSession, path: str, extensions: list[str], n: int | None = None) -> DataFrame:
@@ -95,5 +105,16 @@ def write_code(rows: DataFrame, path: str) -> None:
     rows.write.partitionBy("language").json(path)
 
 
+def language_summary(rows: DataFrame) -> DataFrame:
+    """(language, files, code_bytes, mib) of code_budget()'s rows."""
+    return rows.groupBy("language").agg(F.count("*").alias("files"), F.sum("code_bytes").alias("code_bytes"), F.round(F.sum("code_bytes") / (1 << 20), 4).alias("mib"))
+
+
+def parquet_audio(spark: SparkSession, path: str, n: int | None = None) -> DataFrame:
+    """(path, content) of a table with a column audio of bytes and path."""
+    df = spark.read.parquet(path).select(F.col("audio.path").alias("path"), F.col("audio.bytes").alias("content"))
+    return df if n is None else df.limit(n)
+
+
 def write_results(results: DataFrame, path: str) -> None:
     results.write.option("header", True).csv(path)
