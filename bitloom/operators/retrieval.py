@@ -11,7 +11,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bitloom.operators.text import tokens
+from bitloom.session import materialize
 
+#: At most so many query terms are broadcast; more are joined by a shuffle.
+TERMS = 1_000_000
 K1, B, RRF_K, VECTORS = 1.5, 0.75, 60, 2048
 
 
@@ -27,7 +30,10 @@ def bm25(base: DataFrame, queries: DataFrame, k: int, k1: float = K1, b: float =
     docs = base.select("base_id", tokens(F.col("text")).alias("t")).withColumn("dl", F.size("t"))
     stats = docs.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     asked = queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    held = docs.select("base_id", "dl", F.explode("t").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
+    asked = materialize(asked, "asked")
+    terms = asked.select("term").distinct()
+    terms = F.broadcast(terms) if terms.count() <= TERMS else terms
+    held = docs.select("base_id", "dl", F.explode("t").alias("term")).join(terms, "term", "left_semi")
     posts = held.groupBy("term", "base_id", "dl").agg(F.count("*").alias("tf"))
     df = posts.groupBy("term").agg(F.count("*").alias("df"))
     part = F.col("qtf") * F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))

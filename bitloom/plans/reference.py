@@ -189,8 +189,9 @@ def candidate_bits(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, D
     pairs = hits.select(F.col("query_id").alias("qid"), F.col("base_id").alias("cid"), "rank").join(items, "qid")
     full = _base_join(pairs, base).join(ctx.select(F.col("id").alias("cid"), "prev", "cur", F.col("n").alias("cn")), ["cid", "prev", "cur"], "left").join(ctx.select(F.col("id").alias("cid"), "prev", "row_n").distinct(), ["cid", "prev"], "left")
     pj = (F.coalesce("cn", F.lit(0)) + 1) / (F.coalesce("row_n", F.lit(0)) + 256.0)
-    ce = full.groupBy("qid", "cid", "rank").agg(F.round(F.sum(-F.col("n") * F.log2("p0")), 4).alias("l0"), F.round(F.sum(-F.col("n") * F.log2(MIX * F.col("p0") + (1 - MIX) * pj)), 4).alias("l"), F.sum("n").alias("nbytes"))
-    return materialize(ce, "ce"), items, full.select("qid", "cid", "rank", "prev", "cur", "n", "p0", "c", "tot", "cn", "row_n", pj.alias("pj"))
+    full = materialize(full.select("qid", "cid", "rank", "prev", "cur", "n", "p0", "c", "tot", "cn", "row_n", pj.alias("pj")), "full")
+    ce = full.groupBy("qid", "cid", "rank").agg(F.round(F.sum(-F.col("n") * F.log2("p0")), 4).alias("l0"), F.round(F.sum(-F.col("n") * F.log2(MIX * F.col("p0") + (1 - MIX) * F.col("pj"))), 4).alias("l"), F.sum("n").alias("nbytes"))
+    return materialize(ce, "ce"), items, full
 
 
 def _base_join(rows: DataFrame, base: DataFrame) -> DataFrame:
@@ -246,7 +247,6 @@ SELECT method, count(*) AS n, CAST(sum(original_bytes) AS BIGINT) AS original_by
 def method_table(spark: SparkSession, d: str) -> DataFrame:
     """Benchmark texts under the documents' counts: alone, with the hits' raw counts, mixed with the hits' mean, and mixed with the hits that turn out best."""
     ce, items, full = candidate_bits(spark, d)
-    full = materialize(full, "full")
     n = table(spark, d, "documents").agg(F.count("*").alias("nd")).select(retrieval.overhead_bytes(F.col("nd"), 4).cast("bigint").alias("side"))
     size = items.groupBy("qid").agg(F.sum("n").alias("original_bytes"))
 
