@@ -16,6 +16,11 @@ tokens. What is left goes to groups by least neighbour, each set's tokens are se
 needs them, and the intersections are counted exactly. A hot signature or a hot block is cut into
 chunks that are paired in tasks of their own.
 
+A large group of near copies has as many pairs as the square of its size, each in dozens of signatures. So sets that share
+one of CROWD_BINS minimum hashes with CROWD others, and are near the most copied one of these, are a crowd. All
+pairs of a crowd are compared by products of token matrices; the signatures give only pairs that aren't in one crowd.
+A crowd in whose sample few pairs are near is none. So crowds change the work only, not the result.
+
 Defined results. Null and wordless texts link with nothing; each is a class of its own. A document of fewer than n
 words has one shingle. Texts of any length are read whole. Repeated rows count once, and so do rows with a null
 doc_id and equal sets. Documents with equal 64-bit set keys are copies, which are links too. Ties don't occur: a
@@ -53,6 +58,12 @@ TOGETHER = 1 << 21
 WEIGHT, WORK = 1 << 21, 1 << 31
 #: Sides of at most so many rows (24 bytes each) are broadcast; larger ones are shuffled. The result doesn't depend on it.
 BROADCAST_ROWS = 2_000_000
+#: Sets that share a minimum hash from which on they may be a crowd, and the hashes of each set.
+CROWD, CROWD_BINS = 128, 8
+#: By how much Jaccard with a crowd's centre may be below the threshold; the share of a sample's pairs that has to reach it; the sample.
+CROWD_SLACK, CROWD_SHARE, CROWD_SAMPLE = 0.1, 0.125, 64
+#: Sets (and tokens) on a side of a task that compares a crowd.
+CROWD_SIDE, CROWD_TOKENS = 2048, 1 << 20
 #: Blocks that are split further: of more than these, the largest ones.
 WIDE_ROWS = 1_000_000
 
@@ -162,13 +173,65 @@ def _parities(row: np.ndarray, tok: np.ndarray, size: np.ndarray) -> list[bytes]
     return [bits[b : b + n] for b, n in zip((begin // 8).tolist(), (cells // 8).tolist(), strict=True)]
 
 
-SCAN = "rid bigint, id bigint, key bigint, size int, lacking boolean, n_sig bigint, parities binary, slice int, counts binary"
+def _parities_of(row: np.ndarray, tok: np.ndarray, size: np.ndarray, rows: np.ndarray) -> list[bytes]:
+    place = np.full(len(size), -1)
+    place[rows] = np.arange(len(rows))
+    own = place[row] >= 0
+    return _parities(place[row[own]], tok[own], size[rows]) if len(rows) else []
+
+
+def bin_minima(row: np.ndarray, tok: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, value): for each row the least hash of its tokens in each of CROWD_BINS bins, the empty ones left out. Two sets share one about as often as their Jaccard says."""
+    if not len(row):
+        return row, np.zeros(0, np.int64)
+    kind = tok >> U(52 - CROWD_BINS.bit_length() + 1)
+    at = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (kind[1:] != kind[:-1])))
+    least = np.minimum.reduceat(mix(tok ^ U(0x3C79AC492BA7B653)), at)
+    return row[at], ((least & ~U(CROWD_BINS - 1)) | kind[at]).view(np.int64)
+
+
+def _apart(x: bytes, y: bytes) -> int:
+    """How many parities differ, of the shorter one's cells."""
+    n, low = min(len(x), len(y)), 0
+    for z in (x, y):
+        for at in range(0, len(z), n):
+            low ^= int.from_bytes(z[at : at + n])
+    return low.bit_count()
+
+
+def _near(t: float, a: int, x: bytes, b: int, y: bytes) -> bool:
+    """Whether sets of sizes a and b with parities x and y have about Jaccard t or more."""
+    if min(a, b) < t * max(a, b) - 1e-9:
+        return False
+    cells = 8 * min(len(x), len(y))
+    return _apart(x, y) <= cells / 2 * (1 - math.exp(-2 * (1 - t) / (1 + t) * (a + b) / cells))
+
+
+def _crowd_of(t: float, crowds, at: np.ndarray, value: np.ndarray, size: np.ndarray, parities) -> np.ndarray:
+    """The crowd of each row, 0 for none: the first one that it shares a minimum (at: row, value) with and whose centre it is near. parities: of the rows given."""
+    values, rank, centres, kept = crowds
+    out = np.zeros(len(size), np.uint32)
+    if not len(values) or not len(at):
+        return out
+    i = np.minimum(np.searchsorted(values, value), len(values) - 1)
+    met = values[i] == value
+    pairs = np.unique((at[met].astype(U) << U(32)) | rank[i[met]].astype(U))
+    rows = np.unique((pairs >> U(32)).astype(np.int64))
+    bits = dict(zip(rows.tolist(), parities(rows), strict=True))
+    for p in pairs.tolist():
+        r, c = p >> 32, p & 0xFFFFFFFF
+        if not out[r] and _near(t - CROWD_SLACK, int(size[r]), bits[r], *centres[c]):
+            out[r] = c + 1
+    return out if kept is None else np.where(kept[out], out, np.uint32(0))
+
+
+SCAN = "rid bigint, id bigint, key bigint, size int, lacking boolean, n_sig bigint, parities binary, mins array<bigint>, slice int, counts binary"
 
 
 def _scan(n: int, t: float, short: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each document, and this task's token counts, which are summed over the corpus."""
     c, heat, none = constants(), np.zeros(SKETCH, np.int32), np.zeros(SKETCH, np.int32)
-    names = ["rid", "id", "key", "size", "lacking", "n_sig", "parities", "slice", "counts"]
+    names = ["rid", "id", "key", "size", "lacking", "n_sig", "parities", "mins", "slice", "counts"]
     for batch in batches:
         for p in pieces(batch, "text"):
             row, tok = sets(c, column(p, "text"), n)
@@ -176,10 +239,12 @@ def _scan(n: int, t: float, short: int, batches: Iterator[pa.RecordBatch]) -> It
             (r, *_), lacking = signatures(row, tok, p.num_rows, t, none, short)
             k = p.num_rows
             size = np.bincount(row, minlength=k)
-            yield pa.RecordBatch.from_arrays([column(p, "rid"), column(p, "id"), pa.array(set_keys(row, tok, k).view(np.int64)), pa.array(size.astype(np.int32)), pa.array(lacking), pa.array(np.bincount(r, minlength=k)), pa.array(_parities(row, tok, size), pa.binary()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names)
+            at, value = bin_minima(row, tok)
+            mins = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(np.bincount(at, minlength=k))), pa.int32()), pa.array(value, pa.int64()))
+            yield pa.RecordBatch.from_arrays([column(p, "rid"), column(p, "id"), pa.array(set_keys(row, tok, k).view(np.int64)), pa.array(size.astype(np.int32)), pa.array(lacking), pa.array(np.bincount(r, minlength=k)), pa.array(_parities(row, tok, size), pa.binary()), mins, pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names)
     if heat.any():
         cut = [x.astype(np.min_scalar_type(int(x.max()))) for x in np.split(heat, 16)]
-        yield pa.RecordBatch.from_arrays([pa.nulls(16, pa.int64())] * 3 + [pa.nulls(16, pa.int32()), pa.nulls(16, pa.bool_()), pa.nulls(16, pa.int64()), pa.nulls(16, pa.binary()), pa.array(range(16), pa.int32()), pa.array([x.tobytes() for x in cut], pa.binary())], names)
+        yield pa.RecordBatch.from_arrays([pa.nulls(16, pa.int64())] * 3 + [pa.nulls(16, pa.int32()), pa.nulls(16, pa.bool_()), pa.nulls(16, pa.int64()), pa.nulls(16, pa.binary()), pa.nulls(16, pa.list_(pa.int64())), pa.array(range(16), pa.int32()), pa.array([x.tobytes() for x in cut], pa.binary())], names)
 
 
 def _add(table: pa.Table) -> pa.Table:
@@ -194,14 +259,14 @@ def size_codes(size: np.ndarray) -> np.ndarray:
     return np.minimum(255, np.floor(np.log(np.maximum(size, 1)) / np.log(1.06) + 1e-9)).astype(np.uint8)
 
 
-def _emit(n: int, t: float, short: int, parts: int, heat, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Signatures, packed by partition: a key, a size and a count for each document, and 4 or 8 bytes a signature. Of copies that are held together one is sent."""
+def _emit(n: int, t: float, short: int, parts: int, heat, crowds, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Signatures, packed by partition: a key, a size and a count for each document, and 4 or 8 bytes a signature; the crowds of those that are in one. Of copies that are held together one is sent."""
     c, hot = constants(), heat.value
-    held, keys, count, docs = [], [], 0, 0
+    held, keys, groups, count, docs = [], [], [], 0, 0
 
     def flush() -> pa.RecordBatch:
         doc, sig, prev, flags, size = (np.concatenate(x) for x in zip(*held, strict=True))
-        key = np.concatenate(keys)
+        key, crowd = np.concatenate(keys), np.concatenate(groups)
         _, first, of = np.unique(key, return_index=True, return_inverse=True)
         keep = (first[of] == np.arange(len(key)))[doc]
         doc, sig, prev, flags, size = doc[keep], sig[keep], prev[keep], flags[keep], size[keep]
@@ -217,32 +282,36 @@ def _emit(n: int, t: float, short: int, parts: int, heat, batches: Iterator[pa.R
             own = np.arange(e - s) - np.repeat(run, np.diff(np.append(run, e - s)))
             run = np.flatnonzero(own % 255 == 0)  # a count has a byte
             q = before[s:e][linked[s:e]]
-            blobs.append(b"".join((np.array([len(run), e - s, len(q), 0], np.uint32).tobytes(), key[doc[s:e][run]].tobytes(), low[s:e].tobytes(), q.tobytes(), size[s:e][run].tobytes(), np.diff(np.append(run, e - s)).astype(np.uint8).tobytes())))
+            g = crowd[doc[s:e][run]]
+            some = np.flatnonzero(g)
+            blobs.append(b"".join((np.array([len(run), e - s, len(q), len(some)], np.uint32).tobytes(), key[doc[s:e][run]].tobytes(), low[s:e].tobytes(), q.tobytes(), size[s:e][run].tobytes(), np.diff(np.append(run, e - s)).astype(np.uint8).tobytes(), some.astype(np.uint32).tobytes(), g[some].tobytes())))
         return pa.RecordBatch.from_arrays([pa.array(part[at].astype(np.int32)), pa.array(blobs, pa.binary())], ["part", "blob"])
 
     for batch in batches:
         for p in pieces(batch, "text"):
             row, tok = sets(c, column(p, "text"), n)
-            (r, sig, prev, flags), _ = signatures(row, tok, p.num_rows, t, hot, short)
+            (r, sig, prev, flags), lacking = signatures(row, tok, p.num_rows, t, hot, short)
             if docs + p.num_rows > 60_000 or count > FLUSH:
                 yield flush()
-                held, keys, count, docs = [], [], 0, 0
+                held, keys, groups, count, docs = [], [], [], 0, 0
             if len(r):
-                size = size_codes(np.bincount(row, minlength=p.num_rows))
+                n_tok = np.bincount(row, minlength=p.num_rows)
+                size = size_codes(n_tok)
                 held.append((r + docs, sig, prev, flags, size[r]))
                 count += len(r)
                 keys.append(set_keys(row, tok, p.num_rows))
+                groups.append(np.where(lacking, np.uint32(0), _crowd_of(t, crowds.value, *bin_minima(row, tok), n_tok, functools.partial(_parities_of, row, tok, n_tok))))
                 docs += p.num_rows
     if held:
         yield flush()
 
 
 def _unpack(blobs: pa.ChunkedArray) -> tuple[np.ndarray, ...]:
-    """(key, size code, signature and flags, preceding) of every signature."""
-    keys, sizes, lows, prevs = [], [], [], []
+    """(key, size code, signature and flags, preceding, crowd) of every signature."""
+    keys, sizes, lows, prevs, crowds = [], [], [], [], []
     for x in blobs:
         b = x.as_buffer()
-        d, r, q, _ = np.frombuffer(b, np.uint32, 4).tolist()
+        d, r, q, g = np.frombuffer(b, np.uint32, 4).tolist()
         low = np.frombuffer(b, np.uint32, r, 16 + 8 * d)
         at = 16 + 8 * d + 4 * (r + q)
         times = np.frombuffer(b, np.uint8, d, at + d)
@@ -252,7 +321,10 @@ def _unpack(blobs: pa.ChunkedArray) -> tuple[np.ndarray, ...]:
         sizes.append(np.repeat(np.frombuffer(b, np.uint8, d, at), times))
         lows.append(low)
         prevs.append(prev)
-    return np.concatenate(keys), np.concatenate(sizes), np.concatenate(lows), np.concatenate(prevs)
+        crowd = np.zeros(d, np.uint32)
+        crowd[np.frombuffer(b, np.uint32, g, at + 2 * d)] = np.frombuffer(b, np.uint32, g, at + 2 * d + 4 * g)
+        crowds.append(np.repeat(crowd, times))
+    return tuple(np.concatenate(x) for x in (keys, sizes, lows, prevs, crowds))
 
 
 def pack_pairs(keys: np.ndarray, code: np.ndarray) -> bytes:
@@ -283,17 +355,20 @@ PAIRS = "n bigint, pairs binary, place array<bigint>, times array<bigint>, chunk
 _PAIRS = pa.schema([("n", pa.int64()), ("pairs", pa.binary()), ("place", pa.list_(pa.int64())), ("times", pa.list_(pa.int64())), ("chunks", pa.binary())])
 
 
-def _meet(t: float, key: np.ndarray, size: np.ndarray, flags: np.ndarray, prev: np.ndarray, left: np.ndarray, side: np.ndarray | None = None) -> Iterator[dict]:
+def _meet(t: float, key: np.ndarray, size: np.ndarray, flags: np.ndarray, prev: np.ndarray, crowd: np.ndarray, left: np.ndarray, side: np.ndarray | None = None) -> Iterator[dict]:
     """Rows of the pairs among signatures of equal value that follow each other; left: how many are left to the end of each one's run.
 
-    The larger set probes, the smaller one is indexed; a pair whose preceding segments are equal too is met there. With side only pairs of different sides count."""
+    The larger set probes, the smaller one is indexed; a pair whose preceding segments are equal too is met there. Pairs of one crowd are passed over; a run is in the order of crowds. With side only pairs of different sides count."""
     keys, own = np.unique(key, return_inverse=True)
     own, d, k = own.astype(U), 1, U(len(keys))
     s, far = size.astype(np.int64), math.floor(-math.log(t) / math.log(1.06) + 1e-9) + 1
-    alive, out, held = np.flatnonzero(left > 1), [], 0
+    new = np.flatnonzero(np.append(True, (crowd[1:] != crowd[:-1]) | (left[1:] != left[:-1] - 1))) if len(crowd) else np.zeros(0, np.int64)
+    length = np.diff(np.append(new, len(crowd)))
+    skip = np.where(crowd > 0, np.repeat(new + length, length) - np.arange(len(crowd)) - 1, 0)  # to the crowd's end
+    alive, out, held = np.flatnonzero(left > 1 + skip), [], 0
     while len(alive):
         for part in np.array_split(alive, max(1, len(alive) >> 18)):
-            j = part + d
+            j = part + skip[part] + d
             f, g, x, y = flags[part], flags[j], s[part], s[j]
             ok = (((f & PROBE > 0) & (g & INDEX > 0) & (x >= y)) | ((g & PROBE > 0) & (f & INDEX > 0) & (y >= x))) & ((f & g & DELETED) == 0) & (own[part] != own[j])
             ok &= ((f & g & LINKED) == 0) | (prev[part] != prev[j])
@@ -311,13 +386,13 @@ def _meet(t: float, key: np.ndarray, size: np.ndarray, flags: np.ndarray, prev:
                         yield _row(keys, out[0])
                         out, held = [], 0
         d += 1
-        alive = alive[left[alive] > d]
+        alive = alive[left[alive] > d + skip[alive]]
     if out:
         yield _row(keys, np.unique(np.concatenate(out)))
 
 
-def _pack_chunk(i: np.ndarray, key: np.ndarray, size: np.ndarray, flags: np.ndarray, prev: np.ndarray, cut: int) -> bytes:
-    return b"".join((np.array([len(i), cut], np.int64).tobytes(), key[i].tobytes(), prev[i].tobytes(), size[i].tobytes(), flags[i].astype(np.uint8).tobytes()))
+def _pack_chunk(i: np.ndarray, key: np.ndarray, size: np.ndarray, flags: np.ndarray, prev: np.ndarray, crowd: np.ndarray, cut: int) -> bytes:
+    return b"".join((np.array([len(i), cut], np.int64).tobytes(), key[i].tobytes(), prev[i].tobytes(), crowd[i].tobytes(), size[i].tobytes(), flags[i].astype(np.uint8).tobytes()))
 
 
 def _chunks(t: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -326,37 +401,39 @@ def _chunks(t: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
         for x in column(batch, "chunks"):
             b = x.as_buffer()
             n, cut = np.frombuffer(b, np.int64, 2).tolist()
-            key, prev, size, flags = (np.frombuffer(b, kind, n, 16 + at * n) for kind, at in ((U, 0), (np.uint32, 8), (np.uint8, 12), (np.uint8, 13)))
+            key, prev, crowd, size, flags = (np.frombuffer(b, kind, n, 16 + at * n) for kind, at in ((U, 0), (np.uint32, 8), (np.uint32, 12), (np.uint8, 16), (np.uint8, 17)))
             side = np.arange(n) >= cut if cut else None
-            for r in _meet(t, key, size, flags, prev, np.arange(n, 0, -1), side):
+            for r in _meet(t, key, size, flags, prev, crowd, np.arange(n, 0, -1), side):
                 yield pa.RecordBatch.from_pylist([r], _PAIRS)
 
 
 def _collide(t: float, hot: int, table: pa.Table) -> pa.Table:
     """The pairs of one partition's signatures, each only where the preceding segments don't already tell; of hot ones the chunks that are to be paired."""
-    key, size, low, prev = _unpack(table["blob"])
+    key, size, low, prev, crowd = _unpack(table["blob"])
     comp = np.sort((low >> np.uint32(4)).astype(U) << U(35) | np.arange(len(low), dtype=U))
     idx, sig = (comp & U((1 << 35) - 1)).astype(np.int64), comp >> U(35)
     dup = np.zeros(len(sig), bool)
     dup[1:] = sig[1:] == sig[:-1]
     dup[:-1] |= dup[1:]
     idx, sig = idx[dup], sig[dup]
-    key, flags, prev, size = key[idx], low[idx] & np.uint32(15), prev[idx], size[idx]
-    order = np.lexsort((flags, key, sig))
-    key, flags, prev, size, sig = key[order], flags[order], prev[order], size[order], sig[order]
+    key, flags, prev, size, crowd = key[idx], low[idx] & np.uint32(15), prev[idx], size[idx], crowd[idx]
+    order = np.lexsort((flags, key, crowd, sig))
+    key, flags, prev, size, crowd, sig = key[order], flags[order], prev[order], size[order], crowd[order], sig[order]
     new = np.ones(len(sig), bool)
     new[1:] = (sig[1:] != sig[:-1]) | (key[1:] != key[:-1]) | ((flags[1:] ^ flags[:-1]) & DELETED > 0)
-    key, flags, prev, size, sig = key[new], flags[new], prev[new], size[new], sig[new]
+    key, flags, prev, size, crowd, sig = key[new], flags[new], prev[new], size[new], crowd[new], sig[new]
     run = np.flatnonzero(np.append(True, sig[1:] != sig[:-1])) if len(sig) else np.zeros(0, np.int64)
     length = np.diff(np.append(run, len(sig)))
     probing = np.add.reduceat((flags & PROBE) > 0, run) > 0 if len(run) else np.zeros(0, bool)
     left = np.repeat(np.where(probing & (length <= hot), run + length, run), length) - np.arange(len(sig))  # to the run's end
-    rows = list(_meet(t, key, size, flags, prev, left))
+    rows = list(_meet(t, key, size, flags, prev, crowd, left))
     for at, n in zip(run[probing & (length > hot)], length[probing & (length > hot)], strict=True):
         cut = np.array_split(np.arange(at, at + n), -(-n // hot))
         for i, x in enumerate(cut):
             for y in cut[i:]:
-                rows.append({"n": None, "pairs": None, "place": None, "times": None, "chunks": _pack_chunk(x if y is x else np.concatenate((x, y)), key, size, flags, prev, 0 if y is x else len(x))})
+                if crowd[x[0]] == crowd[y[-1]] > 0:
+                    continue
+                rows.append({"n": None, "pairs": None, "place": None, "times": None, "chunks": _pack_chunk(x if y is x else np.concatenate((x, y)), key, size, flags, prev, crowd, 0 if y is x else len(x))})
     return pa.Table.from_pylist(rows, _PAIRS)
 
 
@@ -513,8 +590,87 @@ def _forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
     return keep
 
 
+def _spanning(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that connect what the symmetric matrix near connects."""
+    new, a, b = np.ones(len(near), bool), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for root in range(len(near)):
+        front = np.array([root] if new[root] else [], np.int64)
+        new[front] = False
+        while len(front):
+            rows = near[front]
+            to = np.flatnonzero(rows.any(0) & new)
+            a.append(front[rows[:, to].argmax(0)] if len(to) else to)
+            b.append(to)
+            new[to] = False
+            front = to
+    return np.concatenate(a), np.concatenate(b)
+
+
+def _crowd_task(crowd, i, j):
+    """A number below 0 for the task that compares two sides of a crowd, in the bits above the lowest, which is for the side."""
+    return -((crowd * (1 << 30) + i * (1 << 15) + j) + 1)
+
+
+def _verify_crowd(t: float, links: bool, found: pa.Table) -> pa.Table:
+    """As _verify, of all pairs between two sides of a crowd or within one."""
+    key, first = np.unique(found["key"].to_numpy(), return_index=True)
+    at = found["at"].to_numpy()[first]
+    task = -int(at[0] >> 1) - 1
+    within, side = (task >> 15) & 0x7FFF == task & 0x7FFF, at & 1
+    x, y = np.flatnonzero(side == 0), np.flatnonzero(side == (0 if within else 1))
+    if not len(x) or not len(y):
+        return _FOUND.empty_table()
+    tokens = [unpack_tokens(b.as_buffer()) for b in found["tokens"].take(pa.array(first))]
+    size, copies = np.array([len(b) for b in tokens]), found["copies"].to_numpy()[first]
+    place = np.zeros(len(key), np.int64)
+    place[y] = np.arange(len(y))
+    place[x] = np.arange(len(x))
+    _, code, times = np.unique(np.concatenate(tokens), return_inverse=True, return_counts=True)
+    del tokens
+    row = np.repeat(np.arange(len(key)), size)
+    some = (times > 1)[code]
+    order = np.argsort(code[some], kind="stable")
+    row, code = row[some][order], code[some][order]
+    edge = np.flatnonzero(np.append(True, code[1:] != code[:-1])) if len(code) else np.zeros(0, np.int64)
+    count = np.diff(np.append(edge, len(code)))
+    left = np.add.reduceat(side[row] == 0, edge, dtype=np.int64) if len(edge) else edge
+    meet = left * (left if within else count - left)
+    common = np.zeros((len(x), len(y)), np.int32)
+    # Tokens of many pairs by products of matrices, which hold so many tokens; the others one by one.
+    dense = meet * 256 > common.size
+    for i in np.flatnonzero(~dense & (meet > 0)).tolist():
+        r = row[edge[i] : edge[i] + count[i]]
+        common[np.ix_(place[r[side[r] == 0]], place[r[side[r] == (0 if within else 1)]])] += 1
+    number = np.repeat(np.cumsum(dense) - 1, count)
+    own = np.repeat(dense, count)
+    row, number = row[own], number[own]
+    for lo in range(0, int(dense.sum()), 2048):
+        s, e = np.searchsorted(number, (lo, lo + 2048))
+        has = np.zeros((len(key), 2048), np.float32)
+        has[row[s:e], number[s:e] - lo] = 1
+        common += (has[x] @ has[y].T).astype(np.int32)
+    score = common / (size[x][:, None] + size[y][None] - common)
+    near = score >= t - 1e-12
+    if within:
+        np.fill_diagonal(near, False)
+    if not links:
+        a, b = np.nonzero(np.triu(near) if within else near)
+        return pa.table({"a": np.minimum(key[x[a]], key[y[b]]), "b": np.maximum(key[x[a]], key[y[b]]), "jaccard": score[a, b], "n": pa.nulls(len(a), pa.int64())}, _FOUND)
+    n = np.zeros(len(key), np.int64)
+    n[x] = near @ copies[y]
+    if not within:
+        n[y] = near.T @ copies[x]
+    a, b = _spanning(near if within else np.block([[np.zeros((len(x), len(x)), bool), near], [near.T, np.zeros((len(y), len(y)), bool)]]))
+    ids, some = (key[x] if within else key[np.concatenate((x, y))]), np.flatnonzero(n)
+    a, b = np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b])
+    got = pa.table({"a": a, "b": b, "jaccard": pa.nulls(len(a), pa.float64()), "n": pa.nulls(len(a), pa.int64())}, _FOUND)
+    return pa.concat_tables([got, pa.table({"a": key[some], "b": pa.nulls(len(some), pa.int64()), "jaccard": pa.nulls(len(some), pa.float64()), "n": n[some]}, _FOUND)])
+
+
 def _verify(t: float, links: bool, pairs: pa.Table, found: pa.Table) -> pa.Table:
     """The pairs whose Jaccard is at least t; with links only those that connect sets, and for each set (a) the documents (n) that its pairs link it with."""
+    if found.num_rows and found["at"][0].as_py() < 0:
+        return _verify_crowd(t, links, found)
     if not pairs.num_rows or not found.num_rows:
         return _FOUND.empty_table()
     key, first = np.unique(found["key"].to_numpy(), return_index=True)
@@ -591,10 +747,57 @@ def _parts(docs: DataFrame, rep: DataFrame, places: DataFrame, n: int) -> DataFr
     return docs.select("rid", "text").join(_small(wanted), "rid").mapInArrow(functools.partial(_set_rows, n), TOKENS)
 
 
-def _candidates(docs: DataFrame, n: int, t: float, parts: int, hot, rep: DataFrame) -> DataFrame:
+def _label(t: float, crowds, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, crowd, size, parities) of the sets in a crowd."""
+    for batch in batches:
+        mins, bits = column(batch, "mins"), column(batch, "parities")
+        size = column(batch, "size").to_numpy()
+        crowd = _crowd_of(t, crowds.value, mins.value_parent_indices().to_numpy(), mins.flatten().to_numpy(), size, lambda rows, bits=bits: bits.take(pa.array(rows)).to_pylist())
+        some = pa.array(np.flatnonzero(crowd))
+        yield pa.RecordBatch.from_arrays([column(batch, "key").take(some), pa.array(crowd.astype(np.int64)).take(some), column(batch, "size").take(some), bits.take(some)], ["key", "crowd", "size", "parities"])
+
+
+def _share(t: float, table: pa.Table) -> pa.Table:
+    """The share of a sample's pairs that seem to have Jaccard t or more."""
+    own = list(zip(table["size"].to_pylist(), table["parities"].to_pylist(), strict=True))[: 2 * CROWD_SAMPLE]
+    near = sum(_near(t, *a, *b) for i, a in enumerate(own) for b in own[:i])
+    return pa.table({"crowd": table["crowd"][:1], "share": pa.array([near / max(1, len(own) * (len(own) - 1) // 2)])})
+
+
+def _crowds(rep: DataFrame, t: float, side: int) -> tuple[object, DataFrame | None]:
+    """What _crowd_of needs, broadcast, and (at, key): the places of the sets of each crowd, None without crowds."""
+    spark = rep.sparkSession
+    often = rep.filter("NOT lacking").select(F.explode("mins").alias("value"), F.struct("copies", "key").alias("w")).groupBy("value").agg(F.count("*").alias("n"), F.max("w").alias("w")).filter(F.col("n") >= CROWD)
+    often = materialize(often.select("value", "w.*"), "often")  # a sixteenth of the sets at most
+    held = often.toArrow().sort_by("value")
+    if not held.num_rows:
+        return spark.sparkContext.broadcast((np.zeros(0, np.int64), None, None, None)), None
+    centre = often.select("key").distinct().join(rep.select("key", "copies", "size", "parities"), "key").toArrow().sort_by([("copies", "descending"), ("key", "descending")])
+    number = {k: i for i, k in enumerate(centre["key"].to_pylist())}
+    rank = np.array([number[k] for k in held["key"].to_pylist()], np.uint32)
+    values, centres = held["value"].to_numpy(), list(zip(centre["size"].to_pylist(), centre["parities"].to_pylist(), strict=True))
+    label = materialize(rep.filter("NOT lacking").select("key", "size", "parities", "mins").mapInArrow(functools.partial(_label, t, spark.sparkContext.broadcast((values, rank, centres, None))), "key bigint, crowd bigint, size int, parities binary"), "crowds")
+    total = label.groupBy("crowd").agg(F.count("*").alias("n"), F.sum("size").alias("tokens")).filter(F.col("n") >= CROWD // 4)
+    total = materialize(total, "totals")
+    every = F.ceil(F.col("n") / CROWD_SAMPLE)
+    sample = label.join(_small(total), "crowd").filter(F.pmod(F.xxhash64("key"), every) == 0).select("crowd", "size", "parities")
+    dense = sample.groupBy("crowd").applyInArrow(lambda table: _share(t, table), "crowd bigint, share double").filter(F.col("share") >= CROWD_SHARE).select("crowd")
+    dense = materialize(dense.join(total, "crowd"), "dense")
+    kept = np.zeros(len(centres) + 1, bool)
+    kept[dense.select("crowd").toArrow()["crowd"].to_numpy()] = True
+    if not kept.any():
+        return spark.sparkContext.broadcast((np.zeros(0, np.int64), None, None, None)), None
+    sides = F.least(F.lit(1 << 15), F.greatest(F.ceil(F.col("n") / side), F.ceil(F.col("tokens") / CROWD_TOKENS)))
+    own = label.select("key", "crowd").join(_small(dense.select("crowd", sides.alias("k"))), "crowd").withColumn("i", F.pmod(F.xxhash64("key"), F.col("k")))
+    own = own.select("key", "crowd", "i", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("k") - 1)).alias("j"))
+    at = 2 * _crowd_task(F.col("crowd"), F.least("i", "j"), F.greatest("i", "j")) + (F.col("i") > F.col("j")).cast("bigint")
+    return spark.sparkContext.broadcast((values, rank, centres, kept)), own.select(at.alias("at"), "key")
+
+
+def _candidates(docs: DataFrame, n: int, t: float, parts: int, hot, crowds, rep: DataFrame) -> DataFrame:
     """(a, b, w) of the pairs of sets that collide and that sizes and parities don't rule out."""
     spark, most = docs.sparkSession, HOT
-    packed = docs.select("text").mapInArrow(functools.partial(_emit, n, t, SHORT, parts, hot), "part int, blob binary")
+    packed = docs.select("text").mapInArrow(functools.partial(_emit, n, t, SHORT, parts, hot, crowds), "part int, blob binary")
     met = materialize(packed.groupBy("part").applyInArrow(lambda table: _collide(t, most, table), PAIRS), "met")
     tables, chunks = [met], met.filter("chunks IS NOT NULL").select("chunks")
     if not chunks.isEmpty():
@@ -652,16 +855,17 @@ def set_join(docs: DataFrame, n: int = N, t: float = THRESHOLD, links: bool = Fa
     heat = np.rint(-256 * np.log2(np.clip(heat / max(n_docs or 0, 1), 1e-9, 1))).astype(np.int32)
     hot = spark.sparkContext.broadcast(heat)
     copies = classes.filter("size > 0").select("key", "id").distinct().groupBy("key").agg(F.count("*").alias("copies"))
-    rep = classes.filter("size > 0").groupBy("key").agg(F.min(F.struct("rid", "size", "lacking", "parities")).alias("r")).select("key", "r.*")
+    rep = classes.filter("size > 0").groupBy("key").agg(F.min(F.struct("rid", "size", "lacking", "parities", "mins")).alias("r")).select("key", "r.*")
     rep = materialize(rep.join(copies, "key"), "sets")
-    likely = _candidates(docs, n, t, max(1, math.ceil((total or 0) / PER_PART)), hot, rep)
+    crowds, members = _crowds(rep, t, CROWD_SIDE if links else CROWD_SIDE // 2)
+    likely = _candidates(docs, n, t, max(1, math.ceil((total or 0) / PER_PART)), hot, crowds, rep)
     if lacking:  # their pairs are found below, all of them
         few = rep.filter("lacking").select(F.col("key").alias("k"))
         likely = likely.join(few, F.col("a") == F.col("k"), "left_anti").join(few, F.col("b") == F.col("k"), "left_anti")
     placed = _place(likely)
     places = placed.select(F.col("grp").alias("at"), F.col("a").alias("key")).union(placed.select("grp", "b")).distinct()
-    sent = _parts(docs, rep, places, n)
-    found = materialize(placed.groupBy("grp").cogroup(sent.groupBy("at")).applyInArrow(functools.partial(_verify, t, links), FOUND), "found")
+    sent = _parts(docs, rep, places if members is None else places.union(members), n).withColumn("grp", F.when(F.col("at") < 0, F.shiftright("at", 1)).otherwise(F.col("at")))
+    found = materialize(placed.groupBy("grp").cogroup(sent.groupBy("grp")).applyInArrow(functools.partial(_verify, t, links), FOUND), "found")
     discard(placed)
     if lacking:
         hard = materialize(_parts(docs, rep, rep.filter("lacking").select(F.lit(0).cast("bigint").alias("at"), "key"), n).dropDuplicates(["key"]), "lacking")

@@ -137,6 +137,33 @@ def test_sets_without_enough_segments(spark, monkeypatch):
     assert Counter((r.doc_id, r.class_id, r.n_links) for r in jaccard.link_classes(df).collect()) == brute_links(rows)
 
 
+@pytest.mark.parametrize("side", [2048, 50])
+def test_crowds(spark, monkeypatch, side):
+    """Large groups of near copies, compared whole or in sides: as by brute force, and few of their pairs are made one by one. Others share a template only."""
+    monkeypatch.setattr(jaccard, "CROWD", 32)
+    monkeypatch.setattr(jaccard, "CROWD_SIDE", side)
+    rng, made = random.Random(23), Counter()
+    first, second = words(rng, 150, 900).split(), words(rng, 90, 900).split()
+    texts = [" ".join(first)] * 15 + edited(rng, first, 0.06, 220) + edited(rng, second, 0.1, 120) + near_docs(rng) + [f"a b c d e f g h i u{i} v{i}" for i in range(60)]
+    rng.shuffle(texts)
+    write = jaccard.materialize
+
+    def counted(df, name):
+        out = write(df, name)
+        made[name] += out.count()
+        return out
+
+    monkeypatch.setattr(jaccard, "materialize", counted)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    want = brute_links(list(enumerate(texts)))
+    assert Counter((r.doc_id, r.class_id, r.n_links) for r in jaccard.link_classes(df).collect()) == want
+    assert made["likely"] < sum(n for _, _, n in want) // 2 // 10
+    assert {r.doc_id for r in jaccard.keep_one(df).collect()} == {c for _, c, _ in want}
+    got = [(r.doc_a, r.doc_b) for r in jaccard.every_pair(df).collect()]
+    sets = [shingles(t) for t in texts]
+    assert sorted(got) == [(a, b) for a, x in enumerate(sets) for b, y in enumerate(sets[a + 1 :], a + 1) if len(x & y) / len(x | y) >= jaccard.THRESHOLD - 1e-12]
+
+
 def test_tokens_pack():
     rng = np.random.default_rng(3)
     for n in (0, 1, 7, 300, 40_000):
