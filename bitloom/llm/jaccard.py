@@ -52,6 +52,8 @@ PROBE, INDEX, DELETED, LINKED = 1, 2, 4, 8
 FLUSH, PER_PART = 1 << 20, 1 << 21
 #: Signatures of one value beyond these are paired by chunks of so many.
 HOT = 1 << 14
+#: Colliding pairs of a part beyond which repeats are dropped.
+ROOM = 1 << 20
 #: Colliding pairs, repeats included, that meet in one block pair.
 TOGETHER = 1 << 21
 #: Tokens that are compared in one task, and tokens times pairs beyond which a group is split.
@@ -81,68 +83,94 @@ def segments(t: float, hi: np.ndarray) -> np.ndarray:
     return np.maximum(1, np.ceil(DENSITY * (1 - t) / t * hi)).astype(np.int64)
 
 
-def _runs(row: np.ndarray, tok: np.ndarray, m: np.ndarray, band: np.ndarray, heat: np.ndarray) -> dict:
-    """The non-empty segments of all rows; tok is sorted within its row, so a segment is a run."""
-    sid = ((tok >> U(20)) * m[row].astype(U)) >> U(32)
-    new = np.ones(len(tok), bool)
+def _starts(row: np.ndarray, top: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the non-empty segments of all rows begin, and their numbers; tokens (top: their upper 32 bits) are sorted within their row, so a segment is a run."""
+    sid = (top * m.astype(U)[row]) >> U(32)
+    new = np.ones(len(top), bool)
     new[1:] = (row[1:] != row[:-1]) | (sid[1:] != sid[:-1])
     at = np.flatnonzero(new)
-    x = mix(tok + U(0x632BE59BD9B4E019))
-    r = row[at]
-    salt = mix((band[r].astype(U) << U(40)) ^ sid[at] ^ U(0x5851F42D4C957F2D))
-    return {"at": at, "row": r, "size": np.diff(np.append(at, len(tok))), "sum": np.add.reduceat(x, at), "salt": salt, "cost": (1 << 19) - np.minimum(np.add.reduceat(heat[(tok >> U(52 - BITS)).astype(np.int64)], at), 1 << 19), "x": x}
+    return at, sid[at]
 
 
-def _allocate(r: dict, need: np.ndarray, short: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _levels(size: np.ndarray, t: float) -> Iterator[tuple[bool, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(whether lower, band, its upper end, which sets may have partners there, segments they need) for the sets' own bands and the next lower ones."""
+    b = np.array(bands(t), np.int64)
+    k = np.searchsorted(b, size, "right") - 1
+    for lower in (False, True):
+        band = k - lower
+        lo, hi = b[np.maximum(band, 0)], b[np.maximum(band, 0) + 1]
+        most = np.minimum(size, hi - 1) if lower else size
+        live = (size > 0) & (band >= 0) & (np.ceil(t * size - 1e-9) <= most)
+        yield lower, band, hi, live, np.where(live, np.floor((1 - t) / (1 + t) * (size + most) + 1e-9).astype(np.int64) + 1, 0)
+
+
+def shortfall(row: np.ndarray, tok: np.ndarray, n: int, t: float, most_short: int = SHORT) -> tuple[np.ndarray, np.ndarray]:
+    """(how many signatures each row has, which rows fall short) as of signatures(), which makes them."""
+    size, top = np.bincount(row, minlength=n), tok >> U(20)
+    number, lacking = np.zeros(n, np.int64), np.zeros(n, bool)
+    for lower, _, hi, live, need in _levels(size, t):
+        own = live[row]
+        if not own.any():
+            continue
+        r = row if own.all() else row[own]
+        at, _ = _starts(r, top if own.all() else top[own], segments(t, hi))
+        of, long = r[at], np.diff(np.append(at, len(r)))
+        count = np.bincount(of, minlength=n)
+        short = hi <= most_short
+        lack = np.maximum(need - count, 0)
+        several = (long > 1) & short[of]
+        have = np.where(lack > 0, np.bincount(of[several], minlength=n), 0)
+        # of rows without any lack the neighbourhoods are indexed only, and not at all in the lower band
+        near = np.bincount(of[several], long[several], n).astype(np.int64)
+        number += (np.minimum(need, count) + np.where(lack > 0, near, 0)) if lower else count + near
+        lacking |= (lack > have) & (need > 0)
+    return number, lacking
+
+
+def _allocate(row: np.ndarray, long: np.ndarray, cost: np.ndarray, need: np.ndarray, short: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Cheapest segments first: which are probed, of which also the neighbourhood, and which rows fall short."""
-    count = np.bincount(r["row"], minlength=n)
+    count = np.bincount(row, minlength=n)
     begin = np.cumsum(count) - count
-    key = (r["row"].astype(U) << U(52)) | (np.minimum(r["cost"], (1 << 20) - 1).astype(U) << U(32)) | np.arange(len(r["row"]), dtype=U)
+    key = (row.astype(U) << U(52)) | (cost.astype(U) << U(32)) | np.arange(len(row), dtype=U)
     order = (np.sort(key) & U(0xFFFFFFFF)).astype(np.int64)
-    rank = np.arange(len(order)) - begin[r["row"][order]]
     probe = np.zeros(len(order), bool)
-    probe[order] = rank < need[r["row"][order]]
+    probe[order] = np.arange(len(order)) < np.repeat(begin + need, count)
     lack = np.maximum(need - count, 0)
-    two = (r["size"] > 1) & (short & (lack > 0))[r["row"]]
-    have = np.bincount(r["row"], weights=two, minlength=n).astype(np.int64)
+    two = (long > 1) & (short & (lack > 0))[row]
+    have = np.bincount(row, weights=two, minlength=n).astype(np.int64)
     return probe, two, (lack > have) & (need > 0)
 
 
 def signatures(row: np.ndarray, tok: np.ndarray, n: int, t: float, heat: np.ndarray, most_short: int = SHORT) -> tuple[tuple[np.ndarray, ...], np.ndarray]:
     """((row, signature, preceding probed signature where LINKED, flags), which rows fall short) of the sets of n rows."""
-    size = np.bincount(row, minlength=n)
-    b = np.array(bands(t), np.int64)
-    k = np.searchsorted(b, size, "right") - 1
-    part, c = (1 - t) / (1 + t), []
+    size, c = np.bincount(row, minlength=n), []
     lacking = np.zeros(n, bool)
-    for lower in (False, True):
-        band = k - lower
-        lo, hi = b[np.maximum(band, 0)], b[np.maximum(band, 0) + 1]
-        most = np.minimum(size, hi - 1) if lower else size
-        live = (size > 0) & (band >= 0) & (np.ceil(t * size - 1e-9) <= most)
-        need = np.where(live, np.floor(part * (size + most) + 1e-9).astype(np.int64) + 1, 0)
+    each = row, tok >> U(20), mix(tok + U(0x632BE59BD9B4E019)), heat[(tok >> U(52 - BITS)).astype(np.int64)]
+    for lower, band, hi, live, need in _levels(size, t):
         sel = live[row]
         if not sel.any():
             continue
-        r = _runs(row[sel], tok[sel], segments(t, hi), band, heat)
+        r, top, x, surprise = each if sel.all() else (a[sel] for a in each)
+        at, sid = _starts(r, top, segments(t, hi))
+        of, long, total = r[at], np.diff(np.append(at, len(r))), np.add.reduceat(x, at)
+        salt = mix((band[of].astype(U) << U(40)) ^ sid ^ U(0x5851F42D4C957F2D))
         short = hi <= most_short
-        probe, two, lack = _allocate(r, need, short, n)
+        probe, two, lack = _allocate(of, long, (1 << 19) - np.minimum(np.add.reduceat(surprise, at), 1 << 19), need, short, n)
         lacking |= lack
-        sig = mix(r["sum"] ^ r["salt"])
+        sig = mix(total ^ salt)
         flags = np.where(probe, PROBE, 0) | (0 if lower else INDEX)
         prev, ok = np.zeros_like(sig), np.zeros(len(sig), bool)
-        ok[1:] = (r["row"][1:] == r["row"][:-1]) & probe[:-1]
+        ok[1:] = (of[1:] == of[:-1]) & probe[:-1]
         prev[1:] = sig[:-1]
         flags |= np.where(ok, LINKED, 0)
-        c.append((r["row"], sig, prev, flags)) if not lower else c.append(tuple(a[probe] for a in (r["row"], sig, prev, flags)))
+        c.append((of, sig, prev, flags)) if not lower else c.append(tuple(a[probe] for a in (of, sig, prev, flags)))
         # Neighbourhoods: every short set is indexed under them, and probes them where it needs to.
-        del_seg = (r["size"] > 1) & (two if lower else short[r["row"]])
+        del_seg = two if lower else (long > 1) & short[of]
         if del_seg.any():
-            of = np.repeat(np.arange(len(r["at"])), r["size"])
-            pick = del_seg[of]
-            o = of[pick]
-            s = mix((r["sum"][o] - r["x"][pick]) ^ r["salt"][o])
-            c.append((r["row"][o], s, np.zeros_like(s), DELETED | np.where(two[o], PROBE, 0) | (0 if lower else INDEX)))
+            pick = np.flatnonzero(np.repeat(del_seg, long))
+            o = np.repeat(np.flatnonzero(del_seg), long[del_seg])
+            s = mix((total[o] - x[pick]) ^ salt[o])
+            c.append((of[o], s, np.zeros_like(s), DELETED | np.where(two[o], PROBE, 0) | (0 if lower else INDEX)))
             # A set that probes neighbourhoods probes all its plain segments too, which _allocate did.
     if not c:
         z = np.zeros(0, np.int64)
@@ -230,18 +258,18 @@ SCAN = "rid bigint, id bigint, key bigint, size int, lacking boolean, n_sig bigi
 
 def _scan(n: int, t: float, short: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each document, and this task's token counts, which are summed over the corpus."""
-    c, heat, none = constants(), np.zeros(SKETCH, np.int32), np.zeros(SKETCH, np.int32)
+    c, heat = constants(), np.zeros(SKETCH, np.int32)
     names = ["rid", "id", "key", "size", "lacking", "n_sig", "parities", "mins", "slice", "counts"]
     for batch in batches:
         for p in pieces(batch, "text"):
             row, tok = sets(c, column(p, "text"), n)
             heat += np.bincount((tok >> U(52 - BITS)).astype(np.int64), minlength=SKETCH).astype(np.int32)
-            (r, *_), lacking = signatures(row, tok, p.num_rows, t, none, short)
             k = p.num_rows
+            n_sig, lacking = shortfall(row, tok, k, t, short)
             size = np.bincount(row, minlength=k)
             at, value = bin_minima(row, tok)
             mins = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(np.bincount(at, minlength=k))), pa.int32()), pa.array(value, pa.int64()))
-            yield pa.RecordBatch.from_arrays([column(p, "rid"), column(p, "id"), pa.array(set_keys(row, tok, k).view(np.int64)), pa.array(size.astype(np.int32)), pa.array(lacking), pa.array(np.bincount(r, minlength=k)), pa.array(_parities(row, tok, size), pa.binary()), mins, pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([column(p, "rid"), column(p, "id"), pa.array(set_keys(row, tok, k).view(np.int64)), pa.array(size.astype(np.int32)), pa.array(lacking), pa.array(n_sig), pa.array(_parities(row, tok, size), pa.binary()), mins, pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names)
     if heat.any():
         cut = [x.astype(np.min_scalar_type(int(x.max()))) for x in np.split(heat, 16)]
         yield pa.RecordBatch.from_arrays([pa.nulls(16, pa.int64())] * 3 + [pa.nulls(16, pa.int32()), pa.nulls(16, pa.bool_()), pa.nulls(16, pa.int64()), pa.nulls(16, pa.binary()), pa.nulls(16, pa.list_(pa.int64())), pa.array(range(16), pa.int32()), pa.array([x.tobytes() for x in cut], pa.binary())], names)
@@ -355,36 +383,57 @@ PAIRS = "n bigint, pairs binary, place array<bigint>, times array<bigint>, chunk
 _PAIRS = pa.schema([("n", pa.int64()), ("pairs", pa.binary()), ("place", pa.list_(pa.int64())), ("times", pa.list_(pa.int64())), ("chunks", pa.binary())])
 
 
+def _far(t: float) -> int:
+    """By how much the size codes of sets with Jaccard t may differ."""
+    return math.floor(-math.log(t) / math.log(1.06) + 1e-9) + 1
+
+
+def _partners(t: float, size: np.ndarray, flags: np.ndarray, crowd: np.ndarray, run: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Up to where the signatures of each one's run may be its partners. In a run without crowds, in the order of sizes, these are none that are too
+    large and, as larger sets probe, for one that only probes none that are larger."""
+    end = run + length
+    plain = np.repeat((crowd[end - 1] == 0) & (size[end - 1] < 255), length)
+    place = np.repeat(np.arange(len(run)) << 9, length) + np.where(plain, size, 0)
+    to = np.searchsorted(place, place + np.where(flags & INDEX > 0, _far(t), 0), "right")
+    return np.where(plain, to, np.repeat(end, length))
+
+
 def _meet(t: float, key: np.ndarray, size: np.ndarray, flags: np.ndarray, prev: np.ndarray, crowd: np.ndarray, left: np.ndarray, side: np.ndarray | None = None) -> Iterator[dict]:
     """Rows of the pairs among signatures of equal value that follow each other; left: how many are left to the end of each one's run.
 
     The larger set probes, the smaller one is indexed; a pair whose preceding segments are equal too is met there. Pairs of one crowd are passed over; a run is in the order of crowds. With side only pairs of different sides count."""
     keys, own = np.unique(key, return_inverse=True)
     own, d, k = own.astype(U), 1, U(len(keys))
-    s, far = size.astype(np.int64), math.floor(-math.log(t) / math.log(1.06) + 1e-9) + 1
+    both, far = size.astype(np.int16) << 4 | flags.astype(np.int16), _far(t)
     new = np.flatnonzero(np.append(True, (crowd[1:] != crowd[:-1]) | (left[1:] != left[:-1] - 1))) if len(crowd) else np.zeros(0, np.int64)
     length = np.diff(np.append(new, len(crowd)))
     skip = np.where(crowd > 0, np.repeat(new + length, length) - np.arange(len(crowd)) - 1, 0)  # to the crowd's end
-    alive, out, held = np.flatnonzero(left > 1 + skip), [], 0
+    alive, out, held, done = np.flatnonzero(left > 1 + skip), [], 0, False  # done: whether out begins with distinct pairs
     while len(alive):
         for part in np.array_split(alive, max(1, len(alive) >> 18)):
             j = part + skip[part] + d
-            f, g, x, y = flags[part], flags[j], s[part], s[j]
-            ok = (((f & PROBE > 0) & (g & INDEX > 0) & (x >= y)) | ((g & PROBE > 0) & (f & INDEX > 0) & (y >= x))) & ((f & g & DELETED) == 0) & (own[part] != own[j])
-            ok &= ((f & g & LINKED) == 0) | (prev[part] != prev[j])
+            f, g = both[part], both[j]
+            x, y = f >> 4, g >> 4
+            ok = (((f & PROBE > 0) & (g & INDEX > 0) & (x >= y)) | ((g & PROBE > 0) & (f & INDEX > 0) & (y >= x))) & ((f & g & DELETED) == 0)
             ok &= (np.abs(x - y) <= far) | (np.maximum(x, y) == 255)
+            if not ok.any():
+                continue
+            some = np.flatnonzero(ok)
+            i, j, linked = part[some], j[some], f[some] & g[some] & LINKED > 0
+            a, b = own[i], own[j]
+            ok = (a != b) & (~linked | (prev[i] != prev[j]))
             if side is not None:
-                ok &= side[part] != side[j]
-            a, b = own[part[ok]], own[j[ok]]
+                ok &= side[i] != side[j]
+            a, b = a[ok], b[ok]
             if len(a):
                 out.append(np.minimum(a, b) * k + np.maximum(a, b))
                 held += len(a)
-                if held > 1 << 20:
-                    out = [np.unique(np.concatenate(out))]
-                    held = len(out[0]) // 2
-                    if len(out[0]) > 1 << 22:
+                # Sorted anew only after as many more as are distinct so far: the sorts take no longer than a few of the last one.
+                if held > max(ROOM, len(out[0]) if done else 0):
+                    out, held, done = [np.unique(np.concatenate(out))], 0, True
+                    if len(out[0]) > 4 * ROOM:
                         yield _row(keys, out[0])
-                        out, held = [], 0
+                        out, done = [], False
         d += 1
         alive = alive[left[alive] > d + skip[alive]]
     if out:
@@ -417,7 +466,7 @@ def _collide(t: float, hot: int, table: pa.Table) -> pa.Table:
     dup[:-1] |= dup[1:]
     idx, sig = idx[dup], sig[dup]
     key, flags, prev, size, crowd = key[idx], low[idx] & np.uint32(15), prev[idx], size[idx], crowd[idx]
-    order = np.lexsort((flags, key, crowd, sig))
+    order = np.lexsort((flags, key, size, crowd, sig))
     key, flags, prev, size, crowd, sig = key[order], flags[order], prev[order], size[order], crowd[order], sig[order]
     new = np.ones(len(sig), bool)
     new[1:] = (sig[1:] != sig[:-1]) | (key[1:] != key[:-1]) | ((flags[1:] ^ flags[:-1]) & DELETED > 0)
@@ -425,7 +474,7 @@ def _collide(t: float, hot: int, table: pa.Table) -> pa.Table:
     run = np.flatnonzero(np.append(True, sig[1:] != sig[:-1])) if len(sig) else np.zeros(0, np.int64)
     length = np.diff(np.append(run, len(sig)))
     probing = np.add.reduceat((flags & PROBE) > 0, run) > 0 if len(run) else np.zeros(0, bool)
-    left = np.repeat(np.where(probing & (length <= hot), run + length, run), length) - np.arange(len(sig))  # to the run's end
+    left = np.where(np.repeat(probing & (length <= hot), length), _partners(t, size, flags, crowd, run, length), np.repeat(run, length)) - np.arange(len(sig))
     rows = list(_meet(t, key, size, flags, prev, crowd, left))
     for at, n in zip(run[probing & (length > hot)], length[probing & (length > hot)], strict=True):
         cut = np.array_split(np.arange(at, at + n), -(-n // hot))
@@ -869,11 +918,15 @@ def set_join(docs: DataFrame, n: int = N, t: float = THRESHOLD, links: bool = Fa
     discard(placed)
     if lacking:
         hard = materialize(_parts(docs, rep, rep.filter("lacking").select(F.lit(0).cast("bigint").alias("at"), "key"), n).dropDuplicates(["key"]), "lacking")
+        # Only sets of about their sizes are read again; of all others, if these are many, none is spared.
+        sizes = sorted(r.size for r in rep.filter("lacking").select("size").distinct().collect())
+        like = materialize(rep.filter(functools.reduce(lambda x, y: x | y, [F.col("size").between(math.ceil(t * s - 1e-9), math.floor(s / t + 1e-9)) for s in sizes])).select("rid"), "like")
+        near = docs.join(F.broadcast(like), "rid", "left_semi") if like.count() <= BROADCAST_ROWS else docs
         more, held, size = [], [], 0
 
         def add_block() -> None:
             block = spark.sparkContext.broadcast(list(held))
-            more.append(docs.select("text").mapInArrow(functools.partial(_against, n, t, block, hot), FOUND))
+            more.append(near.select("text").mapInArrow(functools.partial(_against, n, t, block, hot), FOUND))
             held.clear()
 
         for r in hard.toLocalIterator():  # such sets are a few in a million; they are sent in blocks of 32 MB
@@ -950,7 +1003,8 @@ def components(pairs: DataFrame) -> DataFrame:
         after = materialize(small, "edges")
         discard(edges)
         # done when every node has one parent and no parent has one itself
-        if after.join(after.select(F.col("a").alias("b")).distinct(), "b", "left_semi").isEmpty():
+        several = after.groupBy("a").count().filter("count > 1").select("a")
+        if several.union(after.select("b").join(after.select(F.col("a").alias("b")), "b", "left_semi")).isEmpty():
             return after.select(F.col("a").alias("key"), F.col("b").alias("comp"))
         edges = after
 

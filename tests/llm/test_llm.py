@@ -164,6 +164,65 @@ def test_crowds(spark, monkeypatch, side):
     assert sorted(got) == [(a, b) for a, x in enumerate(sets) for b, y in enumerate(sets[a + 1 :], a + 1) if len(x & y) / len(x | y) >= jaccard.THRESHOLD - 1e-12]
 
 
+def test_pairs_of_a_part_are_sorted_seldom(monkeypatch):
+    """One signature of so many sets that their distinct pairs are more than ROOM: all pairs are made, and sorted a few times only."""
+    n, sorted_ = 2600, Counter()
+    unique = np.unique
+
+    def counted(x, **how):
+        sorted_["n"] += len(x)
+        assert sorted_["n"] < 10 * n * n
+        return unique(x, **how)
+
+    monkeypatch.setattr(np, "unique", counted)
+    key = np.sort(np.random.default_rng(5).integers(1, 1 << 62, n).astype(np.uint64))
+    flags = np.full(n, jaccard.PROBE | jaccard.INDEX, np.uint32)
+    rows = list(jaccard._meet(0.7, key, np.full(n, 90, np.uint8), flags, np.zeros(n, np.uint32), np.zeros(n, np.uint32), np.arange(n, 0, -1)))
+    assert sum(r["n"] for r in rows) == n * (n - 1) // 2
+
+
+def test_partners_in_a_run():
+    """The pairs of signatures that are cut off by size or flags are none that would count."""
+    rng = np.random.default_rng(6)
+    for crowds in (1, 3):
+        n = 400
+        sig, size, crowd = np.sort(rng.integers(0, 12, n)), rng.integers(0, 30, n).astype(np.uint8), rng.integers(0, crowds, n).astype(np.uint32)
+        flags = rng.choice([jaccard.PROBE, jaccard.INDEX, jaccard.PROBE | jaccard.INDEX], n).astype(np.uint32)
+        order = np.lexsort((size, crowd, sig))
+        size, crowd, flags = size[order].astype(np.int64), crowd[order], flags[order]
+        run = np.flatnonzero(np.append(True, sig[1:] != sig[:-1]))
+        to = jaccard._partners(0.7, size, flags, crowd, run, np.diff(np.append(run, n)))
+        end = np.searchsorted(sig, sig, "right")
+        for i in range(n):
+            for j in range(int(to[i]), int(end[i])):
+                larger, smaller = (i, j) if size[i] > size[j] else (j, i)
+                assert size[i] != size[j]
+                assert abs(size[i] - size[j]) > jaccard._far(0.7) or not (flags[larger] & jaccard.PROBE and flags[smaller] & jaccard.INDEX)
+        assert (to < end).any() or crowds > 1
+
+
+def test_components(spark):
+    """Ids on a path that fall and rise: a node with two parents that have none is no end."""
+    assert sorted(map(tuple, jaccard.components(spark.createDataFrame([(1, 4), (3, 4), (3, 5), (2, 5)], "a bigint, b bigint")).collect())) == [(2, 1), (3, 1), (4, 1), (5, 1)]
+    rng = random.Random(24)
+    paths = [rng.sample(range(100 * k, 100 * k + 60), rng.randrange(2, 40)) for k in range(20)]
+    edges = [tuple(sorted(e)) for p in paths for e in zip(p, p[1:], strict=False)]
+    got = jaccard.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()
+    assert sorted(map(tuple, got)) == sorted((x, min(p)) for p in paths for x in p if x != min(p))
+
+
+def test_shortfall():
+    """The counts of the first pass are those of the signatures."""
+    rng = random.Random(25)
+    row, tok = jaccard.sets(jaccard.constants(), pa.array([words(rng, rng.randrange(0, 400), 5000) for _ in range(200)] + [words(rng, k % 14, 50) for k in range(300)]), 2)
+    for short in (0, jaccard.SHORT):
+        (made, *_), lacking = jaccard.signatures(row, tok, 500, 0.7, np.zeros(jaccard.SKETCH, np.int32), short)
+        number, lack = jaccard.shortfall(row, tok, 500, 0.7, short)
+        assert np.array_equal(number, np.bincount(made, minlength=500))
+        assert np.array_equal(lack, lacking)
+        assert short or lack.any()
+
+
 def test_tokens_pack():
     rng = np.random.default_rng(3)
     for n in (0, 1, 7, 300, 40_000):
