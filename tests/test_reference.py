@@ -229,3 +229,32 @@ def test_entry(spark):
 
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
     assert {r.method for r in __spark_entry__.entry(spark).collect()} == {"none", "token_rag", "rac", "rac_oracle"}
+
+
+@pytest.mark.parametrize("skip_self", [False, True])
+def test_inner_products_of_many_queries(spark, monkeypatch, skip_self):
+    """Ties go by id, blocks come in any order, and no pair of blocks is shuffled."""
+    monkeypatch.setattr(retrieval, "STRIP", 100)
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(900, 8)).astype(np.float32)
+    x[300:400], x[500:520] = x[7], 0
+    df = spark.createDataFrame([(int(i), x[i].tolist()) for i in rng.permutation(len(x))], "query_id bigint, v array<float>")
+    s = np.round(x.astype(float) @ x.astype(float).T, 5)
+    if skip_self:
+        np.fill_diagonal(s, -np.inf)
+    best = np.lexsort((np.broadcast_to(np.arange(len(x)), s.shape), -s), axis=1)[:, :40]
+    want = [(q, int(b), float(s[q, b]), i + 1) for q in range(len(x)) for i, b in enumerate(best[q])]
+    base = df.withColumnRenamed("query_id", "base_id")
+    for block in (256, 2048):
+        got = retrieval.dense(base, df, 40, skip_self, block)
+        assert "Join" not in got._jdf.queryExecution().toString()
+        assert "Cartesian" not in got._jdf.queryExecution().toString()
+        assert sorted(tuple(r) for r in got.select("query_id", "base_id", "score", "rank").collect()) == sorted(want)
+    assert retrieval.dense(base, df.limit(0), 3).count() == 0
+
+
+def test_fusion_shuffles_once(spark):
+    r = spark.createDataFrame([(0, 1, 1)], "query_id bigint, base_id bigint, rank int")
+    plan = retrieval.fuse([r, r], 4)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
+    assert "SortAggregate" not in plan
