@@ -2,13 +2,22 @@
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from bitloom.session import materialize
 
 BLANK = r"[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x1C-\x1F]"
-TOKEN = r"c\+\+|c#|\.net|[a-z0-9]+(?:[._+#-][a-z0-9]+)*"
+TOKEN = r"c\+\+|c#|\.net|[a-z0-9]++(?:[._+#-][a-z0-9]++)*+"
+#: Windows are cut from so many tokens at once.
+WINDOW_TOKENS = 1_000_000
 LANGUAGES = {"C": (".c", ".h"), "C++": (".cpp", ".cc", ".C", ".hpp"), "Java": (".java",), "Python": (".py",)}
 
 
@@ -32,7 +41,7 @@ def fold(text: Column) -> Column:
     full = low
     for a, b in FOLDS.items():
         full = F.replace(full, F.lit(a), F.lit(b))
-    return F.when(low.rlike(f"[{''.join(FOLDS)}]"), full).otherwise(low)
+    return F.when(F.octet_length(low) > F.length(low), full).otherwise(low)
 
 
 def tokens(text: Column) -> Column:
@@ -40,14 +49,38 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(fold(text), F.lit(TOKEN), F.lit(0))
 
 
+def _cut(size: int, step: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows whose last column is tokens, as their windows; WINDOW_TOKENS tokens at a time, one row at least."""
+    for batch in batches:
+        toks = batch.column(batch.num_columns - 1)
+        if not len(toks):
+            continue
+        n, none = pc.fill_null(pc.list_value_length(toks), 0).to_numpy().astype(np.int64), pc.is_null(toks).to_numpy(zero_copy_only=False)
+        first, many = toks.offsets.to_numpy()[:-1].astype(np.int64), np.maximum(1, -(-n // step))
+        weight, at = np.append(0, np.cumsum(np.maximum(n, 1))), 0
+        while at < len(n):
+            to = max(at + 1, int(np.searchsorted(weight, weight[at] + WINDOW_TOKENS, "right")) - 1)
+            row, ends = np.repeat(np.arange(at, to), many[at:to]), np.cumsum(many[at:to])
+            idx = np.arange(len(row)) - (ends - many[at:to])[row - at]
+            start = idx * step
+            length = np.minimum(size, n[row] - start)
+            offsets = np.append(0, np.cumsum(length))
+            place = np.arange(offsets[-1]) + np.repeat(first[row] + start - offsets[:-1], length)
+            chunk = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), toks.values.take(pa.array(place)), mask=pa.array(none[row]))
+            kept = [batch.column(i).take(pa.array(row)) for i in range(batch.num_columns - 1)]
+            made = [pa.array(many[row].astype(np.int32)), pa.array(idx.astype(np.int32)), chunk, pa.array(start.astype(np.int32))]
+            yield pa.RecordBatch.from_arrays([*kept, *made], [*batch.schema.names[:-1], "total_chunks", "chunk_idx", "chunk", "start"])
+            at = to
+
+
 def windows(docs: DataFrame, toks: str, size: int, overlap: int = 0) -> DataFrame:
     """chunk_idx, total_chunks, start and chunk: windows of size tokens, step size - overlap; an empty text has one empty window."""
     if not 0 <= overlap < size:
         raise ValueError("0 <= overlap < size is required")
-    starts = F.sequence(F.lit(0), F.greatest(F.size(toks) - 1, F.lit(0)), F.lit(size - overlap))
-    # the windows are cut before they become rows, so that no row carries the whole text
-    cut = docs.withColumn(toks, F.transform(starts, lambda s: F.slice(toks, s + 1, F.lit(size))))
-    return cut.select(*[c for c in docs.columns if c != toks], F.size(toks).alias("total_chunks"), F.posexplode(toks).alias("chunk_idx", "chunk")).withColumn("start", F.col("chunk_idx") * (size - overlap))
+    # cut over Arrow, as slice() copies the whole text for each window and Catalyst makes the tokens of a Generate twice
+    rest = [c for c in docs.columns if c != toks]
+    kind = T.StructType([*(docs.schema[c] for c in rest), *(T.StructField(c, T.IntegerType()) for c in ("total_chunks", "chunk_idx")), T.StructField("chunk", docs.schema[toks].dataType), T.StructField("start", T.IntegerType())])
+    return docs.select(*rest, toks).mapInArrow(functools.partial(_cut, size, size - overlap), kind)
 
 
 def length_stats(lengths: DataFrame, n: str = "n") -> DataFrame:

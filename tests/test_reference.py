@@ -4,6 +4,7 @@ import math
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -258,3 +259,16 @@ def test_fusion_shuffles_once(spark):
     plan = retrieval.fuse([r, r], 4)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1
     assert "SortAggregate" not in plan
+
+
+def test_windows_tokenize_once(spark, monkeypatch):
+    docs = spark.createDataFrame([(0, "a b"), (1, None), (2, ""), (3, "c# x " * 70), (4, "é c++y")], "doc_id bigint, text string")
+    cut = text.windows(docs.select("doc_id", text.tokens(F.col("text")).alias("t")), "t", 64, 16)
+    assert cut._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
+    got = {(r.doc_id, r.chunk_idx, r.start, r.total_chunks): r.chunk for r in cut.collect()}
+    long = ["c#", "x"] * 70
+    assert got == {(0, 0, 0, 1): ["a", "b"], (1, 0, 0, 1): None, (2, 0, 0, 1): [], (3, 0, 0, 3): long[:64], (3, 1, 48, 3): long[48:112], (3, 2, 96, 3): long[96:], (4, 0, 0, 1): ["c++", "y"]}
+    monkeypatch.setattr(text, "WINDOW_TOKENS", 3)
+    rows = pa.RecordBatch.from_arrays([pa.array(range(6)), pa.array([["x"], ["a"] * 5, None, [], ["b", "c", "d"], ["e"]])], ["id", "t"]).slice(1)
+    out = pa.Table.from_batches(text._cut(4, 2, iter([rows]))).to_pylist()
+    assert [(r["id"], r["start"], r["total_chunks"], r["chunk"]) for r in out] == [(1, 0, 3, ["a"] * 4), (1, 2, 3, ["a"] * 3), (1, 4, 3, ["a"]), (2, 0, 1, None), (3, 0, 1, []), (4, 0, 2, ["b", "c", "d"]), (4, 2, 2, ["d"]), (5, 0, 1, ["e"])]
