@@ -272,3 +272,42 @@ def test_windows_tokenize_once(spark, monkeypatch):
     rows = pa.RecordBatch.from_arrays([pa.array(range(6)), pa.array([["x"], ["a"] * 5, None, [], ["b", "c", "d"], ["e"]])], ["id", "t"]).slice(1)
     out = pa.Table.from_batches(text._cut(4, 2, iter([rows]))).to_pylist()
     assert [(r["id"], r["start"], r["total_chunks"], r["chunk"]) for r in out] == [(1, 0, 3, ["a"] * 4), (1, 2, 3, ["a"] * 3), (1, 4, 3, ["a"]), (2, 0, 1, None), (3, 0, 1, []), (4, 0, 2, ["b", "c", "d"]), (4, 2, 2, ["d"]), (5, 0, 1, ["e"])]
+
+
+def test_bm25_by_tasks(spark, monkeypatch):
+    """Few terms are broadcast: nothing is joined, and the result is that of the joins, with ties, repeats and nulls."""
+    docs = [(i, f"{'red ' * (i % 4)}fish {'blue' if i % 3 else 'c#'} w{i % 50}") for i in range(300)] + [(300, None), (301, ""), (302, "none of them")]
+    base = spark.createDataFrame(docs, "base_id bigint, text string")
+    asked = spark.createDataFrame([(7, "red fish"), (2, "C# red c# red w3"), (5, "nothing"), (6, None), (9, "FISH")], "query_id int, text string")
+    got = retrieval.bm25(base, asked, 20)
+    assert "Join" not in got._jdf.queryExecution().toString()
+    rows = sorted(map(tuple, got.select("query_id", "rank", "base_id", "score").collect()))
+    assert [r[:2] for r in rows] == [(q, i + 1) for q in (2, 7, 9) for i in range(20)]
+    again = base.union(spark.createDataFrame([(7, "red blue w3")], "base_id bigint, text string"))
+    repeated = sorted(map(tuple, retrieval.bm25(again, asked, 20).select("query_id", "rank", "base_id", "score").collect()))
+    assert retrieval.bm25(base, asked.filter("query_id in (5, 6)"), 20).count() == 0
+    monkeypatch.setattr(retrieval, "TERMS", 0)
+    for b, want in ((base, rows), (again, repeated)):
+        joined = retrieval.bm25(b, asked, 20)
+        assert sorted(map(tuple, joined.select("query_id", "rank", "base_id", "score").collect())) == want
+
+
+def test_scores_are_made_in_parts(monkeypatch):
+    class Plan:
+        value = (pa.array([4, 8]), np.array([0, 2, 3]), np.array([0, 1, 1]), np.array([1.0, 2.0, 0.5]), 1.5, 0.75, 2.0)
+
+    rows = pa.table({"base_id": list(range(9)), "dl": [2] * 9, "term": pa.array([[0, 1], [1], [], *[[0]] * 6], pa.list_(pa.int32())), "tf": pa.array([[1, 2], [1], [], *[[3]] * 6], pa.list_(pa.int32()))})
+    whole = pa.Table.from_batches(retrieval._scored(Plan, 3, iter(rows.to_batches()))).to_pylist()
+    monkeypatch.setattr(retrieval, "SCORES", 3)
+    assert pa.Table.from_batches(retrieval._scored(Plan, 3, iter(rows.to_batches(4)))).to_pylist() == whole
+    assert [(r["query_id"], r["base_id"]) for r in whole] == [(4, 3), (4, 4), (4, 5), (8, 3), (8, 4), (8, 5)]
+
+
+def test_hashed_vectors_stay_in_place(spark):
+    rows = spark.createDataFrame([(1, "a b a"), (2, "---"), (3, None), (4, "b")], "id bigint, text string")
+    got = retrieval.hashed_vectors(rows, "id")
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    v = {r.id: r.v for r in got.collect()}
+    assert set(v) == {1, 4}
+    assert sorted(x for x in v[1] if x) == [np.float32(x / math.sqrt(5)) for x in (1, 2)]
+    assert sum(v[4]) == 1
