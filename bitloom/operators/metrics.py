@@ -6,20 +6,33 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Bytes of text at once, one text at least.
+PIECE = 1 << 20
+
+
+def _pieces(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(place of the first text, place in the piece, prev * 256 + cur) of every byte of some texts at a time; 0 stands before the first byte."""
+    n = pc.fill_null(pc.binary_length(texts), 0).to_numpy().astype(np.int64)
+    ends, at = np.append(0, np.cumsum(n)), 0
+    while at < len(n):
+        to = max(at + 1, int(np.searchsorted(ends, ends[at] + PIECE, "right")) - 1)
+        d = np.frombuffer(b"".join(x.as_buffer() for x in texts[at:to] if x.is_valid), np.uint8).astype(np.int64)
+        prev = np.append(0, d[:-1])[: len(d)]
+        prev[(ends[at:to] - ends[at])[n[at:to] > 0]] = 0
+        yield at, np.repeat(np.arange(to - at), n[at:to]), prev * 256 + d
+        at = to
+
+
 def _bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids, out = batch.column("id"), []
-        for i, x in enumerate(batch.column("text")):
-            d = np.frombuffer((x.as_py() or "").encode(), np.uint8).astype(np.int32)
-            key, n = np.unique(np.append(0, d[:-1]) * 256 + d if len(d) else d, return_counts=True)
-            out.append((np.full(len(key), i), key, n))
-        if out:
-            i, key, n = (np.concatenate(x) for x in zip(*out, strict=True))
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(i)), pa.array((key // 256).astype(np.int32)), pa.array((key % 256).astype(np.int32)), pa.array(n.astype(np.int64))], ["id", "prev", "cur", "n"])
+        for at, row, key in _pieces(batch.column("text")):
+            both, n = np.unique(row * 65536 + key, return_counts=True)
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(both // 65536 + at)), pa.array((both // 256 % 256).astype(np.int32)), pa.array((both % 256).astype(np.int32)), pa.array(n.astype(np.int64))], ["id", "prev", "cur", "n"])
 
 
 def byte_bigrams(docs: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -27,10 +40,24 @@ def byte_bigrams(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     return docs.select(F.col(key).cast("bigint").alias("id"), "text").mapInArrow(_bigrams, "id bigint, prev int, cur int, n bigint")
 
 
+def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    n = np.zeros(65536, np.int64)
+    for batch in batches:
+        for _, _, key in _pieces(batch.column("text")):
+            n += np.bincount(key, minlength=65536)
+    key = np.flatnonzero(n)
+    yield pa.RecordBatch.from_arrays([pa.array((key // 256).astype(np.int32)), pa.array((key % 256).astype(np.int32)), pa.array(n[key])], ["prev", "cur", "n"])
+
+
+def total_bigrams(docs: DataFrame) -> DataFrame:
+    """(prev, cur, n): byte_bigrams over all texts of a task; sums over tasks are left to base_counts."""
+    return docs.select("text").mapInArrow(_totals, "prev int, cur int, n bigint")
+
+
 def base_counts(bigrams: DataFrame) -> DataFrame:
     """(prev, cur, c, tot): at most 65,536 rows."""
     c = bigrams.groupBy("prev", "cur").agg(F.sum("n").alias("c"))
-    return c.join(c.groupBy("prev").agg(F.sum("c").alias("tot")), "prev")
+    return c.withColumn("tot", F.sum("c").over(Window.partitionBy("prev")))
 
 
 def cost_bits(c: Column, tot: Column) -> Column:

@@ -311,3 +311,18 @@ def test_hashed_vectors_stay_in_place(spark):
     assert set(v) == {1, 4}
     assert sorted(x for x in v[1] if x) == [np.float32(x / math.sqrt(5)) for x in (1, 2)]
     assert sum(v[4]) == 1
+
+
+def test_byte_counts_in_pieces(spark, monkeypatch):
+    """No piece but a single text is larger than PIECE; the totals of a task are at most 65,536 rows."""
+    texts = ["abab", None, "", "é", "x" * 40, "ba"]
+    monkeypatch.setattr(metrics, "PIECE", 8)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6)), pa.array(texts)], ["id", "text"])
+    parts = list(metrics._bigrams(iter([batch])))
+    assert len(parts) == 3
+    got = sorted((r["id"], r["prev"], r["cur"], r["n"]) for p in parts for r in p.to_pylist())
+    assert got == [(0, 0, 97, 1), (0, 97, 98, 2), (0, 98, 97, 1), (3, 0, 195, 1), (3, 195, 169, 1), (4, 0, 120, 1), (4, 120, 120, 39), (5, 0, 98, 1), (5, 98, 97, 1)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").coalesce(1)
+    assert metrics.total_bigrams(docs).count() == 8
+    one, other = (sorted(map(tuple, metrics.base_counts(x).collect())) for x in (metrics.total_bigrams(docs), metrics.byte_bigrams(docs)))
+    assert one == other
